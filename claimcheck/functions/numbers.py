@@ -36,6 +36,10 @@ def is_integer_text(text: Column) -> Column:
     return strip_text(text).rlike(_INTEGER)
 
 
+def is_number_text(text: Column) -> Column:
+    return strip_text(text).rlike(_NUMBER)
+
+
 def parse_row_count(text: Column) -> Column:
     """Text as a non-negative BIGINT, else NULL."""
     t = F.replace(strip_text(text), F.lit("_"), F.lit(""))

@@ -285,7 +285,7 @@ def _families(session: ClaimSession, running: DataFrame) -> list[Family]:
                 sql = f"SELECT {double_literals(aggregate)} AS v FROM {DATA_VIEW}"
                 family.types[aggregate] = session.spark.sql(sql).schema["v"].dataType
             except PySparkException as error:
-                family.errors[aggregate] = _first_line(error)
+                family.errors[aggregate] = first_line(error)
     return list(found.values())
 
 
@@ -418,7 +418,7 @@ def _as_rows(
     )
 
 
-def _first_line(error: Exception) -> str:
+def first_line(error: Exception) -> str:
     return (str(error).strip().splitlines() or [type(error).__name__])[0]
 
 
@@ -433,7 +433,7 @@ def run_query(session: ClaimSession, query: str) -> tuple[str | None, str | None
         text = value_text(F.col("v"), cell.schema["v"].dataType)
         rows = cell.select(text.alias("v")).limit(2).collect()
     except RUN_ERRORS as error:
-        return None, f"query_sql failed to execute evidence: {_first_line(error)}"
+        return None, f"query_sql failed to execute evidence: {first_line(error)}"
     if len(rows) != 1:
         return None, f"{NOT_SINGLE}{'no rows' if not rows else 'more than one row'}"
     return rows[0]["v"] or "", None
