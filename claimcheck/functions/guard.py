@@ -75,12 +75,23 @@ def quote_ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-_DECIMAL = re.compile(
+_LITERALS = re.compile(
     r"""('(?:[^']|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|(?<![\w.])(\d+\.\d*|\.\d+)(?![\w.])""",
     re.DOTALL,
 )
 
 
-def double_literals(query: str) -> str:
-    """Mark bare decimal literals as DOUBLE so that averages over them are doubles."""
-    return _DECIMAL.sub(lambda m: m.group(1) or m.group(2) + "D", query)
+def standard_literals(query: str) -> str:
+    """A query text with its literals written for Spark.
+
+    A bare decimal becomes a DOUBLE, so that averages over it are doubles, and a backslash
+    in a quoted text stays an ordinary character.
+    """
+
+    def write(match: re.Match) -> str:
+        kept, decimal = match.groups()
+        if decimal:
+            return decimal + "D"
+        return kept.replace("\\", "\\\\") if kept.startswith("'") else kept
+
+    return _LITERALS.sub(write, query)

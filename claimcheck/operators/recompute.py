@@ -19,7 +19,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from claimcheck.functions.evidence import is_sql, row_count_query
-from claimcheck.functions.guard import double_literals, quote_ident, validate_query
+from claimcheck.functions.guard import standard_literals, quote_ident, validate_query
 from claimcheck.functions.numbers import parse_row_count, value_text
 from claimcheck.functions.text import let, strip_text
 from claimcheck.session import DATA_VIEW, ClaimSession, materialize, shared_dir
@@ -172,13 +172,17 @@ TEXT_SCHEMA = "run_text string, text_raw string, text_error string, text_rows bi
 
 
 def route_evidences(session: ClaimSession, evidences: DataFrame, evidence: str = "evidence") -> DataFrame:
-    """Add `route`, `guard_error` and `runs` to a table of evidences."""
+    """Add `route`, `guard_error` and `runs` to a table of evidences, worked out once.
+
+    Evidences already carrying an `implausible` reason do not run.
+    """
     text = F.col(evidence)
-    return (
-        evidences.withColumn("route", evidence_route(text, session.data.schema))
-        .withColumn("guard_error", validate_query(text))
-        .withColumn("runs", is_sql(text) & F.col("guard_error").isNull())
+    plausible = F.col("implausible").isNull() if "implausible" in evidences.columns else F.lit(True)
+    routed = evidences.withColumns(
+        {"route": evidence_route(text, session.data.schema), "guard_error": validate_query(text), "_sql": is_sql(text)}
     )
+    runs = F.col("_sql") & F.col("guard_error").isNull() & plausible
+    return materialize(routed.withColumn("runs", runs).drop("_sql"), "routed")
 
 
 def recompute(session: ClaimSession, routed: DataFrame, evidence: str = "evidence") -> Recomputed:
@@ -282,7 +286,7 @@ def _families(session: ClaimSession, running: DataFrame) -> list[Family]:
     for family in found.values():
         for aggregate in sorted(family.aggregates):
             try:
-                sql = f"SELECT {double_literals(aggregate)} AS v FROM {DATA_VIEW}"
+                sql = f"SELECT {standard_literals(aggregate)} AS v FROM {DATA_VIEW}"
                 family.types[aggregate] = session.spark.sql(sql).schema["v"].dataType
             except PySparkException as error:
                 family.errors[aggregate] = first_line(error)
@@ -369,7 +373,7 @@ def _computed(
     else:
         sql = f"SELECT '' AS fkey, {', '.join(items)} FROM {view}"
     try:
-        return [materialize(session.spark.sql(sql))]
+        return [materialize(session.spark.sql(sql), "family")]
     except RUN_ERRORS:
         if not aggregates:
             raise
@@ -385,7 +389,7 @@ def _kind(aggregate: str) -> str:
 
 def _partials(aggregate: str, name: str) -> list[str]:
     """Mergeable parts of one aggregate as SQL select items."""
-    argument = double_literals(aggregate.split("(", 1)[1][:-1])
+    argument = standard_literals(aggregate.split("(", 1)[1][:-1])
     if _kind(aggregate) == "avg":
         return [f"sum({argument}) AS {name}_sum", f"count({argument}) AS {name}_n"]
     return [f"{_kind(aggregate)}({argument}) AS {name}"]
@@ -425,7 +429,7 @@ def first_line(error: Exception) -> str:
 def run_query(session: ClaimSession, query: str) -> tuple[str | None, str | None]:
     """The one cell of a query's result as text, or why there is none."""
     try:
-        result = session.spark.sql(double_literals(query))
+        result = session.spark.sql(standard_literals(query))
         width = len(result.columns)
         if width != 1:
             return None, f"{NOT_SINGLE}{width} columns"

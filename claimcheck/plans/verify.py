@@ -60,92 +60,81 @@ def recomputed_text(raw: Column) -> Column:
     ).otherwise(float_text(parse_number(raw)))
 
 
-def with_comparison(findings: DataFrame, rel_tol: float = REL_TOL, abs_tol: float = ABS_TOL) -> DataFrame:
-    """Add the stages of the value comparison: is_numeric, number, values_match."""
+def with_verdict(recomputed: DataFrame, rel_tol: float = REL_TOL, abs_tol: float = ABS_TOL) -> DataFrame:
+    """Apply the verdict precedence to findings carrying raw, error and implausible."""
     is_numeric = F.col("value_kind") == "number"
-    number = parse_number(F.col("raw"))
-    close = is_close(number, F.col("value_num"), rel_tol, abs_tol)
-    same = fold(F.col("raw")) == fold(F.col("value_text"))
-    return (
-        findings.withColumn("is_numeric", is_numeric)
-        .withColumn("number", F.when(is_numeric, number))
-        .withColumn("values_match", F.when(is_numeric, close).otherwise(same))
+    value = F.col("value_num")
+    staged = recomputed.withColumns(
+        {
+            "is_numeric": is_numeric,
+            "number": F.when(is_numeric, parse_number(F.col("raw"))),
+            "shown": F.when(is_numeric, recomputed_text(F.col("raw"))).otherwise(F.col("raw")),
+            "shown_raw": quoted(F.col("raw")),
+            "claimed": F.when(F.col("value_kind") == "string", quoted(F.col("value_text"))).otherwise(
+                F.col("value_text")
+            ),
+            "claim_fits": ~is_numeric | claim_agrees(F.col("claim"), value, rel_tol, abs_tol),
+            "mismatch": population_mismatch(F.col("evidence"), F.col("claim")),
+        }
+    )
+    outcome = staged.withColumn("outcome", _outcome(rel_tol, abs_tol))
+    checked = F.col("outcome.verdict") != "unverified"
+    kept = [c for c in recomputed.columns if c not in ("raw", "error", "implausible", "evidence_row_count")]
+    return outcome.select(
+        *kept,
+        "outcome.verdict",
+        "outcome.reason",
+        "outcome.detail",
+        F.when(checked, F.col("shown")).alias("recomputed_text"),
+        F.when(checked, F.col("number")).alias("recomputed_num"),
+        F.when(F.col("implausible").isNull(), F.col("evidence_row_count")).alias("evidence_row_count"),
     )
 
 
-def with_verdict(recomputed: DataFrame, rel_tol: float = REL_TOL, abs_tol: float = ABS_TOL) -> DataFrame:
-    """Apply the verdict precedence to findings carrying raw, error and implausible."""
-    staged = (
-        with_comparison(recomputed, rel_tol, abs_tol)
-        .withColumn(
-            "claim_fits",
-            ~F.col("is_numeric") | claim_agrees(F.col("claim"), F.col("value_num"), rel_tol, abs_tol),
-        )
-        .withColumn("mismatch", population_mismatch(F.col("evidence"), F.col("claim")))
-        .withColumn("shown", F.when(F.col("is_numeric"), recomputed_text(F.col("raw"))).otherwise(F.col("raw")))
-        .withColumn("shown_raw", quoted(F.col("raw")))
-        .withColumn(
-            "claimed",
-            F.when(F.col("value_kind") == "string", quoted(F.col("value_text"))).otherwise(F.col("value_text")),
-        )
-    )
-    tolerances = f"(rel_tol={rel_tol}, abs_tol={abs_tol})"
-    claimed = F.col("claimed")
+def _outcome(rel_tol: float, abs_tol: float) -> Column:
+    """STRUCT<verdict, reason, detail> of the first rule that applies."""
+    tolerances = f" (rel_tol={rel_tol}, abs_tol={abs_tol})"
+    is_numeric = F.col("is_numeric")
 
     def compared(word: str) -> Column:
-        return F.when(
-            F.col("is_numeric"),
-            F.concat(F.lit("recomputed "), "shown", F.lit(f" {word} claimed "), claimed, F.lit(f" {tolerances}")),
-        ).otherwise(
-            F.concat(
-                F.lit("recomputed "), "shown_raw", F.lit(f" {word} claimed "), claimed,
-                F.lit(" (string compare)"),
-            )
-        )
+        shown = F.when(is_numeric, F.col("shown")).otherwise(F.col("shown_raw"))
+        how = F.when(is_numeric, tolerances).otherwise(" (string compare)")
+        return F.concat(F.lit("recomputed "), shown, F.lit(f" {word} claimed "), "claimed", how)
+
+    def outcome(verdict: str, reason: str, detail: Column) -> Column:
+        return F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"), detail.alias("detail"))
+
+    def explained(verdict: str, reason: str, *detail: str | Column) -> Column:
+        return outcome(verdict, reason, F.concat(F.lit(f"{reason}: "), *detail))
 
     incomparable = F.concat(
-        F.lit("claimed value "), claimed, F.lit(" is numeric but the recomputed value "),
-        "shown_raw", F.lit(" is not -- values are not comparable"),
-    )
-    disagrees = F.concat(
-        F.lit("claim_text_disagrees_with_value: claim "), quoted(F.col("claim")),
-        F.lit(" quotes no number matching the claimed value "), claimed, F.lit(f" {tolerances}"),
+        F.lit("claimed value "), "claimed", F.lit(" is numeric but the recomputed value "), "shown_raw",
+        F.lit(" is not -- values are not comparable"),
     )
-    rules = [
-        (F.col("implausible").isNotNull(), "unverified", "evidence_does_not_touch_data",
-         F.concat(F.lit("evidence_does_not_touch_data: "), "implausible")),
-        (F.col("error").isNotNull(), "unverified", "not_recomputed", F.col("error")),
-        (F.col("is_numeric") & F.col("number").isNull(), "unverified", "not_comparable", incomparable),
-        (~F.col("values_match"), "contradicted", "value_differs", compared("does NOT match")),
-        (~F.col("claim_fits"), "contradicted", "claim_text_disagrees_with_value", disagrees),
-        (F.col("mismatch").isNotNull(), "unverified", "population_mismatch_suspected",
-         F.concat(F.lit("population_mismatch_suspected: "), "mismatch")),
-    ]
-    outcome = F.struct(
-        F.lit("verified").alias("verdict"), F.lit("value_matches").alias("reason"),
-        compared("matches").alias("detail"),
-    )
-    for applies, verdict, reason, detail in reversed(rules):
-        outcome = F.when(
-            applies,
-            F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"), detail.alias("detail")),
-        ).otherwise(outcome)
-    checked = F.col("outcome.verdict") != "unverified"
+    match = F.when(
+        is_numeric, is_close(F.col("number"), F.col("value_num"), rel_tol, abs_tol)
+    ).otherwise(fold(F.col("raw")) == fold(F.col("value_text")))
     return (
-        staged.withColumn("outcome", outcome)
-        .withColumn("verdict", F.col("outcome.verdict"))
-        .withColumn("reason", F.col("outcome.reason"))
-        .withColumn("detail", F.col("outcome.detail"))
-        .withColumn("recomputed_text", F.when(checked, F.col("shown")))
-        .withColumn("recomputed_num", F.when(checked, F.col("number")))
-        .withColumn(
-            "evidence_row_count",
-            F.when(F.col("implausible").isNull(), F.col("evidence_row_count")),
+        F.when(
+            F.col("implausible").isNotNull(),
+            explained("unverified", "evidence_does_not_touch_data", "implausible"),
+        )
+        .when(F.col("error").isNotNull(), outcome("unverified", "not_recomputed", F.col("error")))
+        .when(is_numeric & F.col("number").isNull(), outcome("unverified", "not_comparable", incomparable))
+        .when(~match, outcome("contradicted", "value_differs", compared("does NOT match")))
+        .when(
+            ~F.col("claim_fits"),
+            explained(
+                "contradicted", "claim_text_disagrees_with_value",
+                F.lit("claim "), quoted(F.col("claim")),
+                F.lit(" quotes no number matching the claimed value "), "claimed", F.lit(tolerances),
+            ),
         )
-        .drop(
-            "outcome", "is_numeric", "number", "values_match", "claim_fits", "mismatch",
-            "shown", "shown_raw", "claimed", "raw", "error", "implausible",
+        .when(
+            F.col("mismatch").isNotNull(),
+            explained("unverified", "population_mismatch_suspected", "mismatch"),
         )
+        .otherwise(outcome("verified", "value_matches", compared("matches")))
     )
 
 
@@ -196,7 +185,6 @@ def judge_findings(
     findings = session.adopt(findings)
     plausible = findings.withColumn("implausible", implausible_reason(F.col("evidence"), dataset_path))
     routed = route_evidences(session, plausible)
-    routed = routed.withColumn("runs", F.col("runs") & F.col("implausible").isNull())
     recomputed = attach(routed, recompute(session, routed))
     if run_logs is not None:
         recomputed = with_run_logs(recomputed, session.adopt(run_logs))

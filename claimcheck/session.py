@@ -15,8 +15,6 @@ SESSION_CONFS = {
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     # SELECT ... FROM text.`/etc/passwd` must not resolve.
     "spark.sql.runSQLOnFiles": "false",
-    # A backslash inside a quoted literal is an ordinary character.
-    "spark.sql.parser.escapedStringLiterals": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -31,10 +29,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Run `df` once and cut its lineage through the shared checkpoint folder."""
-    shared_dir(df.sparkSession, "init")
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Run `df` once and go on from a table written in the shared folder.
+
+    Later steps survive lost executors without running it again, read only the columns
+    they need, and know its size when a join is planned.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class ClaimSession:
