@@ -40,8 +40,12 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFra
 def load() -> None:
     """Import every module that registers queries."""
     from claimcheck.catalog import (  # noqa: F401
+        baselines,
         claims,
         judging,
+        lies,
         profiling,
+        reporting,
         sql,
+        transcripts,
     )

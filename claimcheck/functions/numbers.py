@@ -97,17 +97,18 @@ def round_half_even(value: Column, digits: int = 4) -> Column:
 def fixed_text(value: Column, digits: int) -> Column:
     """Fixed-point text with exactly `digits` (at least one) decimals."""
     value = value.cast("double")
-    n = _scaled(value, digits).cast("bigint").cast("string")
-    n = F.lpad(n, F.greatest(F.length(n), F.lit(digits + 1)), F.lit("0"))
+    size = F.abs(value)
+    whole = F.floor(size).cast("double")
+    # The fraction of a double is itself a double, so nothing is lost by rounding it alone.
+    n = _scaled(size - whole, digits)
+    carry = F.when(n >= float(10**digits), 1).otherwise(0)
     text = F.concat(
-        F.when(value < 0, "-").otherwise(""),
-        F.substr(n, F.lit(1), F.length(n) - digits),
+        F.when(value.cast("string").startswith("-"), "-").otherwise(""),
+        (whole.try_cast("decimal(38,0)") + carry).cast("decimal(38,0)").cast("string"),
         F.lit("."),
-        F.right(n, F.lit(digits)),
-    )
-    return F.when(_splits_exactly(value, digits), text).otherwise(
-        F.format_string(f"%.{digits}f", value)
+        F.right(F.lpad(n.cast("bigint").cast("string"), digits, "0"), F.lit(digits)),
     )
+    return F.coalesce(text, F.format_string(f"%.{digits}f", value))
 
 
 def number_text(value: Column, as_int: Column) -> Column:
@@ -127,7 +128,8 @@ def float_text(value: Column) -> Column:
     """A DOUBLE in plain notation between 1e-4 and 1e16, `1e+16` style outside."""
 
     def render(value: Column) -> Column:
-        signed = F.concat(F.when(value < 0, "-").otherwise(""), let(F.abs(value).cast("string"), _plain))
+        sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+        signed = F.concat(sign, let(F.abs(value).cast("string"), _plain))
         return (
             F.when(F.isnan(value), "nan")
             .when(F.abs(value) == float("inf"), F.when(value < 0, "-inf").otherwise("inf"))

@@ -29,8 +29,9 @@ MAX_ITER = r"max_iter\s*=\s*([0-9]+)"
 TEST_PERCENT = 20
 
 SCORE_BUCKETS = 1000
-# Hex digits of the split hash that one histogram round resolves.
-HASH_DIGITS = 4
+# Hex digits of the split hash in the histogram: a million slots, so that ranking the rows
+# of one slot stays small up to a trillion rows.
+HASH_DIGITS = 5
 
 
 def binary_target(column: Column, value: object) -> Column:
@@ -45,28 +46,22 @@ def split_hash(key: Column, seed: int) -> Column:
 def stratified_split(df: DataFrame, key: str, target: str, seed: int) -> DataFrame:
     """Add is_test: per class of the 0/1 `target`, the fifth of the rows with the smallest key hash.
 
-    The cut-off hash of each class is found by histograms over hash prefixes, so the rows
-    themselves are neither shuffled nor sorted, however large a class is. Equal keys share a side.
+    The cut-off hash of each class is found by a histogram over hash prefixes and a ranking
+    inside one of them, so the rows themselves are neither shuffled nor sorted, however large
+    a class is. Equal keys share a side.
     """
     hashed = df.select(F.col(target).cast("int").alias("_class"), split_hash(F.col(key), seed).alias("_hash"))
-    wanted = hashed.groupBy("_class").agg(
-        ((F.count(F.lit(1)) * TEST_PERCENT + 99) / 100).cast("bigint").alias("_rank")
+    by_prefix = hashed.groupBy("_class", F.left("_hash", F.lit(HASH_DIGITS)).alias("_prefix")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    # The target is 0 or 1, so one row per class is two rows at most.
+    before = F.sum("_n").over(Window.partitionBy("_class").orderBy("_prefix")) - F.col("_n")
+    wanted = F.floor((F.sum("_n").over(Window.partitionBy("_class")) * TEST_PERCENT + 99) / 100)
+    cut = (
+        by_prefix.select("_class", "_prefix", "_n", before.alias("_before"), wanted.alias("_wanted"))
+        .where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_before") + F.col("_n")))
+        .select("_class", "_prefix", (F.col("_wanted") - F.col("_before")).alias("_rank"))
     )
-    # One row per class: the prefix holding the cut-off, and the rank left inside it.
-    cut = wanted.withColumn("_prefix", F.lit(""))
-    for round_no in (1, 2):
-        length = round_no * HASH_DIGITS
-        inside = hashed.join(F.broadcast(cut), "_class").where(F.col("_hash").startswith(F.col("_prefix")))
-        counts = inside.groupBy(
-            "_class", F.left("_hash", F.lit(length)).alias("_prefix"), "_rank"
-        ).agg(F.count(F.lit(1)).alias("_n"))
-        order = Window.partitionBy("_class").orderBy("_prefix")
-        before = F.sum("_n").over(order) - F.col("_n")
-        cut = (
-            counts.withColumn("_before", before)
-            .where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
-            .select("_class", (F.col("_rank") - F.col("_before")).alias("_rank"), "_prefix")
-        )
     last = (
         hashed.join(F.broadcast(cut), "_class")
         .where(F.col("_hash").startswith(F.col("_prefix")))
@@ -74,7 +69,6 @@ def stratified_split(df: DataFrame, key: str, target: str, seed: int) -> DataFra
         .where(F.col("_nth") == F.col("_rank"))
         .select("_class", F.col("_hash").alias("_cut"))
     )
-    # The target is 0 or 1, so this side holds two rows at most.
     joined = df.withColumn("_class", F.col(target).cast("int")).join(F.broadcast(last), "_class")
     return joined.withColumn("is_test", split_hash(F.col(key), seed) <= F.col("_cut")).drop("_class", "_cut")
 
@@ -188,9 +182,9 @@ def train_metrics(
 ) -> dict[str, float]:
     """accuracy and roc_auc of one training run."""
     table = training_table(data, recipe, seed).select("_target", "is_test", *map(quote_ident, features))
-    renamed = table.toDF("_target", "is_test", *[f"f{i}" for i in range(len(features))])
     names = [f"f{i}" for i in range(len(features))]
-    scored = materialize(fit_predict(standardize(renamed, names), names, "_target", max_iter))
+    split = materialize(table.toDF("_target", "is_test", *names), "split")
+    scored = materialize(fit_predict(standardize(split, names), names, "_target", max_iter), "scored")
     return {"accuracy": accuracy(scored).first()[0], "roc_auc": roc_auc(scored).first()[0]}
 
 

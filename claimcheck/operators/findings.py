@@ -18,7 +18,7 @@ def generate_findings(facts: DataFrame, templates: DataFrame) -> DataFrame:
     count_text = number_text(F.col("value"), F.lit(True))
     shown = F.when(rate, percent_text(F.col("value"), 1)).otherwise(count_text)
     return facts.join(templates, "label").select(
-        "label",
+        *[c for c in facts.columns if c != "value"],
         F.replace(F.col("claim_template"), F.lit("{n}"), shown).alias("claim"),
         "evidence",
         F.lit("number").alias("value_kind"),

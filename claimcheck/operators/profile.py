@@ -37,7 +37,8 @@ def _long(df: DataFrame, fields: list[T.StructField], stats: dict[str, Stat]) ->
         for i, f in enumerate(fields)
     ]
     if not rows:
-        return one_row.limit(0).select(F.lit("").alias("column_name"), F.lit("").alias("column_type"), "n_rows")
+        nothing = [F.lit(None).cast("bigint").alias(stat) for stat in stats]
+        return one_row.limit(0).select(F.lit("").alias("column_name"), F.lit("").alias("column_type"), "n_rows", *nothing)
     return one_row.select("n_rows", F.inline(F.array(*rows)))
 
 

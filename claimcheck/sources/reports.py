@@ -11,11 +11,11 @@ from claimcheck.plans.verify import VERDICTS
 PART_SIZE = 10_000
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per file: report_id (the file), doc VARIANT."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("report_id"), F.try_parse_json("value").alias("doc")
-    )
+def read_reports(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """JSON documents, one per file or one per line: report_id, doc VARIANT."""
+    text = spark.read.text(path, wholetext=not one_per_line)
+    report_id = F.sha2("value", 256) if one_per_line else F.col("_metadata.file_path")
+    return text.select(report_id.alias("report_id"), F.try_parse_json("value").alias("doc"))
 
 
 def parse_reports(reports: DataFrame, column: str = "json") -> DataFrame:
