@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimcheck.catalog import derived, query
-from claimcheck.session import shared_dir
+from claimcheck.session import materialize, shared_dir
 from claimcheck.sources import reports
 
 _DATASET = """concat('{"name":"customers","rows":', c_custkey, ',"cols":5}')"""
@@ -138,7 +138,7 @@ FROM (SELECT report_id, c_custkey, kind, c_mktsegment,
 """,
 )
 def report_roundtrip(spark, sf_dir):
-    valid = _valid(spark, sf_dir)
+    valid = materialize(_valid(spark, sf_dir), "reports")
     nested = reports.nest_reports(
         reports.report_datasets(valid),
         reports.report_findings(valid),

@@ -23,49 +23,53 @@ SCRIPT_WORDS = "transform map reduce".split()
 def validate_query(query: Column) -> Column:
     """Why a query text is refused, or NULL when it is a single read statement."""
     body = F.regexp_replace(strip_text(F.coalesce(query, F.lit(""))), r";\z", "")
-    return let(body, lambda b: let(_words(b), lambda words: _refusal(b, words)))
+    return let(body, _refusal)
 
 
-def _words(body: Column) -> Column:
-    """STRUCT<leading, banned, script>: the words the rules look at."""
-    lower = F.transform(F.regexp_extract_all(body, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.lower)
-    banned = F.array(*map(F.lit, FORBIDDEN_WORDS + SPARK_FORBIDDEN_WORDS))
-    return F.struct(
-        F.upper(F.regexp_extract(body, r"(?U)\A\s*([A-Za-z]+)", 1)).alias("leading"),
-        F.array_sort(F.array_intersect(lower, banned)).alias("banned"),
-        F.arrays_overlap(lower, F.array(*map(F.lit, SCRIPT_WORDS))).alias("script"),
-    )
+def _banned(body: Column) -> Column:
+    """Forbidden words among the identifiers, sorted; one search clears the usual text."""
+    words = FORBIDDEN_WORDS + SPARK_FORBIDDEN_WORDS
+    identifiers = F.regexp_extract_all(F.lower(body), F.lit("[a-z_][a-z0-9_]*"), F.lit(0))
+    found = F.array_sort(F.array_intersect(identifiers, F.array(*map(F.lit, words))))
+    suspect = body.rlike(rf"(?i)(?<![A-Za-z_])(?:{'|'.join(words)})(?![A-Za-z0-9_])")
+    return F.when(suspect, F.concat_ws(", ", found)).otherwise("")
 
 
-def _refusal(body: Column, words: Column) -> Column:
+def _refusal(body: Column) -> Column:
     allowed = "/".join(ALLOWED_WORDS)
+    leading = F.upper(F.regexp_extract(body, r"(?U)\A\s*([A-Za-z]+)", 1))
+    script = "|".join(SCRIPT_WORDS)
     return (
         F.when(body == "", "empty query")
         .when(
             body.contains(";"), "multiple statements are not allowed (found ';' inside the query)"
         )
         .when(
-            ~words.leading.isin(ALLOWED_WORDS),
+            ~leading.isin(ALLOWED_WORDS),
             F.concat(
                 F.lit(f"only {allowed} statements are allowed, got statement starting with '"),
-                F.when(words.leading != "", words.leading).otherwise(F.left(body, F.lit(20))),
+                F.coalesce(F.nullif(leading, F.lit("")), F.left(body, F.lit(20))),
                 F.lit("'"),
             ),
         )
-        .when(
-            F.size(words.banned) > 0,
-            F.concat(
-                F.lit("disallowed keyword(s) in query: "),
-                F.concat_ws(", ", words.banned),
-                F.lit(
-                    " -- file access, catalog changes and DML are not permitted; "
-                    "only read the `data` view"
+        .otherwise(
+            let(
+                _banned(body),
+                lambda banned: F.when(
+                    banned != "",
+                    F.concat(
+                        F.lit("disallowed keyword(s) in query: "),
+                        banned,
+                        F.lit(
+                            " -- file access, catalog changes and DML are not permitted; "
+                            "only read the `data` view"
+                        ),
+                    ),
+                ).when(
+                    body.rlike(rf"(?i)\b(?:{script})\b") & body.rlike(r"(?i)\bUSING\b(?!\s*\()"),
+                    "disallowed script clause in query: only read the `data` view",
                 ),
-            ),
-        )
-        .when(
-            words.script & body.rlike(r"(?i)\bUSING\b(?!\s*\()"),
-            "disallowed script clause in query: only read the `data` view",
+            )
         )
     )
 

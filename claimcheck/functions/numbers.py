@@ -96,27 +96,33 @@ def round_half_even(value: Column, digits: int = 4) -> Column:
 
 def fixed_text(value: Column, digits: int) -> Column:
     """Fixed-point text with exactly `digits` (at least one) decimals."""
+
+    def parts(value: Column) -> Column:
+        # The fraction of a double is itself a double, so nothing is lost by rounding it alone.
+        whole = F.floor(F.abs(value)).cast("double")
+        rounded = let(F.abs(value) - whole, lambda fraction: _scaled(fraction, digits))
+        return F.struct(
+            F.when(value.cast("string").startswith("-"), "-").otherwise("").alias("sign"),
+            whole.try_cast("decimal(38,0)").alias("whole"),
+            rounded.cast("bigint").alias("n"),
+        )
+
+    def render(p: Column) -> Column:
+        whole = F.when(p.n >= 10**digits, (p.whole + 1).cast("decimal(38,0)")).otherwise(p.whole)
+        decimals = F.right(F.lpad(p.n.cast("string"), digits, "0"), F.lit(digits))
+        return F.concat(p.sign, whole.cast("string"), F.lit("."), decimals)
+
     value = value.cast("double")
-    size = F.abs(value)
-    whole = F.floor(size).cast("double")
-    # The fraction of a double is itself a double, so nothing is lost by rounding it alone.
-    n = _scaled(size - whole, digits)
-    carry = F.when(n >= float(10**digits), 1).otherwise(0)
-    text = F.concat(
-        F.when(value.cast("string").startswith("-"), "-").otherwise(""),
-        (whole.try_cast("decimal(38,0)") + carry).cast("decimal(38,0)").cast("string"),
-        F.lit("."),
-        F.right(F.lpad(n.cast("bigint").cast("string"), digits, "0"), F.lit(digits)),
-    )
-    return F.coalesce(text, F.format_string(f"%.{digits}f", value))
+    return F.coalesce(let(let(value, parts), render), F.format_string(f"%.{digits}f", value))
 
 
 def number_text(value: Column, as_int: Column) -> Column:
     """A number as it appears in a claim: whole for counts, else 4 decimals, zeros trimmed."""
-    value = value.cast("double")
-    trimmed = F.regexp_replace(fixed_text(value, 4), r"\.?0+$", "")
-    return F.when(as_int, F.rint(value).cast("decimal(38,0)").cast("string")).otherwise(
-        F.when(trimmed == "", "0").otherwise(trimmed)
+    return let(
+        value.cast("double"),
+        lambda v: F.when(as_int, F.rint(v).cast("decimal(38,0)").cast("string")).otherwise(
+            F.regexp_replace(fixed_text(v, 4), r"\.?0+$", "")
+        ),
     )
 
 

@@ -143,11 +143,11 @@ def numeric_text(df: DataFrame) -> DataFrame:
     return long.select("column_name", "n_number", "n_blank", "n_other", kind.alias("kind"))
 
 
-def _number_or_null(agg: Callable[[Column], Column]) -> Stat:
+def _number_or_null(agg: Callable[[Column], Column], dtype: str = "double") -> Stat:
     def make(column: Column, field: T.StructField) -> Column:
         if isinstance(field.dataType, T.NumericType):
             return agg(column.cast("double"))
-        return F.max(F.lit(None).cast("double"))
+        return F.max(F.lit(None).cast(dtype))
 
     return make
 
@@ -166,10 +166,9 @@ def summarize(df: DataFrame, accuracy: int = 10_000, rsd: float = 0.02) -> DataF
 
     Distinct counts and quantiles are sketches of fixed size, so one scan is enough.
     """
-    quantiles = {
-        name: _number_or_null(lambda c, q=q: F.percentile_approx(c, q, accuracy))
-        for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
-    }
+    def quantiles(column: Column) -> Column:
+        return F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy)
+
     long = _long(
         df,
         df.schema.fields,
@@ -179,11 +178,12 @@ def summarize(df: DataFrame, accuracy: int = 10_000, rsd: float = 0.02) -> DataF
             "approx_unique": lambda c, f: F.approx_count_distinct(_hashable(c, f), rsd),
             "avg": _number_or_null(F.avg),
             "std": _number_or_null(F.stddev_samp),
-            **quantiles,
+            "quantiles": _number_or_null(quantiles, "array<double>"),
             "n_valid": lambda c, f: F.count(c),
         },
     )
-    return _with_null_share(long)
+    spread = {name: F.try_element_at("quantiles", F.lit(i + 1)) for i, name in enumerate(("q25", "q50", "q75"))}
+    return _with_null_share(long.withColumns(spread).drop("quantiles"))
 
 
 def summarize_exact(df: DataFrame) -> DataFrame:

@@ -65,19 +65,22 @@ def evidence_route(evidence: Column, schema: T.StructType) -> Column:
     ('' for the whole table), the filter values in canonical form and their join key.
     """
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(evidence, FAMILY, i)
-
-    parts = F.struct(
-        F.lower(part(1)).alias("aggregate"),
-        strip_text(part(2)).alias("argument"),
-        F.lower(F.concat(part(3), part(4))).alias("column"),
-        F.regexp_extract_all(F.concat(part(5), part(6)), F.lit(_VALUE), F.lit(0)).alias("written"),
-    )
-    return F.when(
-        evidence.rlike(FAMILY),
-        let(parts, lambda p: let(_canonical_values(p.column, p.written, schema), lambda v: _route(p, v))),
-    ).otherwise(_text_route())
+    # One match hands over all parts at once; a text that does not match stays as it is.
+    split = F.split(F.regexp_replace(evidence, FAMILY, SEPARATOR.join(f"${i}" for i in range(1, 7))), SEPARATOR)
+
+    def routed(parts: Column) -> Column:
+        named = F.struct(
+            F.lower(parts[0]).alias("aggregate"),
+            strip_text(parts[1]).alias("argument"),
+            F.lower(F.concat(parts[2], parts[3])).alias("column"),
+            F.regexp_extract_all(F.concat(parts[4], parts[5]), F.lit(_VALUE), F.lit(0)).alias("written"),
+        )
+        family = let(
+            named, lambda p: let(_canonical_values(p.column, p.written, schema), lambda v: _route(p, v))
+        )
+        return F.when(F.size(parts) == 6, family).otherwise(_text_route())
+
+    return F.when(evidence.contains(SEPARATOR), _text_route()).otherwise(let(split, routed))
 
 
 def _text_route() -> Column:

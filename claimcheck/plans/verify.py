@@ -60,81 +60,96 @@ def recomputed_text(raw: Column) -> Column:
     ).otherwise(float_text(parse_number(raw)))
 
 
+# The rules in order of precedence; the last one holds when no other does.
+RULES = [
+    ("unverified", "evidence_does_not_touch_data"),
+    ("unverified", "not_recomputed"),
+    ("unverified", "not_comparable"),
+    ("contradicted", "value_differs"),
+    ("contradicted", "claim_text_disagrees_with_value"),
+    ("unverified", "population_mismatch_suspected"),
+    ("verified", "value_matches"),
+]
+
+
 def with_verdict(recomputed: DataFrame, rel_tol: float = REL_TOL, abs_tol: float = ABS_TOL) -> DataFrame:
-    """Apply the verdict precedence to findings carrying raw, error and implausible."""
+    """Apply the verdict precedence to findings carrying raw, error and implausible.
+
+    The rule that decides is worked out once, as a number; verdict, reason and detail are
+    separate columns read from it, so a query that counts verdicts renders no detail.
+    """
     is_numeric = F.col("value_kind") == "number"
-    value = F.col("value_num")
-    staged = recomputed.withColumns(
-        {
-            "is_numeric": is_numeric,
-            "number": F.when(is_numeric, parse_number(F.col("raw"))),
-            "shown": F.when(is_numeric, recomputed_text(F.col("raw"))).otherwise(F.col("raw")),
-            "shown_raw": quoted(F.col("raw")),
-            "claimed": F.when(F.col("value_kind") == "string", quoted(F.col("value_text"))).otherwise(
-                F.col("value_text")
-            ),
-            "claim_fits": ~is_numeric | claim_agrees(F.col("claim"), value, rel_tol, abs_tol),
-            "mismatch": population_mismatch(F.col("evidence"), F.col("claim")),
-        }
-    )
-    outcome = staged.withColumn("outcome", _outcome(rel_tol, abs_tol))
-    checked = F.col("outcome.verdict") != "unverified"
+    ruled = recomputed.withColumn(
+        "_number", F.when(is_numeric, parse_number(F.col("raw")))
+    ).withColumn("_rule", _rule(rel_tol, abs_tol))
+    verdict = F.element_at(F.array(*[F.lit(v) for v, _ in RULES]), F.col("_rule"))
+    reason = F.element_at(F.array(*[F.lit(r) for _, r in RULES]), F.col("_rule"))
+    shown = F.when(is_numeric, recomputed_text(F.col("raw"))).otherwise(F.col("raw"))
     kept = [c for c in recomputed.columns if c not in ("raw", "error", "implausible", "evidence_row_count")]
-    return outcome.select(
+    return ruled.select(
         *kept,
-        "outcome.verdict",
-        "outcome.reason",
-        "outcome.detail",
-        F.when(checked, F.col("shown")).alias("recomputed_text"),
-        F.when(checked, F.col("number")).alias("recomputed_num"),
+        verdict.alias("verdict"),
+        reason.alias("reason"),
+        _detail(shown, rel_tol, abs_tol).alias("detail"),
+        F.when(verdict != "unverified", shown).alias("recomputed_text"),
+        F.when(verdict != "unverified", F.col("_number")).alias("recomputed_num"),
         F.when(F.col("implausible").isNull(), F.col("evidence_row_count")).alias("evidence_row_count"),
     )
 
 
-def _outcome(rel_tol: float, abs_tol: float) -> Column:
-    """STRUCT<verdict, reason, detail> of the first rule that applies."""
-    tolerances = f" (rel_tol={rel_tol}, abs_tol={abs_tol})"
-    is_numeric = F.col("is_numeric")
+def _rule(rel_tol: float, abs_tol: float) -> Column:
+    """Which of RULES decides, counted from 1."""
+    is_numeric, number, value = F.col("value_kind") == "number", F.col("_number"), F.col("value_num")
+    matches = F.when(is_numeric, is_close(number, value, rel_tol, abs_tol)).otherwise(
+        fold(F.col("raw")) == fold(F.col("value_text"))
+    )
+    return (
+        F.when(F.col("implausible").isNotNull(), 1)
+        .when(F.col("error").isNotNull(), 2)
+        .when(is_numeric & number.isNull(), 3)
+        .when(~matches, 4)
+        .when(is_numeric & ~claim_agrees(F.col("claim"), value, rel_tol, abs_tol), 5)
+        .when(population_mismatch(F.col("evidence"), F.col("claim")).isNotNull(), 6)
+        .otherwise(7)
+    )
 
-    def compared(word: str) -> Column:
-        shown = F.when(is_numeric, F.col("shown")).otherwise(F.col("shown_raw"))
-        how = F.when(is_numeric, tolerances).otherwise(" (string compare)")
-        return F.concat(F.lit("recomputed "), shown, F.lit(f" {word} claimed "), "claimed", how)
 
-    def outcome(verdict: str, reason: str, detail: Column) -> Column:
-        return F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"), detail.alias("detail"))
+def _detail(shown: Column, rel_tol: float, abs_tol: float) -> Column:
+    """The deciding rule in words."""
+    rule, is_numeric = F.col("_rule"), F.col("value_kind") == "number"
+    tolerances = F.lit(f" (rel_tol={rel_tol}, abs_tol={abs_tol})")
+    claimed = F.when(F.col("value_kind") == "string", quoted(F.col("value_text"))).otherwise(F.col("value_text"))
+    raw = quoted(F.col("raw"))
 
-    def explained(verdict: str, reason: str, *detail: str | Column) -> Column:
-        return outcome(verdict, reason, F.concat(F.lit(f"{reason}: "), *detail))
+    def explained(*detail: str | Column) -> Column:
+        return F.concat(F.element_at(F.array(*[F.lit(r) for _, r in RULES]), rule), F.lit(": "), *detail)
 
-    incomparable = F.concat(
-        F.lit("claimed value "), "claimed", F.lit(" is numeric but the recomputed value "), "shown_raw",
-        F.lit(" is not -- values are not comparable"),
+    compared = F.concat(
+        F.lit("recomputed "),
+        F.when(is_numeric, shown).otherwise(raw),
+        F.when(rule == 4, " does NOT match claimed ").otherwise(" matches claimed "),
+        claimed,
+        F.when(is_numeric, tolerances).otherwise(" (string compare)"),
     )
-    match = F.when(
-        is_numeric, is_close(F.col("number"), F.col("value_num"), rel_tol, abs_tol)
-    ).otherwise(fold(F.col("raw")) == fold(F.col("value_text")))
     return (
-        F.when(
-            F.col("implausible").isNotNull(),
-            explained("unverified", "evidence_does_not_touch_data", "implausible"),
+        F.when(rule == 1, explained("implausible"))
+        .when(rule == 2, F.col("error"))
+        .when(
+            rule == 3,
+            F.concat(
+                F.lit("claimed value "), claimed, F.lit(" is numeric but the recomputed value "), raw,
+                F.lit(" is not -- values are not comparable"),
+            ),
         )
-        .when(F.col("error").isNotNull(), outcome("unverified", "not_recomputed", F.col("error")))
-        .when(is_numeric & F.col("number").isNull(), outcome("unverified", "not_comparable", incomparable))
-        .when(~match, outcome("contradicted", "value_differs", compared("does NOT match")))
         .when(
-            ~F.col("claim_fits"),
+            rule == 5,
             explained(
-                "contradicted", "claim_text_disagrees_with_value",
                 F.lit("claim "), quoted(F.col("claim")),
-                F.lit(" quotes no number matching the claimed value "), "claimed", F.lit(tolerances),
+                F.lit(" quotes no number matching the claimed value "), claimed, tolerances,
             ),
         )
-        .when(
-            F.col("mismatch").isNotNull(),
-            explained("unverified", "population_mismatch_suspected", "mismatch"),
-        )
-        .otherwise(outcome("verified", "value_matches", compared("matches")))
+        .when(rule == 6, explained(population_mismatch(F.col("evidence"), F.col("claim"))))
+        .otherwise(compared)
     )
 
 
