@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from claimcheck.catalog import derived, query, table
 from claimcheck.functions.numbers import parse_number
 from claimcheck.operators.recompute import recomputed_values
-from claimcheck.plans.verify import judge_findings, verdict_summary
+from claimcheck.plans.verify import VERDICTS, judge_findings, verdict_summary
 from claimcheck.session import ClaimSession
 from claimcheck.sources.reports import judged_reports
 
@@ -155,31 +155,39 @@ def evidence_row_count(spark, sf_dir):
     return recomputed_values(session, claims).select("finding_id", "evidence_row_count")
 
 
+# A finding's place in its report.
+POSITION = f"CAST(floor(k / 50) * {N_KINDS} + kind AS BIGINT)"
+
+
 @query(
     "judged_report_json",
     f"""
-SELECT report_id, 0::BIGINT AS part, count(*)::BIGINT AS n_findings,
-  count(*) FILTER (WHERE verdict = 'verified')::BIGINT AS verified,
-  count(*) FILTER (WHERE verdict = 'unverified')::BIGINT AS unverified,
-  count(*) FILTER (WHERE verdict = 'contradicted')::BIGINT AS contradicted,
-  count(*) FILTER (WHERE evidence_row_count IS NULL)::BIGINT AS n_without_rows
-FROM ({MIXED_VERDICTS}) GROUP BY report_id
+WITH v AS (SELECT *, {POSITION} // 10000 AS part FROM ({MIXED_VERDICTS})),
+whole AS (SELECT report_id, count(*) FILTER (WHERE verdict = 'verified') AS verified,
+  count(*) FILTER (WHERE verdict = 'unverified') AS unverified,
+  count(*) FILTER (WHERE verdict = 'contradicted') AS contradicted FROM v GROUP BY report_id)
+SELECT v.report_id, part, count(*)::BIGINT AS n_findings, count(*) FILTER (WHERE evidence_row_count IS NULL)::BIGINT AS n_without_rows,
+  CASE WHEN part = 0 THEN any_value(w.verified) END::BIGINT AS verified,
+  CASE WHEN part = 0 THEN any_value(w.unverified) END::BIGINT AS unverified,
+  CASE WHEN part = 0 THEN any_value(w.contradicted) END::BIGINT AS contradicted
+FROM v JOIN whole w ON w.report_id = v.report_id GROUP BY v.report_id, part
 """,
 )
 def judged_report_json(spark, sf_dir):
     """Judged documents, read back to what they say."""
-    judged = judged_mixed(spark, sf_dir).withColumn("finding_pos", (F.col("k") * 0).cast("int"))
+    judged = judged_mixed(spark, sf_dir).withColumn(
+        "finding_pos", F.floor(F.col("k") / 50) * N_KINDS + F.col("kind")
+    )
     documents = judged_reports(judged)
     doc = F.parse_json("json")
     findings = F.variant_get(doc, "$.findings", "array<variant>")
+    without = F.filter(findings, lambda f: F.try_variant_get(f, "$.evidence_row_count", "bigint").isNull())
     return documents.select(
         "report_id",
         "part",
         F.size(findings).cast("bigint").alias("n_findings"),
-        *[F.variant_get(doc, f"$.summary.{v}", "bigint").alias(v) for v in ("verified", "unverified", "contradicted")],
-        F.size(
-            F.filter(findings, lambda f: F.try_variant_get(f, "$.evidence_row_count", "bigint").isNull())
-        ).cast("bigint").alias("n_without_rows"),
+        F.size(without).cast("bigint").alias("n_without_rows"),
+        *[F.try_variant_get(doc, f"$.summary.{v}", "bigint").alias(v) for v in VERDICTS],
     )
 
 

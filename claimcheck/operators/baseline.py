@@ -28,7 +28,9 @@ RANDOM_STATE = r"random_state\s*=\s*([0-9]+)"
 MAX_ITER = r"max_iter\s*=\s*([0-9]+)"
 TEST_PERCENT = 20
 
-SCORE_BUCKETS = 1000
+# Distinct scores ranked by one task, and the most ranges they are cut into.
+RANGE_ROWS = 1_000_000
+MAX_RANGES = 10_000
 # Hex digits of the split hash in the histogram: a million slots, so that ranking the rows
 # of one slot stays small up to a trillion rows.
 HASH_DIGITS = 5
@@ -117,6 +119,17 @@ def accuracy(scored: DataFrame, label: str = "label", prediction: str = "predict
     return scored.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
 
 
+def _score_ranges(by_score: DataFrame) -> list[float]:
+    """Bounds that cut the distinct scores into ranges of about RANGE_ROWS."""
+    n = min(MAX_RANGES, by_score.count() // RANGE_ROWS + 1)
+    inner: set[float] = set()
+    if n > 1:
+        steps = [i / n for i in range(1, n)]
+        inner = set(by_score.agg(F.percentile_approx("score", steps, n * 10)).first()[0])
+    finite = sorted(s for s in inner if s == s and abs(s) != float("inf")) or [0.0]
+    return [float("-inf"), *finite, float("inf")]
+
+
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC-AUC, ties counted half.
 
@@ -126,19 +139,16 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> Da
     by_score = materialize(
         scored.groupBy(F.col(score).cast("double").alias("score")).agg(
             F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
-        )
+        ),
+        "scores",
     )
-    steps = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    found = by_score.agg(F.percentile_approx("score", steps, SCORE_BUCKETS * 10).alias("s")).first()["s"]
-    inner = sorted({s for s in found or [] if s == s and abs(s) != float("inf")})
-    splits = [float("-inf"), *(inner or [0.0]), float("inf")]
     ranged = Bucketizer(
-        splits=splits, inputCol="score", outputCol="range", handleInvalid="keep"
+        splits=_score_ranges(by_score), inputCol="score", outputCol="range", handleInvalid="keep"
     ).transform(by_score)
     below = (
         ranged.groupBy("range")
         .agg(F.sum("neg").alias("range_neg"))
-        # At most SCORE_BUCKETS + 1 rows.
+        # At most MAX_RANGES + 1 rows.
         .withColumn("neg_offset", F.sum("range_neg").over(Window.orderBy("range")) - F.col("range_neg"))
         .select("range", "neg_offset")
     )

@@ -33,6 +33,8 @@ TEXT_ROUND = 256
 TEXT_THREADS = 8
 FAMILY_THREADS = 8
 SEPARATOR = "\x1f"
+# Join keys that claims without a result are spread over.
+SPREAD = 4096
 # Results made on the driver are broadcast up to this counted size.
 BROADCAST_BYTES = 8 << 20
 
@@ -216,12 +218,17 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
     """
     by_text = _runs_as_text(F.col("route"), results.failed)
     by_family = F.col("runs") & ~by_text
-    joined = keyed = routed.select(
-        *[c for c in routed.columns if c not in ("route", "runs")],
-        F.when(by_family, F.col("route.column")).alias("column"),
-        F.when(by_family, F.col("route.key")).alias("key"),
+    plain = [c for c in routed.columns if c not in ("route", "runs", "guard_error")]
+    # Claims without a key match nothing; spread, they do not pile up in one join partition.
+    nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64(*plain), F.lit(SPREAD)).cast("string"))
+    joined = routed.select(
+        *plain,
+        "guard_error",
+        by_family.alias("is_family"),
+        F.when(by_family, F.col("route.column")).otherwise(nowhere).alias("column"),
+        F.when(by_family, F.col("route.key")).otherwise(nowhere).alias("key"),
         F.when(by_family, F.col("route.aggregate")).alias("aggregate"),
-        F.when(F.col("runs") & by_text, F.col(evidence)).alias("run_text"),
+        F.when(F.col("runs") & by_text, F.col(evidence)).otherwise(nowhere).alias("run_text"),
     )
     for side, keys, schema in (
         (results.families, ["column", "key"], FAMILY_SCHEMA),
@@ -233,7 +240,7 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
         else:
             missing = [f for f in T.StructType.fromDDL(schema).fields if f.name not in keys]
             joined = joined.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
-    is_family = F.col("column").isNotNull()
+    is_family = F.col("is_family")
     empty = F.when(F.col("aggregate").startswith("count("), "0").otherwise("")
     family_raw = F.when(F.col("n_rows").isNull(), empty).otherwise(
         F.coalesce(F.try_element_at("raws", "aggregate"), F.lit(""))
@@ -244,7 +251,7 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
         .otherwise(F.col("text_error"))
     )
     return joined.select(
-        *[c for c in keyed.columns if c not in ("guard_error", "column", "key", "aggregate", "run_text")],
+        *plain,
         F.when(error.isNull() & is_family, family_raw).otherwise(F.col("text_raw")).alias("raw"),
         error.alias("error"),
         F.when(is_family, F.coalesce("n_rows", F.lit(0).cast("bigint")))

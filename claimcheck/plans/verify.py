@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimcheck.functions.claims import claim_agrees
@@ -17,7 +19,7 @@ from claimcheck.functions.numbers import (
 from claimcheck.functions.runlogs import run_error, stdout_result, stdout_rows
 from claimcheck.functions.text import fold, let, quoted, strip_text
 from claimcheck.operators.recompute import attach, recompute, route_evidences
-from claimcheck.session import ClaimSession
+from claimcheck.session import ClaimSession, adopt
 
 VERDICTS = ["verified", "unverified", "contradicted"]
 NARROW_SHARE = 0.10
@@ -182,9 +184,6 @@ def with_run_logs(findings: DataFrame, run_logs: DataFrame) -> DataFrame:
     )
 
 
-NO_RUN_LOGS = "evidence string, ok boolean, stdout string, error string"
-
-
 def judge_findings(
     spark: SparkSession,
     findings: DataFrame,
@@ -194,7 +193,10 @@ def judge_findings(
     rel_tol: float = REL_TOL,
     abs_tol: float = ABS_TOL,
 ) -> DataFrame:
-    """One verdict per finding, recomputed from `dataset`."""
+    """One verdict per finding, recomputed from `dataset`.
+
+    The result belongs to a session of its own; `claimcheck.session.adopt` binds it to another.
+    """
     session = ClaimSession(spark)
     session.register(dataset)
     findings = session.adopt(findings)
@@ -223,23 +225,10 @@ def judge_datasets(
 ) -> DataFrame:
     """Judge findings over several datasets; `findings.dataset_id` names the one each is about."""
     judged = [
-        spark_side(spark, judge_findings(spark, findings.where(F.col("dataset_id") == name), data, **options))
+        adopt(spark, judge_findings(spark, findings.where(F.col("dataset_id") == name), data, **options))
         for name, data in datasets.items()
     ]
-    result = judged[0]
-    for more in judged[1:]:
-        result = result.unionByName(more)
-    return result
-
-
-def spark_side(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A child session's result, bound to the session of the caller."""
-    name = f"judged_{id(df):x}_{len(df.columns)}"
-    df.createOrReplaceGlobalTempView(name)
-    try:
-        return spark.table(f"global_temp.{name}")
-    finally:
-        spark.catalog.dropGlobalTempView(name)
+    return reduce(DataFrame.unionByName, judged)
 
 
 def verdict_summary(judged: DataFrame, *keys: str) -> DataFrame:

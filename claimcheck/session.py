@@ -42,6 +42,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def adopt(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """`df` bound to `spark`, whichever session it was made in."""
+    name = f"adopted_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return spark.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 class ClaimSession:
     """A child session holding one dataset as the view `data`.
 
@@ -56,12 +66,7 @@ class ClaimSession:
 
     def adopt(self, df: DataFrame) -> DataFrame:
         """The same DataFrame, bound to this session."""
-        name = f"adopted_{uuid.uuid4().hex}"
-        df.createGlobalTempView(name)
-        try:
-            return self.spark.table(f"global_temp.{name}")
-        finally:
-            df.sparkSession.catalog.dropGlobalTempView(name)
+        return adopt(self.spark, df)
 
     def register(self, df: DataFrame) -> DataFrame:
         """Expose `df` as the view `data` and return it bound to this session."""

@@ -48,8 +48,10 @@ def auc(pairs):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
+@pytest.mark.parametrize("range_rows", [1_000_000, 10])
 @pytest.mark.parametrize("levels", [1, 7, 5000])
-def test_auc_matches_brute_force(spark, levels):
+def test_auc_matches_brute_force(spark, monkeypatch, levels, range_rows):
+    monkeypatch.setattr(baseline, "RANGE_ROWS", range_rows)
     rng = np.random.default_rng(levels)
     pairs = [(float(s) / levels, int(y)) for s, y in zip(rng.integers(0, levels, 900), rng.integers(0, 2, 900))]
     frame = spark.createDataFrame(pairs, "score double, label int")
