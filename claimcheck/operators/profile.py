@@ -161,7 +161,7 @@ def _extreme(agg: Callable[[Column], Column]) -> Stat:
     return make
 
 
-def summarize(df: DataFrame, accuracy: int = 10_000, rsd: float = 0.02) -> DataFrame:
+def summarize(df: DataFrame, accuracy: int = 10_000, rsd: float = 0.05) -> DataFrame:
     """Per column: min, max, approx_unique, avg, std, q25, q50, q75, count, null_percentage.
 
     Distinct counts and quantiles are sketches of fixed size, so one scan is enough.
