@@ -32,6 +32,7 @@ def touches_data(evidence: Column, dataset_path: str | None = None) -> Column:
 
 def implausible_reason(evidence: Column, dataset_path: str | None = None) -> Column:
     """Why the evidence cannot have read the dataset, or NULL."""
+    evidence = F.coalesce(evidence, F.lit(""))
     sql_reason = (
         "SQL evidence never references the `data` view in a FROM/JOIN clause "
         "-- it cannot have queried the real dataset"

@@ -171,28 +171,29 @@ def _small(df: DataFrame, rows: list[tuple]) -> DataFrame:
 
 
 RUN_ERRORS = (PySparkException, Py4JJavaError)
-ERROR_SCHEMA = "column string, aggregate string, family_error string"
-FAMILY_SCHEMA = "column string, key string, n_rows bigint, raws map<string,string>"
-TEXT_SCHEMA = "run_text string, text_raw string, text_error string, text_rows bigint"
+# Underscored names stay clear of whatever columns a table of claims brings along.
+ERROR_SCHEMA = "_column string, _aggregate string, _family_error string"
+FAMILY_SCHEMA = "_column string, _key string, _n_rows bigint, _raws map<string,string>"
+TEXT_SCHEMA = "_run_text string, _text_raw string, _text_error string, _text_rows bigint"
 
 
 def route_evidences(session: ClaimSession, evidences: DataFrame, evidence: str = "evidence") -> DataFrame:
-    """Add `route`, `guard_error` and `runs` to a table of evidences, worked out once.
+    """Add `_route`, `_guard_error` and `_runs` to a table of evidences, worked out once.
 
     Evidences already carrying an `implausible` reason do not run.
     """
     text = F.col(evidence)
     plausible = F.col("implausible").isNull() if "implausible" in evidences.columns else F.lit(True)
     routed = evidences.withColumns(
-        {"route": evidence_route(text, session.data.schema), "guard_error": validate_query(text), "_sql": is_sql(text)}
+        {"_route": evidence_route(text, session.data.schema), "_guard_error": validate_query(text)}
     )
-    runs = F.col("_sql") & F.col("guard_error").isNull() & plausible
-    return materialize(routed.withColumn("runs", runs).drop("_sql"), "routed")
+    runs = plausible & F.col("_guard_error").isNull() & F.coalesce(is_sql(text), F.lit(False))
+    return materialize(routed.withColumn("_runs", runs), "routed")
 
 
 def recompute(session: ClaimSession, routed: DataFrame, evidence: str = "evidence") -> Recomputed:
     """Recompute every evidence of a routed table that is allowed to run."""
-    running = routed.where("runs")
+    running = routed.where("_runs")
     families = _families(session, running)
     pushed = _pushed_values(running, families)
     with ThreadPoolExecutor(FAMILY_THREADS) as pool:
@@ -216,46 +217,49 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
     Every joined side holds one row per key. A text shared by many claims makes its
     join partition large on the claims' side only, which adaptive execution splits.
     """
-    by_text = _runs_as_text(F.col("route"), results.failed)
-    by_family = F.col("runs") & ~by_text
-    plain = [c for c in routed.columns if c not in ("route", "runs", "guard_error")]
+    by_text = _runs_as_text(F.col("_route"), results.failed)
+    by_family = F.col("_runs") & ~by_text
+    plain = [c for c in routed.columns if c not in ("_route", "_runs", "_guard_error")]
     # Claims without a key match nothing; spread, they do not pile up in one join partition.
-    nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64(*plain), F.lit(SPREAD)).cast("string"))
+    spread_by = [
+        f.name for f in routed.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType))
+    ]
+    nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64(*map(quote_ident, spread_by)), F.lit(SPREAD)).cast("string"))
     joined = routed.select(
-        *plain,
-        "guard_error",
-        by_family.alias("is_family"),
-        F.when(by_family, F.col("route.column")).otherwise(nowhere).alias("column"),
-        F.when(by_family, F.col("route.key")).otherwise(nowhere).alias("key"),
-        F.when(by_family, F.col("route.aggregate")).alias("aggregate"),
-        F.when(F.col("runs") & by_text, F.col(evidence)).otherwise(nowhere).alias("run_text"),
+        *map(quote_ident, plain),
+        "_guard_error",
+        by_family.alias("_is_family"),
+        F.when(by_family, F.col("_route.column")).otherwise(nowhere).alias("_column"),
+        F.when(by_family, F.col("_route.key")).otherwise(nowhere).alias("_key"),
+        F.when(by_family, F.col("_route.aggregate")).alias("_aggregate"),
+        F.when(F.col("_runs") & by_text, F.col(evidence)).otherwise(nowhere).alias("_run_text"),
     )
     for side, keys, schema in (
-        (results.families, ["column", "key"], FAMILY_SCHEMA),
-        (results.errors, ["column", "aggregate"], ERROR_SCHEMA),
-        (results.texts, ["run_text"], TEXT_SCHEMA),
+        (results.families, ["_column", "_key"], FAMILY_SCHEMA),
+        (results.errors, ["_column", "_aggregate"], ERROR_SCHEMA),
+        (results.texts, ["_run_text"], TEXT_SCHEMA),
     ):
         if side is not None:
             joined = joined.join(side, keys, "left")
         else:
             missing = [f for f in T.StructType.fromDDL(schema).fields if f.name not in keys]
             joined = joined.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
-    is_family = F.col("is_family")
-    empty = F.when(F.col("aggregate").startswith("count("), "0").otherwise("")
-    family_raw = F.when(F.col("n_rows").isNull(), empty).otherwise(
-        F.coalesce(F.try_element_at("raws", "aggregate"), F.lit(""))
+    is_family = F.col("_is_family")
+    empty = F.when(F.col("_aggregate").startswith("count("), "0").otherwise("")
+    family_raw = F.when(F.col("_n_rows").isNull(), empty).otherwise(
+        F.coalesce(F.try_element_at("_raws", "_aggregate"), F.lit(""))
     )
     error = (
-        F.when(F.col("guard_error").isNotNull(), _execution_error(F.col("guard_error")))
-        .when(is_family, _execution_error(F.col("family_error")))
-        .otherwise(F.col("text_error"))
+        F.when(F.col("_guard_error").isNotNull(), _execution_error(F.col("_guard_error")))
+        .when(is_family, _execution_error(F.col("_family_error")))
+        .otherwise(F.col("_text_error"))
     )
     return joined.select(
-        *plain,
-        F.when(error.isNull() & is_family, family_raw).otherwise(F.col("text_raw")).alias("raw"),
+        *map(quote_ident, plain),
+        F.when(error.isNull() & is_family, family_raw).otherwise(F.col("_text_raw")).alias("raw"),
         error.alias("error"),
-        F.when(is_family, F.coalesce("n_rows", F.lit(0).cast("bigint")))
-        .otherwise(F.col("text_rows"))
+        F.when(is_family, F.coalesce("_n_rows", F.lit(0).cast("bigint")))
+        .otherwise(F.col("_text_rows"))
         .alias("evidence_row_count"),
     )
 
@@ -281,11 +285,11 @@ def _families(session: ClaimSession, running: DataFrame) -> list[Family]:
     """The distinct aggregates per filter column; claims themselves never reach the driver."""
     found: dict[str, Family] = {}
     members = (
-        running.where("route.route = 'family'")
-        .groupBy("route.column", "route.aggregate")
+        running.where("_route.route = 'family'")
+        .groupBy("_route.column", "_route.aggregate")
         .agg(
-            F.approx_count_distinct("route.key").alias("n_keys"),
-            F.max(F.size("route.values")).alias("n_values"),
+            F.approx_count_distinct("_route.key").alias("n_keys"),
+            F.max(F.size("_route.values")).alias("n_values"),
         )
     )
     for row in members.toLocalIterator():
@@ -310,8 +314,8 @@ def _pushed_values(running: DataFrame, families: list[Family]) -> dict[str, list
         return {}
     limit = (PUSHED_VALUES + 1) * len(few)
     rows = (
-        running.where(F.col("route.column").isin(few))
-        .select("route.column", F.explode("route.values").alias("v"))
+        running.where(F.col("_route.column").isin(few))
+        .select("_route.column", F.explode("_route.values").alias("v"))
         .distinct()
         .limit(limit)
         .collect()
@@ -327,7 +331,7 @@ def _pushed_values(running: DataFrame, families: list[Family]) -> dict[str, list
 def _family_rows(
     session: ClaimSession, running: DataFrame, family: Family, pushed: list[str] | None
 ) -> list[DataFrame]:
-    claimed = running.where(F.col("route.column") == family.column)
+    claimed = running.where(F.col("_route.column") == family.column)
     view = f"family_{uuid.uuid4().hex}"
     _filtered(session, family, pushed).createOrReplaceTempView(view)
     chunks = [list(c) for c in batched(family.types, BATCH_AGGREGATES)] or [[]]
@@ -339,7 +343,7 @@ def _family_rows(
     prefix = f"1{SEPARATOR}" if family.column else "0"
     rows = [_as_rows(family, partials, kept, names, F.concat(F.lit(prefix), "fkey"))]
     if family.n_values > 1:
-        lists = claimed.where(F.size("route.values") > 1).select("route.key", "route.values").distinct()
+        lists = claimed.where(F.size("_route.values") > 1).select("_route.key", "_route.values").distinct()
         merged = [F.sum("n_rows").alias("n_rows")]
         merged += [c for a in kept for c in _merged(a, names[a])]
         combined = (
@@ -425,10 +429,10 @@ def _as_rows(
     entries = [c for a in aggregates for c in (F.lit(a), raw(a))]
     raws = F.create_map(*entries) if entries else F.lit(None)
     return partials.select(
-        F.lit(family.column).alias("column"),
-        key.alias("key"),
-        F.col("n_rows").cast("bigint").alias("n_rows"),
-        raws.cast("map<string,string>").alias("raws"),
+        F.lit(family.column).alias("_column"),
+        key.alias("_key"),
+        F.col("n_rows").cast("bigint").alias("_n_rows"),
+        raws.cast("map<string,string>").alias("_raws"),
     )
 
 
@@ -470,17 +474,17 @@ def _text_rows(
 ) -> DataFrame | None:
     """Run each remaining distinct text once, a round at a time, so the driver holds one round only."""
     texts = (
-        running.where(_runs_as_text(F.col("route"), failed))
-        .select(F.col(evidence).alias("run_text"))
+        running.where(_runs_as_text(F.col("_route"), failed))
+        .select(F.col(evidence).alias("_run_text"))
         .distinct()
-        .withColumn("count_text", row_count_query(F.col("run_text")))
+        .withColumn("count_text", row_count_query(F.col("_run_text")))
     )
     path, done = shared_dir(session.spark, "texts"), []
     with ThreadPoolExecutor(TEXT_THREADS) as pool:
         for number, texts_round in enumerate(batched(texts.toLocalIterator(), TEXT_ROUND)):
             if number:
                 session.spark.createDataFrame(done, TEXT_SCHEMA).write.mode("append").parquet(path)
-            done = list(pool.map(lambda r: _run_text(session, r["run_text"], r["count_text"]), texts_round))
+            done = list(pool.map(lambda r: _run_text(session, r["_run_text"], r["count_text"]), texts_round))
             rounds = number + 1
     if not done:
         return None

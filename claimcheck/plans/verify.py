@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimcheck.functions.claims import claim_agrees
 from claimcheck.functions.evidence import implausible_reason, is_sql, population_mismatch
+from claimcheck.functions.guard import quote_ident
 from claimcheck.functions.numbers import (
     ABS_TOL,
     REL_TOL,
@@ -87,7 +88,11 @@ def with_verdict(recomputed: DataFrame, rel_tol: float = REL_TOL, abs_tol: float
     verdict = F.element_at(F.array(*[F.lit(v) for v, _ in RULES]), F.col("_rule"))
     reason = F.element_at(F.array(*[F.lit(r) for _, r in RULES]), F.col("_rule"))
     shown = F.when(is_numeric, recomputed_text(F.col("raw"))).otherwise(F.col("raw"))
-    kept = [c for c in recomputed.columns if c not in ("raw", "error", "implausible", "evidence_row_count")]
+    kept = [
+        quote_ident(c)
+        for c in recomputed.columns
+        if c not in ("raw", "error", "implausible", "evidence_row_count")
+    ]
     return ruled.select(
         *kept,
         verdict.alias("verdict"),
@@ -109,7 +114,7 @@ def _rule(rel_tol: float, abs_tol: float) -> Column:
         F.when(F.col("implausible").isNotNull(), 1)
         .when(F.col("error").isNotNull(), 2)
         .when(is_numeric & number.isNull(), 3)
-        .when(~matches, 4)
+        .when(~F.coalesce(matches, F.lit(False)), 4)
         .when(is_numeric & ~claim_agrees(F.col("claim"), value, rel_tol, abs_tol), 5)
         .when(population_mismatch(F.col("evidence"), F.col("claim")).isNotNull(), 6)
         .otherwise(7)
@@ -172,7 +177,7 @@ def with_run_logs(findings: DataFrame, run_logs: DataFrame) -> DataFrame:
         )
     )
     python = ~is_sql(F.col("evidence"))
-    plain = [c for c in findings.columns if c not in ("raw", "error", "evidence_row_count")]
+    plain = [quote_ident(c) for c in findings.columns if c not in ("raw", "error", "evidence_row_count")]
     failed = F.when(F.col("logged").isNull(), "no captured run for Python evidence").otherwise(F.col("run_error"))
     return findings.join(logs, "evidence", "left").select(
         *plain,

@@ -189,6 +189,27 @@ def test_summary_keeps_zeros(spark):
     assert got == {"r1": (2, 0, 0), "r2": (0, 0, 1)}
 
 
+def test_missing_parts_never_verify(spark, orders):
+    rows = [
+        ("no_evidence", "r", "x", None, "number", 1.0, "1"),
+        ("no_value", "r", "x", "SELECT count(*) FROM data", "number", None, None),
+        ("no_text", "r", "x", "SELECT max(o_orderstatus) FROM data", "string", None, None),
+        ("no_claim", "r", None, "SELECT count(*) FROM data", "number", 1500.0, "1500"),
+    ]
+    judged = judge_findings(spark, spark.createDataFrame(rows, SCHEMA), orders)
+    assert {r["finding_id"]: r["verdict"] for r in judged.collect()} == {
+        "no_evidence": "unverified", "no_value": "contradicted", "no_text": "contradicted", "no_claim": "verified",
+    }
+
+
+def test_claims_may_bring_any_columns(spark, orders):
+    findings = spark.createDataFrame([finding("a", "x", "SELECT count(*) FROM data WHERE o_custkey = 7", 1)], SCHEMA)
+    extra = {name: F.lit(name) for name in ("key", "column", "route", "n_rows", "a.b", "aggregate")}
+    judged = judge_findings(spark, findings.withColumns(extra).withColumn("m", F.create_map(F.lit(1), F.lit(2))), orders)
+    row = judged.first()
+    assert row["key"] == "key" and row["a.b"] == "a.b" and row["verdict"] == "contradicted"
+
+
 RATE = "SELECT avg(CASE WHEN Churn='Yes' THEN 1.0 ELSE 0 END) FROM data"
 # The nine published base findings and their values.
 BASES = [
