@@ -35,6 +35,10 @@ FAMILY_THREADS = 8
 SEPARATOR = "\x1f"
 # Join keys that claims without a result are spread over.
 SPREAD = 4096
+# A key claimed by more rows than this (and by more than one in HOT_SHARE) has its claims
+# cut up for the join; at most HOT_SHARE keys can be that hot.
+HOT_ROWS = 2_000_000
+HOT_SHARE = 1_000
 # Results made on the driver are broadcast up to this counted size.
 BROADCAST_BYTES = 8 << 20
 
@@ -162,6 +166,9 @@ class Recomputed:
     texts: DataFrame | None
     errors: DataFrame | None
     failed: list[tuple[str, str]]
+    # (column, key) of the hottest claims, and into how many pieces their claims are cut.
+    hot: list[tuple[str, str]] = field(default_factory=list)
+    pieces: int = 1
 
 
 def _small(df: DataFrame, rows: list[tuple]) -> DataFrame:
@@ -203,19 +210,34 @@ def recompute(session: ClaimSession, routed: DataFrame, evidence: str = "evidenc
     errors = [(f.column, a, message) for f in families for a, message in f.errors.items()]
     failed = [(f.column, a) for f in families for a in f.failed]
     error_rows = session.spark.createDataFrame(errors, ERROR_SCHEMA) if errors else None
+    hot = _hot_keys(running)
+    most = max((r["n"] for r in hot), default=0)
     return Recomputed(
         families=reduce(DataFrame.unionByName, [rows for r in results for rows in r]) if results else None,
         texts=_text_rows(session, running, evidence, failed),
         errors=_small(error_rows, errors) if errors else None,
         failed=failed,
+        hot=[(r["column"], r["key"]) for r in hot],
+        pieces=-(-most // HOT_ROWS) or 1,
     )
 
 
+def _hot_keys(running: DataFrame) -> list:
+    """The keys too many claims share, at most HOT_SHARE of them; small tables have none."""
+    total = running.count()
+    if total <= HOT_ROWS:
+        return []
+    counts = running.where("_route.route = 'family'").groupBy("_route.column", "_route.key").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).collect()
+
+
 def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -> DataFrame:
     """Add raw, error and evidence_row_count to the routed evidences.
 
-    Every joined side holds one row per key. A text shared by many claims makes its
-    join partition large on the claims' side only, which adaptive execution splits.
+    Every joined side holds one row per key. The claims of a hot key are cut into pieces,
+    each meeting its own copy of that key's row.
     """
     by_text = _runs_as_text(F.col("_route"), results.failed)
     by_family = F.col("_runs") & ~by_text
@@ -234,8 +256,15 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
         F.when(by_family, F.col("_route.aggregate")).alias("_aggregate"),
         F.when(F.col("_runs") & by_text, F.col(evidence)).otherwise(nowhere).alias("_run_text"),
     )
+    families, family_keys = results.families, ["_column", "_key"]
+    if results.hot and families is not None:
+        is_hot = F.concat_ws(SEPARATOR, "_column", "_key").isin([SEPARATOR.join(pair) for pair in results.hot])
+        piece = F.pmod(F.xxhash64(*map(quote_ident, spread_by)), F.lit(results.pieces)).cast("int")
+        joined = joined.withColumn("_piece", F.when(is_hot, piece).otherwise(0))
+        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(results.pieces - 1))).otherwise(F.array(F.lit(0)))
+        families, family_keys = families.withColumn("_piece", F.explode(copies)), [*family_keys, "_piece"]
     for side, keys, schema in (
-        (results.families, ["_column", "_key"], FAMILY_SCHEMA),
+        (families, family_keys, FAMILY_SCHEMA),
         (results.errors, ["_column", "_aggregate"], ERROR_SCHEMA),
         (results.texts, ["_run_text"], TEXT_SCHEMA),
     ):

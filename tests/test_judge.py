@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimcheck.functions.evidence import implausible_reason
-from claimcheck.operators import planting, quality
+from claimcheck.operators import planting, quality, recompute
 from claimcheck.operators.recompute import recomputed_values
 from claimcheck.plans.verify import judge_datasets, judge_findings, verdict_summary, with_verdict
+from claimcheck.plans import verify
 from claimcheck.session import ClaimSession
 
 SCHEMA = (
@@ -165,6 +166,25 @@ def test_partitioning_and_hot_texts_change_nothing(spark, orders):
     assert runs[0] == runs[1] and len(runs[0]) == 350
 
 
+def test_claims_of_a_hot_key_are_cut_up(spark, orders, monkeypatch):
+    rows = [finding(f"h{i}", "x", "SELECT count(*) FROM data WHERE o_custkey = 7", 1) for i in range(200)]
+    rows += [finding(f"w{i}", "x", "SELECT count(*) FROM data", 1500) for i in range(150)]
+    rows += [finding(f"c{i}", "x", f"SELECT count(*) FROM data WHERE o_custkey = {i}", 1) for i in range(40)]
+    findings = spark.createDataFrame(rows, SCHEMA)
+
+    def outcome():
+        return {r["finding_id"]: (r["verdict"], r["evidence_row_count"]) for r in judge_findings(spark, findings, orders).collect()}
+
+    plain = outcome()
+    monkeypatch.setattr(recompute, "HOT_ROWS", 30)
+    monkeypatch.setattr(recompute, "HOT_SHARE", 10)
+    seen = []
+    attach = recompute.attach
+    monkeypatch.setattr(verify, "attach", lambda routed, results: seen.append(results) or attach(routed, results))
+    assert outcome() == plain
+    assert sorted(key for _, key in seen[0].hot) == ["0", "1\x1f7"] and seen[0].pieces == 7
+
+
 def test_many_claimed_values_skip_the_pushed_filter(spark):
     data = spark.range(5000).selectExpr("id AS k", "id % 3 AS v")
     findings = spark.createDataFrame(
@@ -211,7 +231,7 @@ def test_claims_may_bring_any_columns(spark, orders):
 
 
 RATE = "SELECT avg(CASE WHEN Churn='Yes' THEN 1.0 ELSE 0 END) FROM data"
-# The nine published base findings and their values.
+# The nine published base findings and what they recompute to.
 BASES = [
     ("churn_rate", RATE, "The overall churn rate is {n} (share of customers with Churn = Yes).", False, 0.2653698707936959,
      RATE + " WHERE Contract='Month-to-month'", 0.4270967741935484),

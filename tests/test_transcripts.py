@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimcheck.operators import ordered, transcripts
+from claimcheck.sources import attempts
 
 SCHEMA = (
     "conv_id long, msg_idx long, block_idx long, role string, type string, id string, name string, input string, "
@@ -104,3 +105,14 @@ def test_slices_do_not_change_ordered_results(spark):
             earlier = [i for i in range(o % 3, o, 3) if i % 7 == 0]
             assert lasts[o] == (earlier[-1] if earlier else None)
             assert totals[o] == o // 3
+
+
+def test_attempt_log(spark, tmp_path):
+    log = spark.createDataFrame(
+        [(1, "gave up", 10.06, 20), (2, "gave up", 5.0, 18), (3, "lost", 1.0, 2)],
+        "attempt int, error string, wall_clock_s double, n_calls int",
+    )
+    rows = {r["error"]: tuple(r)[1:] for r in attempts.attempt_log_summary(log).collect()}
+    assert rows == {"gave up": (2, 15.1, 10.06, 38), "lost": (1, 1.0, 1.0, 2)}
+    attempts.write_attempt_log(log, str(tmp_path / "log"))
+    assert {r["wall_clock_s"] for r in spark.read.json(str(tmp_path / "log")).collect()} == {10.1, 5.0, 1.0}
