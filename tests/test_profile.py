@@ -47,7 +47,7 @@ def test_summaries(small):
     assert approx["c"]["q50"] == 2.5 and approx["c"]["min"] == "1.5" and approx["d"]["avg"] is None
     assert approx["a"]["null_percentage"] == 25.0
     for column, n in {"a": 3, "b": 4, "c": 3, "d": 2}.items():
-        assert exact[column]["n_unique"] == approx[column]["approx_unique"] == n
+        assert exact[column]["n_unique"] == n and abs(approx[column]["approx_unique"] - n) <= 1
 
 
 def test_quantiles_stay_within_their_rank_error(spark):
