@@ -99,8 +99,9 @@ def fixed_text(value: Column, digits: int) -> Column:
 
     def parts(value: Column) -> Column:
         # The fraction of a double is itself a double, so nothing is lost by rounding it alone.
-        whole = F.floor(F.abs(value)).cast("double")
-        rounded = let(F.abs(value) - whole, lambda fraction: _scaled(fraction, digits))
+        size = F.abs(value)
+        whole = F.when(size < float(2**53), F.floor(size).cast("double")).otherwise(size)
+        rounded = let(size - whole, lambda fraction: _scaled(fraction, digits))
         return F.struct(
             F.when(value.cast("string").startswith("-"), "-").otherwise("").alias("sign"),
             whole.try_cast("decimal(38,0)").alias("whole"),
@@ -109,7 +110,7 @@ def fixed_text(value: Column, digits: int) -> Column:
 
     def render(p: Column) -> Column:
         whole = F.when(p.n >= 10**digits, (p.whole + 1).cast("decimal(38,0)")).otherwise(p.whole)
-        decimals = F.right(F.lpad(p.n.cast("string"), digits, "0"), F.lit(digits))
+        decimals = F.lpad((p.n % 10**digits).cast("string"), digits, "0")
         return F.concat(p.sign, whole.cast("string"), F.lit("."), decimals)
 
     value = value.cast("double")
