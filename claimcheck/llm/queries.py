@@ -171,9 +171,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda s: F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"])
     keyed = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["start"], place(s), s["end"], s["kind"])))
     text = lambda c: F.array_join(F.transform(keyed(c), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [
-        F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS
-    ]
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select(
         "doc_id",
         *counts,

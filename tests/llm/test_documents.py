@@ -241,3 +241,19 @@ def test_hash_of_kept_text_is_of_utf8(spark):
     frame = spark.createDataFrame([(1, "ü\nzwölf Zeichen lang")], "doc_id long, text string")
     row = deduplicated(frame).select(F.sha2("text", 256).alias("h")).first()
     assert row["h"] == hashlib.sha256("ü\nzwölf Zeichen lang".encode()).hexdigest()
+
+
+def test_pii_query_equals_plain_python(spark):
+    from claimcheck.llm.queries import QUERIES
+    from tests.conftest import TESTDATA
+
+    folder = f"{TESTDATA}/sf0.001"
+    found = {r["doc_id"]: r for r in QUERIES["op7_pii"](spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert len(found) == len(docs)
+    for d in docs:
+        base = [f"{k}:{s}:{e}" for s, e, k in plain_pii(d["text"] or "")]
+        row = found[d["doc_id"]]
+        assert row["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert {k: row[f"n_{k}"] for k in PATTERNS} == {k: sum(b.startswith(k) for b in base) for k in PATTERNS}
+        assert set(base) <= set(row["spans"].split(",") if row["spans"] else [])
