@@ -205,7 +205,9 @@ class Encoder:
     def __init__(self, path: str, cache_units: int = CACHE_UNITS, window: int = WINDOW_BYTES):
         self.table = MergeTable(path)
         self.pattern = pre_token_pattern()
-        self.cache: dict[str, bytes] = {}
+        # Two generations: units of the older one that still occur move to the younger.
+        self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.cache_units = cache_units
         self.long_chars = 0
         self.window = max(window, 2 * self.table.lookahead)
@@ -268,10 +270,11 @@ class Encoder:
     def learn(self, lists: list[list[str]]) -> None:
         """Put every unit of the lists into the dictionary; one too long to keep maps to None."""
         if len(self.cache) > self.cache_units or self.long_chars > CHUNK_CHARS:
-            self.cache.clear()
-            self.long_chars = 0
-        self.cache[""] = b""
-        missing = list(set().union(*lists).difference(self.cache))
+            self.older, self.cache, self.long_chars = self.cache, {"": b""}, 0
+        unseen = set().union(*lists).difference(self.cache)
+        kept = [(u, self.older[u]) for u in unseen if u in self.older]
+        self.cache.update(kept)
+        missing = list(unseen.difference([u for u, _ in kept]))
         if not missing:
             return
         for unit in missing:
