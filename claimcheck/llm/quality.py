@@ -156,7 +156,8 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     A group of which no document passes the base rules has null thresholds and keeps nothing.
     """
     rows = written(with_features(docs), "quality-features")
-    limits = thresholds(sketches(rows), min_group)
+    # Written, so that the join knows its size: Spark broadcasts it only if it is small.
+    limits = written(thresholds(sketches(rows), min_group), "quality-limits")
     judged = rows.join(limits, ["lang", "source"], "left").withColumns({k: rate(k) for k in RATES})
     inside = F.lit(True)
     for k in RATES:
