@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from claimcheck.catalog import derived, query, table
 from claimcheck.functions.guard import validate_query
 from claimcheck.functions.tables import header_lines, parse_table, render_row
 from claimcheck.functions.text import truncate_text
 from claimcheck.operators import profile
-from claimcheck.operators.guarded_sql import query_sql, relation
+from claimcheck.operators.guarded_sql import query_error, query_sql, relation
 from claimcheck.session import ClaimSession
 
 QUERY_TEXTS = """
@@ -64,6 +66,39 @@ def sql_guard(spark, sf_dir):
     return texts.select("o_orderkey", validate_query(F.col("query")).alias("problem"))
 
 
+# Texts that read or call what evidence must not, and two that may run; {} is a name in the data.
+RELATION_TEXTS = [
+    ("cte", "WITH d AS (SELECT * FROM data) SELECT count(*) FROM d", True),
+    ("subquery", "SELECT count(*) FROM data WHERE o_custkey IN (SELECT o_custkey FROM data WHERE o_orderstatus = 'F')", True),
+    ("method", "SELECT IDENTIFIER('java' || '_method')('java.lang.System', 'getProperty', 'user.name') FROM data", False),
+    ("split_name", "SELECT IDENTIFIER('refl' || 'ect')('java.lang.System', 'getProperty', 'user.name') FROM data", False),
+    ("in_comment", "SELECT identifier /* x */ ('java' || '_method')('java.lang.System', 'getProperty', 'user.name') FROM data", False),
+    ("cross_join", "SELECT count(*) FROM data CROSS JOIN other_table", False),
+    ("hidden", "SELECT count(*) FROM data WHERE EXISTS (SELECT 1 FROM other_table)", False),
+    ("describe", "DESCRIBE other_table", False),
+    ("summarize", "SUMMARIZE SELECT * FROM other_table", False),
+]
+
+
+@query(
+    "sql_guard_relations",
+    "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS name, {str(ok).lower()} AS ok, "
+        + (f"({text.replace('FROM data', 'FROM orders')})::BIGINT" if ok else "NULL::BIGINT") + " AS n"
+        for name, text, ok in RELATION_TEXTS
+    ),
+)
+def sql_guard_relations(spark, sf_dir):
+    session = _session(spark, sf_dir)
+    table(session.spark, sf_dir, "customer").createOrReplaceTempView("other_table")
+    tables = []
+    for name, text, _ in RELATION_TEXTS:
+        result = query_sql(session, text)
+        n = result.table.toDF("n").select(F.col("n").cast("bigint")) if result.ok else session.spark.range(1).select(F.lit(None).cast("bigint").alias("n"))
+        tables.append(n.select(F.lit(name).alias("name"), F.lit(result.ok).alias("ok"), "n"))
+    return reduce(DataFrame.union, tables)
+
+
 def _session(spark, sf_dir, name: str = "orders") -> ClaimSession:
     session = ClaimSession(spark)
     session.register(table(spark, sf_dir, name))
@@ -240,6 +275,9 @@ def _register_read(name: str, source: str, text: str) -> None:
     @query(name, guarded.replace("FROM data", f"FROM {source}"))
     def run(spark, sf_dir):
         session = _session(spark, sf_dir, source)
+        problem = query_error(session, guarded)
+        if problem is not None:
+            raise ValueError(problem)
         return relation(session, guarded)
 
 

@@ -68,6 +68,10 @@ def _refusal(body: Column) -> Column:
                 ).when(
                     body.rlike(rf"(?i)\b(?:{script})\b") & body.rlike(r"(?i)\bUSING\b(?!\s*\()"),
                     "disallowed script clause in query: only read the `data` view",
+                )
+                .when(
+                    F.regexp_replace(body, r"'(?:[^']|'')*+'|/\*[\s\S]*?\*/|--[^\n]*", " ").rlike(r"(?i)\bidentifier\s*\("),
+                    "disallowed in query: a name made by identifier()",
                 ),
             )
         )

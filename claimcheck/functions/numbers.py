@@ -211,5 +211,5 @@ def distort(value: Column, magnitude: Column, direction: Column) -> Column:
 
 
 def coerce_number(column: Column) -> Column:
-    """Text to number, unreadable text to 0.0."""
-    return F.coalesce(parse_number(column.cast("string")), F.lit(0.0))
+    """Text to number; unreadable text and what is not a number become 0.0."""
+    return F.nanvl(F.coalesce(parse_number(column.cast("string")), F.lit(0.0)), F.lit(0.0))

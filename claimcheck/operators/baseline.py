@@ -42,7 +42,8 @@ def binary_target(column: Column, value: object) -> Column:
 
 
 def split_hash(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    """Hash of a row's key; rows without one share the hash of a key that no text equals."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("\0")), F.lit(f":{seed}")))
 
 
 def stratified_split(df: DataFrame, key: str, target: str, seed: int) -> DataFrame:
@@ -67,8 +68,10 @@ def stratified_split(df: DataFrame, key: str, target: str, seed: int) -> DataFra
     last = (
         hashed.join(F.broadcast(cut), "_class")
         .where(F.col("_hash").startswith(F.col("_prefix")))
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("_class").orderBy("_hash")))
-        .where(F.col("_nth") == F.col("_rank"))
+        .groupBy("_class", "_hash", "_rank")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(Window.partitionBy("_class").orderBy("_hash")))
+        .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
         .select("_class", F.col("_hash").alias("_cut"))
     )
     joined = df.withColumn("_class", F.col(target).cast("int")).join(F.broadcast(last), "_class")
@@ -276,7 +279,10 @@ def verify_baselines(
     )
     joined = gated.join(trained, spec, "left")
     recomputed = F.when(F.col("metric_name") == "accuracy", F.col("accuracy")).otherwise(F.col("roc_auc"))
-    refused = F.coalesce("refusal", "failure")
+    undefined = F.when(
+        F.col("_recomputed").isNull(), F.concat(F.lit("retraining gave no "), F.col("metric_name"))
+    )
+    refused = F.coalesce("refusal", "failure", undefined)
     close = is_close(F.col("_recomputed"), F.col("metric_value"), rel_tol, BASELINE_ABS_TOL)
     detail = F.concat(
         F.lit("retrained "), "model_class", F.lit("(random_state="), F.col("random_state").cast("string"),
@@ -303,5 +309,5 @@ def _retrained(specs: Iterator, data: DataFrame, recipe: Recipe) -> Iterator[tup
         try:
             metrics = train_metrics(data, recipe, row["features"], seed, max_iter)
             yield row["features"], seed, max_iter, metrics["accuracy"], metrics["roc_auc"], None
-        except PySparkException as error:
+        except Exception as error:  # noqa: BLE001  whatever stops the training, the metric stays unchecked
             yield row["features"], seed, max_iter, None, None, f"retraining failed: {first_line(error)}"

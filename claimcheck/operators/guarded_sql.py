@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from claimcheck.functions.guard import standard_literals, validate_query
+from claimcheck.functions.guard import validate_query
 from claimcheck.functions.tables import header_lines, render_row
+from claimcheck.operators.checked import checked_sql
 from claimcheck.operators.profile import schema_table, summarize
 from claimcheck.operators.recompute import RUN_ERRORS, first_line
 from claimcheck.session import ClaimSession
@@ -43,12 +44,12 @@ def relation(session: ClaimSession, query: str) -> DataFrame:
     leading = re.match(r"[A-Za-z]+", body)
     word = leading.group(0).upper() if leading else ""
     if word not in ("SUMMARIZE", "DESCRIBE"):
-        return session.spark.sql(standard_literals(body))
+        return checked_sql(session, body)
     target = re.sub(r"(?i)^(?:SUMMARIZE|DESCRIBE)\s+(?:QUERY\s+|TABLE\s+)?", "", body)
     if re.match(r"(?i)(?:SELECT|WITH)\b", target):
-        source = session.spark.sql(standard_literals(target))
+        source = checked_sql(session, target)
     else:
-        source = session.spark.table(target.strip().strip('"`'))
+        source = checked_sql(session, f"SELECT * FROM {target}")
     return summarize(source) if word == "SUMMARIZE" else schema_table(source)
 
 

@@ -22,6 +22,7 @@ from claimcheck.functions.evidence import is_sql, row_count_query
 from claimcheck.functions.guard import standard_literals, quote_ident, validate_query
 from claimcheck.functions.numbers import value_text
 from claimcheck.functions.text import let, strip_text
+from claimcheck.operators.checked import RefusedQuery, checked_sql
 from claimcheck.session import DATA_VIEW, ClaimSession, materialize, shared_dir
 
 # Aggregates computed together in one pass over the dataset.
@@ -112,7 +113,8 @@ def _canonical_values(column: Column, written: Column, schema: T.StructType) ->
         return F.when(v.rlike("^-?[0-9]+$"), v.try_cast("bigint").cast("string"))
 
     def double(v: Column) -> Column:
-        return F.when(~v.startswith("'"), v.try_cast("double").cast("string"))
+        # Adding zero turns -0.0 into the 0.0 that groups are keyed by.
+        return F.when(~v.startswith("'"), (v.try_cast("double") + F.lit(0.0)).cast("string"))
 
     values = (
         F.when(column == "", F.array().cast("array<string>"))
@@ -177,7 +179,7 @@ def _small(df: DataFrame, rows: list[tuple]) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-RUN_ERRORS = (PySparkException, Py4JJavaError)
+RUN_ERRORS = (PySparkException, Py4JJavaError, RefusedQuery)
 # Underscored names stay clear of whatever columns a table of claims brings along.
 ERROR_SCHEMA = "_column string, _aggregate string, _family_error string"
 FAMILY_SCHEMA = "_column string, _key string, _n_rows bigint, _raws map<string,string>"
@@ -329,9 +331,9 @@ def _families(session: ClaimSession, running: DataFrame) -> list[Family]:
     for family in found.values():
         for aggregate in sorted(family.aggregates):
             try:
-                sql = f"SELECT {standard_literals(aggregate)} AS v FROM {DATA_VIEW}"
-                family.types[aggregate] = session.spark.sql(sql).schema["v"].dataType
-            except PySparkException as error:
+                typed = checked_sql(session, f"SELECT {aggregate} AS v FROM {DATA_VIEW}")
+                family.types[aggregate] = typed.schema["v"].dataType
+            except (PySparkException, RefusedQuery) as error:
                 family.errors[aggregate] = first_line(error)
     return list(found.values())
 
@@ -407,7 +409,7 @@ def _computed(
     """Run one shared pass; when it fails, run its aggregates one by one to find the culprit."""
     items = ["count(*) AS n_rows"]
     for aggregate in aggregates:
-        items += _partials(aggregate, names[aggregate])
+        items += _partials(aggregate, names[aggregate], family.types[aggregate])
     if family.column:
         dtype = _dtype(session, family.column)
         wide = "string" if isinstance(dtype, T.StringType) else "bigint" if isinstance(dtype, _INTEGRAL) else "double"
@@ -430,9 +432,12 @@ def _kind(aggregate: str) -> str:
     return aggregate.split("(", 1)[0]
 
 
-def _partials(aggregate: str, name: str) -> list[str]:
+def _partials(aggregate: str, name: str, dtype: T.DataType) -> list[str]:
     """Mergeable parts of one aggregate as SQL select items."""
     argument = standard_literals(aggregate.split("(", 1)[1][:-1])
+    if _kind(aggregate) == "avg" and isinstance(dtype, T.DoubleType):
+        # As the engine does it: an average of whole numbers cannot overflow.
+        return [f"sum(cast({argument} AS double)) AS {name}_sum", f"count({argument}) AS {name}_n"]
     if _kind(aggregate) == "avg":
         return [f"sum({argument}) AS {name}_sum", f"count({argument}) AS {name}_n"]
     return [f"{_kind(aggregate)}({argument}) AS {name}"]
@@ -472,7 +477,7 @@ def first_line(error: Exception) -> str:
 def run_query(session: ClaimSession, query: str) -> tuple[str | None, str | None]:
     """The one cell of a query's result as text, or why there is none."""
     try:
-        result = session.spark.sql(standard_literals(query))
+        result = checked_sql(session, query)
         width = len(result.columns)
         if width != 1:
             return None, f"{NOT_SINGLE}{width} columns"

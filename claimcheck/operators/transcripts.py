@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimcheck.operators.ordered import carried_last, running_total
 
+# Positions hold the block below these bits; a message with more blocks is an error, never a mix-up.
 BLOCK_BITS = 20
 # Messages (or responses) of one conversation handled by one task.
 SLICE = 4096
@@ -18,7 +19,10 @@ SLICE = 4096
 
 def position(msg_idx: Column, block_idx: Column) -> Column:
     """Block order within a conversation as one number."""
-    return F.shiftleft(msg_idx.cast("bigint"), BLOCK_BITS) + block_idx.cast("bigint")
+    fits = F.when(block_idx < 1 << BLOCK_BITS, block_idx.cast("bigint")).when(
+        block_idx.isNotNull(), F.raise_error(F.lit("a message has too many blocks")).cast("bigint")
+    )
+    return F.shiftleft(msg_idx.cast("bigint"), BLOCK_BITS) + fits
 
 
 def with_position(blocks: DataFrame) -> DataFrame:

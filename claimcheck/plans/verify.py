@@ -72,6 +72,7 @@ RULES = [
     ("contradicted", "claim_text_disagrees_with_value"),
     ("unverified", "population_mismatch_suspected"),
     ("verified", "value_matches"),
+    ("unverified", "claim_incomplete"),
 ]
 
 
@@ -112,6 +113,7 @@ def _rule(rel_tol: float, abs_tol: float) -> Column:
     )
     return (
         F.when(F.col("implausible").isNotNull(), 1)
+        .when(_incomplete(), 8)
         .when(F.col("error").isNotNull(), 2)
         .when(is_numeric & number.isNull(), 3)
         .when(~F.coalesce(matches, F.lit(False)), 4)
@@ -121,6 +123,17 @@ def _rule(rel_tol: float, abs_tol: float) -> Column:
     )
 
 
+def _incomplete() -> Column:
+    """No claim, no kind of value, or no value of that kind."""
+    kind = F.col("value_kind")
+    return (
+        F.col("claim").isNull()
+        | kind.isNull()
+        | ((kind == "number") & F.col("value_num").isNull())
+        | ((kind == "string") & F.col("value_text").isNull())
+    )
+
+
 def _detail(shown: Column, rel_tol: float, abs_tol: float) -> Column:
     """The deciding rule in words."""
     rule, is_numeric = F.col("_rule"), F.col("value_kind") == "number"
@@ -155,6 +168,7 @@ def _detail(shown: Column, rel_tol: float, abs_tol: float) -> Column:
                 F.lit(" quotes no number matching the claimed value "), claimed, tolerances,
             ),
         )
+        .when(rule == 8, explained(F.lit("the claim, its kind or its value is missing")))
         .when(rule == 6, explained(population_mismatch(F.col("evidence"), F.col("claim"))))
         .otherwise(compared)
     )
@@ -228,12 +242,28 @@ def judge_findings(
 def judge_datasets(
     spark: SparkSession, findings: DataFrame, datasets: dict[str, DataFrame], **options
 ) -> DataFrame:
-    """Judge findings over several datasets; `findings.dataset_id` names the one each is about."""
+    """Judge findings over several datasets; `findings.dataset_id` names the one each is about.
+
+    A finding about no dataset or an unknown one is `unverified`.
+    """
     judged = [
         adopt(spark, judge_findings(spark, findings.where(F.col("dataset_id") == name), data, **options))
         for name, data in datasets.items()
     ]
-    return reduce(DataFrame.unionByName, judged)
+    known = F.coalesce(F.col("dataset_id").isin(list(datasets)), F.lit(False))
+    unknown = findings.where(~known)
+    fixed = {
+        "verdict": F.lit("unverified"),
+        "reason": F.lit("unknown_dataset"),
+        "detail": F.concat(F.lit("unknown_dataset: "), F.coalesce("dataset_id", F.lit("none named"))),
+    }
+    lost = unknown.select(
+        *[
+            F.col(quote_ident(f.name)) if f.name in findings.columns else fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in judged[0].schema
+        ]
+    )
+    return reduce(DataFrame.unionByName, [*judged, lost])
 
 
 def verdict_summary(judged: DataFrame, *keys: str) -> DataFrame:

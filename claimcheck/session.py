@@ -24,9 +24,15 @@ SESSION_CONFS = {
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's checkpoint folder, for tables written mid-job."""
+    """A fresh path under the cluster's checkpoint folder, for tables written mid-job.
+
+    Only a session on a `local` master may go without `spark.checkpoint.dir`: elsewhere each
+    executor would write to a disk of its own.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="claimcheck-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
