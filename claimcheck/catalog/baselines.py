@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimcheck.catalog import derived, query, table
 from claimcheck.operators import baseline
+from claimcheck.session import materialize
 
 SEED = 42
 
@@ -93,12 +94,27 @@ FEATURES = ["n_chars", "n_words", "n_lines"]
 
 @query("ml_fit_predict")
 def ml_fit_predict(spark, sf_dir):
-    split = baseline.training_table(labelled_documents(spark, sf_dir), RECIPE, SEED)
+    table_ = baseline.training_table(labelled_documents(spark, sf_dir), RECIPE, SEED)
+    # Written once: statistics, training and scoring each read it.
+    split = materialize(table_.select("doc_id", "_target", "is_test", *FEATURES), "split")
     scaled = baseline.standardize(split, FEATURES)
     return baseline.fit_predict(scaled, FEATURES, "_target", 100).select("doc_id", "label", "score", "prediction")
 
 
-@query("baseline_verdicts")
+@query(
+    "baseline_verdicts",
+    """
+SELECT * FROM (VALUES
+  ('honest', 'roc_auc', 'verified', true, NULL), ('near', 'roc_auc', 'verified', true, NULL),
+  ('off', 'roc_auc', 'contradicted', true, NULL), ('accuracy', 'accuracy', 'verified', true, NULL),
+  ('forest', 'roc_auc', 'unverified', false, concat('cannot reproduce baseline: judge only knows how to retrain ',
+    'LogisticRegression from the report fields, got model spec ', chr(39), 'RandomForestClassifier(random_state=1)', chr(39))),
+  ('seedless', 'roc_auc', 'unverified', false, concat('cannot reproduce baseline deterministically: ',
+    'no random_state found in model spec ', chr(39), 'LogisticRegression(max_iter=100)', chr(39))),
+  ('column', 'roc_auc', 'unverified', false, 'retraining failed: no numeric column no_such_column')
+) AS t(name, metric_name, verdict, recomputed, refusal)
+""",
+)
 def baseline_verdicts(spark, sf_dir):
     """A true metric, two near ones, a false one, and specs that cannot be retrained."""
     data = labelled_documents(spark, sf_dir)
@@ -116,7 +132,13 @@ def baseline_verdicts(spark, sf_dir):
     baselines = spark.createDataFrame(
         rows, "name string, model string, features array<string>, metric_name string, metric_value double"
     )
-    return baseline.verify_baselines(baselines, data, RECIPE).drop("features")
+    return baseline.verify_baselines(baselines, data, RECIPE).select(
+        "name",
+        "metric_name",
+        "verdict",
+        F.col("recomputed_value").isNotNull().alias("recomputed"),
+        F.when(F.col("verdict") == "unverified", F.col("detail")).alias("refusal"),
+    )
 
 
 SPECS = """
