@@ -107,12 +107,10 @@ def _base32(block: bytes) -> str:
     return base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def parse_record(data: memoryview | bytes, at: int) -> tuple[int, dict[str, str], bytes] | None:
+def parse_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | None:
     """(end, header, block) of the record at `at`, or None if any check fails."""
-    if bytes(data[at : at + 7]) != b"WARC/1.":
-        return None
-    stop = data.find(b"\r\n\r\n", at) if isinstance(data, bytes) else -1
-    if stop < 0:
+    stop = data.find(b"\r\n\r\n", at)
+    if stop < 0 or not data.startswith(b"WARC/1.", at):
         return None
     try:
         lines = data[at:stop].decode().split("\r\n")

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import Row
 
 LONG = "word " * 60_000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, ids string, kept string, fp string"
@@ -27,7 +26,3 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
-
-
-def rows(frame) -> list[Row]:
-    return frame.collect()
