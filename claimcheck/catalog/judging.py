@@ -167,9 +167,9 @@ whole AS (SELECT report_id, count(*) FILTER (WHERE verdict = 'verified') AS veri
   count(*) FILTER (WHERE verdict = 'unverified') AS unverified,
   count(*) FILTER (WHERE verdict = 'contradicted') AS contradicted FROM v GROUP BY report_id)
 SELECT v.report_id, part, count(*)::BIGINT AS n_findings, count(*) FILTER (WHERE evidence_row_count IS NULL)::BIGINT AS n_without_rows,
-  CASE WHEN part = 0 THEN any_value(w.verified) END::BIGINT AS verified,
-  CASE WHEN part = 0 THEN any_value(w.unverified) END::BIGINT AS unverified,
-  CASE WHEN part = 0 THEN any_value(w.contradicted) END::BIGINT AS contradicted
+  any_value(w.verified)::BIGINT AS verified,
+  any_value(w.unverified)::BIGINT AS unverified,
+  any_value(w.contradicted)::BIGINT AS contradicted
 FROM v JOIN whole w ON w.report_id = v.report_id GROUP BY v.report_id, part
 """,
 )

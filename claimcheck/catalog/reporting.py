@@ -147,3 +147,41 @@ def report_roundtrip(spark, sf_dir):
     )
     # JSON has one kind of number: a whole balance reads back without its ".0".
     return nested.withColumn("json", F.regexp_replace("json", r"Balance is (-?\d+)\.0\"", 'Balance is $1"'))
+
+
+@query(
+    "report_parts",
+    f"""
+SELECT r.report_id, f.finding_pos, f.claim, f.value_text, 2::BIGINT AS parts, kind = 0 AS has_notes, c_custkey::BIGINT AS rows, 0.75::DOUBLE AS metric_value
+FROM (SELECT *, regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', '') AS balance FROM ({REPORTS}) WHERE kind IN (0, 10)) r,
+  LATERAL (SELECT 0 AS finding_pos, 'Balance is ' || balance AS claim, balance AS value_text
+    UNION ALL SELECT 1, 'Segment', c_mktsegment) f
+""",
+)
+def report_parts(spark, sf_dir):
+    """Reports written in parts of one finding each and joined again on reading."""
+    valid = materialize(_valid(spark, sf_dir), "reports")
+    written = reports.nest_reports(
+        reports.report_datasets(valid),
+        reports.report_findings(valid),
+        reports.report_baselines(valid),
+        reports.report_notes(valid),
+        part_size=1,
+    )
+    path = shared_dir(spark, "parts")
+    reports.write_documents(written, path)
+    read = materialize(reports.valid_reports(reports.read_reports(spark, path, one_per_line=True)), "parts-read")
+    parts = read.groupBy("report_id").agg(F.count(F.lit(1)).alias("parts"))
+    notes = reports.report_notes(read).groupBy("report_id").agg(F.count(F.lit(1)).alias("notes"))
+    rows = (
+        reports.report_findings(read)
+        .join(parts, "report_id")
+        .join(notes, "report_id", "left")
+        .join(reports.report_datasets(read), "report_id")
+        .join(reports.report_baselines(read).drop("notes"), "report_id")
+    )
+    claim = F.regexp_replace("claim", r"^(Balance is -?\d+)\.0$", "$1")
+    return rows.select(
+        "report_id", "finding_pos", claim.alias("claim"), "value_text", "parts",
+        (F.coalesce("notes", F.lit(0)) == 3).alias("has_notes"), "rows", "metric_value",
+    )

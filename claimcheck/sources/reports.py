@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from claimcheck.functions.text import let
 from claimcheck.plans.verify import VERDICTS
 
-# Findings, issues and caveats per written document; a longer report continues in further parts.
+# Findings, issues and caveats per written document, unless the caller says otherwise. A longer
+# report continues in further parts, each with the whole header and its own place in the report.
 PART_SIZE = 10_000
 
 
 def read_reports(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """JSON documents, one per file or one per line: report_id, doc VARIANT."""
+    """JSON documents, one per file or one per line: report_id, doc VARIANT.
+
+    The parts of a long report get the one report_id they carry. Equal lines are reports of
+    their own, told apart by a number.
+    """
     text = spark.read.text(path, wholetext=not one_per_line)
-    report_id = F.sha2("value", 256) if one_per_line else F.col("_metadata.file_path")
-    return text.select(report_id.alias("report_id"), F.try_parse_json("value").alias("doc"))
+    if one_per_line:
+        counted = text.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy")
+        own_id, text = F.sha2("value", 256), counted.select("value", copy)
+        number = F.when(F.col("copy") > 1, F.concat(F.lit("#"), F.col("copy").cast("string"))).otherwise("")
+    else:
+        own_id, number = F.col("_metadata.file_path"), F.lit("")
+    doc = F.try_parse_json("value")
+    carried = F.try_variant_get(doc, "$.part.report_id", "string")
+    return text.select(F.concat(F.coalesce(carried, own_id), number).alias("report_id"), doc.alias("doc"))
+
+
+def _part_number(doc: Column) -> Column:
+    return F.coalesce(F.try_variant_get(doc, "$.part.number", "bigint"), F.lit(0).cast("bigint"))
+
+
+def _first_pos(doc: Column) -> Column:
+    """Position in the whole report of a part's first finding and first note."""
+    return _part_number(doc) * F.coalesce(F.try_variant_get(doc, "$.part.size", "bigint"), F.lit(0).cast("bigint"))
+
+
+def incomplete_reports(reports: DataFrame) -> DataFrame:
+    """Reports some of whose parts are not there: report_id, parts, found."""
+    parts = F.coalesce(F.try_variant_get("doc", "$.part.of", "bigint"), F.lit(1).cast("bigint"))
+    found = reports.groupBy("report_id").agg(
+        F.max(parts).alias("parts"), F.count_distinct(_part_number(F.col("doc"))).alias("found")
+    )
+    return found.where("found < parts")
 
 
 def parse_reports(reports: DataFrame, column: str = "json") -> DataFrame:
@@ -89,9 +122,11 @@ def report_problems(doc: Column) -> Column:
     )
     findings = let(
         _items(doc, "$.findings"),
-        lambda items: F.when(F.size(items) == 0, F.array(F.lit("'findings' must not be empty"))).otherwise(
-            F.flatten(F.transform(items, _finding_problems))
-        ),
+        # A part may hold nothing but notes.
+        lambda items: F.when(
+            (F.size(items) == 0) & (_kind(_at(doc, "$.part")) != "OBJECT"),
+            F.array(F.lit("'findings' must not be empty")),
+        ).otherwise(F.flatten(F.transform(items, _finding_problems))),
     )
 
     def one(problem: str) -> Column:
@@ -120,7 +155,7 @@ def valid_reports(reports: DataFrame) -> DataFrame:
 
 
 def report_datasets(reports: DataFrame) -> DataFrame:
-    return reports.select(
+    return reports.where(_part_number(F.col("doc")) == 0).select(
         "report_id",
         F.variant_get("doc", "$.dataset.name", "string").alias("name"),
         F.variant_get("doc", "$.dataset.rows", "bigint").alias("rows"),
@@ -133,9 +168,12 @@ def report_findings(reports: DataFrame) -> DataFrame:
     finding = F.col("finding")
     value = _at(finding, "$.value")
     is_text = _kind(value) == "STRING"
-    return reports.select(
-        "report_id", F.posexplode(_items(F.col("doc"), "$.findings")).alias("finding_pos", "finding")
-    ).select(
+    placed = reports.select(
+        "report_id",
+        _first_pos(F.col("doc")).alias("first"),
+        F.posexplode(_items(F.col("doc"), "$.findings")).alias("pos", "finding"),
+    )
+    return placed.withColumn("finding_pos", (F.col("first") + F.col("pos")).cast("int")).select(
         F.concat_ws("#", "report_id", "finding_pos").alias("finding_id"),
         "report_id",
         "finding_pos",
@@ -148,7 +186,7 @@ def report_findings(reports: DataFrame) -> DataFrame:
 
 
 def report_baselines(reports: DataFrame) -> DataFrame:
-    return reports.select(
+    return reports.where(_part_number(F.col("doc")) == 0).select(
         "report_id",
         F.variant_get("doc", "$.baseline.model", "string").alias("model"),
         F.variant_get("doc", "$.baseline.features", "array<string>").alias("features"),
@@ -163,9 +201,11 @@ def report_notes(reports: DataFrame) -> DataFrame:
 
     def notes(path: str, kind: str) -> DataFrame:
         items = F.try_variant_get("doc", path, "array<string>")
-        return reports.select(
-            "report_id", F.lit(kind).alias("kind"), F.posexplode(items).alias("pos", "text")
+        placed = reports.select(
+            "report_id", _first_pos(F.col("doc")).alias("first"), F.posexplode(items).alias("i", "text")
         )
+        pos = (F.col("first") + F.col("i")).cast("int").alias("pos")
+        return placed.select("report_id", F.lit(kind).alias("kind"), pos, "text")
 
     return notes("$.data_quality_issues", "issue").unionByName(notes("$.caveats", "caveat"))
 
@@ -179,19 +219,36 @@ def _ordered(pos: str, item: Column, when: Column) -> Column:
     return F.array_sort(F.collect_list(F.when(when, F.struct(F.col(pos).alias("pos"), item.alias("item")))))
 
 
-def _parts(items: DataFrame) -> DataFrame:
-    """Collect (report_id, kind, pos, json) into JSON arrays, PART_SIZE positions at a time."""
-    part = F.floor(F.col("pos") / PART_SIZE).alias("part")
+def _place(pos: Column, part_size: int) -> Column:
+    return F.floor(pos / part_size).cast("bigint")
+
+
+def _headers(*tables: DataFrame) -> DataFrame:
+    """An item without content per report, so that a report without findings and notes is written too."""
+    nothing = [F.lit(None).cast("string").alias("kind"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("json")]
+    return reduce(DataFrame.unionByName, [t.select("report_id", *nothing) for t in tables])
+
+
+def _parts(items: DataFrame, part_size: int) -> DataFrame:
+    """Collect (report_id, kind, pos, json) into JSON arrays, `part_size` positions at a time."""
 
     def array(kind: str) -> Column:
         texts = F.transform(_ordered("pos", F.col("json"), F.col("kind") == kind), lambda x: x["item"])
         return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
 
-    return items.groupBy("report_id", part).agg(
+    return items.groupBy("report_id", _place(F.col("pos"), part_size).alias("part")).agg(
         array("finding").alias("findings"), array("issue").alias("issues"), array("caveat").alias("caveats")
     )
 
 
+def _part_key(part_size: int) -> Column:
+    """Which part of which report a document is; NULL when it is the whole report."""
+    place = F.struct(
+        "report_id", F.col("part").alias("number"), F.col("parts").alias("of"), F.lit(part_size).alias("size")
+    )
+    return F.when(F.col("parts") > 1, F.to_json(place))
+
+
 def _json_text(text: Column) -> Column:
     return F.to_json(text.cast("variant"))
 
@@ -207,9 +264,13 @@ def _notes_items(notes: DataFrame) -> DataFrame:
 
 
 def nest_reports(
-    datasets: DataFrame, findings: DataFrame, baselines: DataFrame, notes: DataFrame
+    datasets: DataFrame, findings: DataFrame, baselines: DataFrame, notes: DataFrame, part_size: int = PART_SIZE
 ) -> DataFrame:
-    """Report documents out of their tables: report_id, part, json."""
+    """Report documents out of their tables: report_id, part, json.
+
+    A report with more than `part_size` findings, issues or caveats continues in further
+    documents; reading them back joins them by the report_id and the place that each carries.
+    """
     finding = F.to_json(
         F.struct(
             "claim",
@@ -217,36 +278,45 @@ def nest_reports(
             json_value(F.col("value_kind"), F.col("value_text")).alias("value"),
         )
     )
-    items = findings.select(
-        "report_id", F.lit("finding").alias("kind"), F.col("finding_pos").alias("pos"), finding.alias("json")
-    ).unionByName(_notes_items(notes))
+    items = (
+        findings.select(
+            "report_id", F.lit("finding").alias("kind"), F.col("finding_pos").alias("pos"), finding.alias("json")
+        )
+        .unionByName(_notes_items(notes))
+        .unionByName(_headers(datasets, baselines))
+    )
+    parts = items.groupBy("report_id").agg((_place(F.max("pos"), part_size) + 1).alias("parts"))
     dataset = datasets.select("report_id", F.to_json(F.struct("name", "rows", "cols")).alias("dataset"))
     baseline = baselines.select(
         "report_id",
         F.to_json(F.struct("model", "features", "metric_name", "metric_value", "notes")).alias("baseline"),
     )
-    first = F.col("part") == 0
     document = _document(
         [
-            ("dataset", F.when(first, F.col("dataset"))),
+            ("part", _part_key(part_size)),
+            ("dataset", F.col("dataset")),
             ("findings", F.col("findings")),
             ("data_quality_issues", F.col("issues")),
-            ("baseline", F.when(first, F.col("baseline"))),
+            ("baseline", F.col("baseline")),
             ("caveats", F.col("caveats")),
         ]
     )
     return (
-        _parts(items)
+        _parts(items, part_size)
+        .join(parts, "report_id")
         .join(dataset, "report_id", "left")
         .join(baseline, "report_id", "left")
-        .select("report_id", F.col("part").cast("bigint").alias("part"), document.alias("json"))
+        .select("report_id", "part", document.alias("json"))
     )
 
 
 def judged_reports(
-    judged: DataFrame, datasets: DataFrame | None = None, judged_baselines: DataFrame | None = None
+    judged: DataFrame,
+    datasets: DataFrame | None = None,
+    judged_baselines: DataFrame | None = None,
+    part_size: int = PART_SIZE,
 ) -> DataFrame:
-    """Judged report documents: report_id, part, json. The first part carries the summary."""
+    """Judged report documents: report_id, part, json. Every part carries the header and the whole summary."""
     finding = F.to_json(
         F.struct(
             "claim",
@@ -263,36 +333,43 @@ def judged_reports(
     items = judged.select(
         "report_id", F.lit("finding").alias("kind"), F.col("finding_pos").alias("pos"), finding.alias("json")
     )
-    outcomes = judged.select("report_id", "verdict")
-    documents = _parts(items)
+    others = [t for t in (datasets, judged_baselines) if t is not None]
+    if others:
+        items = items.unionByName(_headers(*others))
+    outcomes = judged.select("report_id", F.col("finding_pos").cast("bigint").alias("pos"), "verdict")
+    at_start = F.lit(0).cast("bigint").alias("pos")
+    if datasets is not None:
+        outcomes = outcomes.unionByName(
+            datasets.select("report_id", at_start, F.lit(None).cast("string").alias("verdict"))
+        )
+    if judged_baselines is not None:
+        outcomes = outcomes.unionByName(judged_baselines.select("report_id", at_start, "verdict"))
+    whole = outcomes.groupBy("report_id").agg(
+        (_place(F.max("pos"), part_size) + 1).alias("parts"),
+        F.to_json(F.struct(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])).alias("summary"),
+    )
+    documents = _parts(items, part_size).join(whole, "report_id")
     dataset_json = baseline_json = F.lit(None).cast("string")
     if datasets is not None:
         dataset = datasets.select("report_id", F.to_json(F.struct("name", "rows", "cols")).alias("dataset"))
-        documents = documents.join(dataset, "report_id", "left")
-        dataset_json = F.when(F.col("part") == 0, F.col("dataset"))
+        documents, dataset_json = documents.join(dataset, "report_id", "left"), F.col("dataset")
     if judged_baselines is not None:
-        outcomes = outcomes.unionByName(judged_baselines.select("report_id", "verdict"))
         fields = ["model", "features", "metric_name", F.col("metric_value").alias("claimed_value"),
                   "verdict", "recomputed_value", "detail"]
         baseline = judged_baselines.select(
             "report_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("baseline")
         )
-        documents = documents.join(baseline, "report_id", "left")
-        baseline_json = F.when(F.col("part") == 0, F.col("baseline"))
-    summary = outcomes.groupBy("report_id").agg(
-        F.to_json(F.struct(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])).alias("summary")
-    )
+        documents, baseline_json = documents.join(baseline, "report_id", "left"), F.col("baseline")
     document = _document(
         [
+            ("part", _part_key(part_size)),
             ("dataset", dataset_json),
             ("findings", F.col("findings")),
             ("baseline", baseline_json),
-            ("summary", F.when(F.col("part") == 0, F.col("summary"))),
+            ("summary", F.col("summary")),
         ]
     )
-    return documents.join(summary, "report_id").select(
-        "report_id", F.col("part").cast("bigint").alias("part"), document.alias("json")
-    )
+    return documents.select("report_id", "part", document.alias("json"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

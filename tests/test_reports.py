@@ -90,12 +90,50 @@ def test_round_trip(spark):
         assert json.loads(row["json"]) == expected
 
 
-def test_long_report_continues_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(reports, "PART_SIZE", 2)
-    parts = {r["part"]: json.loads(r["json"]) for r in reports.nest_reports(*tables(spark, [REPORT])).collect()}
-    assert sorted(parts) == [0, 1]
-    assert [len(parts[p]["findings"]) for p in (0, 1)] == [2, 1]
-    assert "baseline" in parts[0] and "baseline" not in parts[1]
+def test_long_report_continues_in_parts(spark, tmp_path):
+    whole = tables(spark, [REPORT])
+    nested = reports.nest_reports(*whole, part_size=2)
+    parts = {r["part"]: json.loads(r["json"]) for r in nested.collect()}
+    assert [len(parts[p]["findings"]) for p in (0, 1)] == [2, 1] and len(parts) == 2
+    assert parts[1]["part"] == {"report_id": "0", "number": 1, "of": 2, "size": 2}
+    assert parts[0]["dataset"] == parts[1]["dataset"] == REPORT["dataset"] and "baseline" in parts[1]
+    reports.write_documents(nested, f"{tmp_path}/parts")
+    read = reports.read_reports(spark, f"{tmp_path}/parts", one_per_line=True)
+    assert reports.valid_reports(read).count() == 2 and reports.incomplete_reports(read).count() == 0
+    back = [f(read) for f in (reports.report_datasets, reports.report_findings, reports.report_baselines, reports.report_notes)]
+    for before, after in zip(whole, back):
+        assert sorted(map(repr, before.collect())) == sorted(map(repr, after.collect()))
+    lost = reports.incomplete_reports(read.where(F.try_variant_get("doc", "$.part.number", "int") == 1))
+    assert [tuple(r) for r in lost.collect()] == [("0", 2, 1)]
+
+
+def test_more_notes_than_findings(spark):
+    nested = reports.nest_reports(*tables(spark, [changed(["caveats"], ["a", "b", "c", "d"])]), part_size=3)
+    read = reports.parse_reports(nested.drop("part"))
+    assert reports.valid_reports(read).count() == 2
+    notes = reports.report_notes(read).where("kind = 'caveat'").orderBy("pos").collect()
+    assert [(r["pos"], r["text"]) for r in notes] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
+def test_equal_lines_are_reports_of_their_own(spark, tmp_path):
+    (tmp_path / "reports.jsonl").write_text((json.dumps(REPORT) + "\n") * 3)
+    read = reports.valid_reports(reports.read_reports(spark, str(tmp_path), one_per_line=True))
+    assert reports.report_findings(read).select("finding_id").distinct().count() == 9
+
+
+def test_report_without_findings_is_written(spark):
+    datasets, findings, baselines, notes = tables(spark, [REPORT])
+    nested = reports.nest_reports(datasets, findings.where("false"), baselines, notes.where("false")).collect()
+    assert [json.loads(r["json"])["findings"] for r in nested] == [[]]
+    judged = findings.where("false").withColumns(
+        {"verdict": F.lit("v"), "recomputed_text": F.lit("7"), "detail": F.lit("d"),
+         "evidence_row_count": F.lit(1).cast("bigint"), "provenance_note": F.lit("")}
+    )
+    checked = baselines.withColumns(
+        {"verdict": F.lit("verified"), "recomputed_value": F.col("metric_value"), "detail": F.lit("d")}
+    )
+    (row,) = reports.judged_reports(judged, datasets, checked).collect()
+    assert json.loads(row["json"])["summary"] == {"verified": 1, "unverified": 0, "contradicted": 0}
 
 
 def test_files_in_judged_documents_out(spark, churn, tmp_path):
