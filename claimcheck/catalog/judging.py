@@ -273,3 +273,52 @@ def recompute_sql(spark, sf_dir):
     return recomputed_values(session, texts).select(
         "o_orderkey", "raw", F.col("error").isNotNull().alias("failed"), "evidence_row_count"
     )
+
+
+# One text per key and shape: ranges, conjunctions, BETWEEN, DISTINCT, arithmetic around aggregates, dates, no match.
+FILTER_EVIDENCE = """
+SELECT k, kind, CASE kind
+    WHEN 0 THEN concat('SELECT count(*) FROM data WHERE o_custkey > ', k)
+    WHEN 1 THEN concat('SELECT count(DISTINCT o_custkey) FROM data WHERE o_custkey BETWEEN ', k, ' AND ', k + 20)
+    WHEN 2 THEN concat('SELECT max(o_orderkey) AS m FROM data WHERE o_custkey < ', k, ' AND o_orderpriority <> ''', p, '''')
+    WHEN 3 THEN concat('SELECT round(100.0 * sum(CASE WHEN o_orderstatus = ''F'' THEN 1 ELSE 0 END) / count(*), 3) FROM data WHERE o_custkey <= ', k)
+    WHEN 4 THEN concat('SELECT count(*) FROM data WHERE "o_custkey" = ', k, ' AND o_orderdate >= DATE ''199', k % 8, '-03-01'';')
+    ELSE concat('SELECT min(o_orderkey) FROM data WHERE o_custkey + 0 = ', -1 - k) END AS evidence
+FROM (SELECT o_custkey AS k, max(o_orderpriority) AS p FROM orders GROUP BY o_custkey) c
+CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) u(kind)
+"""
+
+
+@query(
+    "recompute_filters",
+    """
+WITH c AS (
+  SELECT o_custkey AS k, count(*)::BIGINT AS n, max(o_orderpriority) AS p, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1
+), by_p AS (
+  SELECT o_custkey AS k, o_orderpriority AS p, count(*) AS n, max(o_orderkey) AS hi FROM orders GROUP BY 1, 2
+), upto AS (
+  SELECT k, sum(n) OVER (ORDER BY k) AS le, sum(f) OVER (ORDER BY k) AS f_le, sum(n) OVER () AS total,
+    count(*) OVER (ORDER BY k RANGE BETWEEN CURRENT ROW AND 20 FOLLOWING) AS buyers,
+    sum(n) OVER (ORDER BY k RANGE BETWEEN CURRENT ROW AND 20 FOLLOWING) AS near FROM c
+), other AS (
+  SELECT c.k, sum(b.n) AS n, max(b.hi) AS hi FROM c JOIN by_p b ON b.k < c.k AND b.p <> c.p GROUP BY c.k
+), late AS (
+  SELECT o_custkey AS k, count(*) AS n FROM orders
+  WHERE CAST(o_orderdate AS DATE) >= CAST(concat('199', o_custkey % 8, '-03-01') AS DATE) GROUP BY 1
+)
+SELECT c.k, kind, CASE kind WHEN 0 THEN total - le WHEN 1 THEN buyers WHEN 2 THEN o.hi WHEN 3 THEN round(100.0 * f_le / le, 3)
+    WHEN 4 THEN coalesce(l.n, 0) END::DOUBLE AS value,
+  CASE kind WHEN 0 THEN total - le WHEN 1 THEN near WHEN 2 THEN coalesce(o.n, 0) WHEN 3 THEN le WHEN 4 THEN coalesce(l.n, 0) ELSE 0 END::BIGINT
+    AS evidence_row_count
+FROM c JOIN upto u ON u.k = c.k LEFT JOIN other o ON o.k = c.k LEFT JOIN late l ON l.k = c.k
+CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) v(kind)
+""",
+)
+def recompute_filters(spark, sf_dir):
+    """Filters beyond equality: the texts of one template share a scan."""
+    session = ClaimSession(spark)
+    session.register(table(spark, sf_dir, "orders"))
+    texts = session.adopt(derived(spark, sf_dir, FILTER_EVIDENCE, "orders"))
+    return recomputed_values(session, texts).select(
+        "k", "kind", parse_number(F.col("raw")).alias("value"), "evidence_row_count"
+    )

@@ -3,34 +3,36 @@
 Evidence of the common shape `SELECT agg(x) FROM data [WHERE col = v | col IN (...)]`
 is never run query by query. All claims filtering on one column share a single
 `GROUP BY col` over the dataset, whatever their number, and meet their group in one
-join. Only other shapes are run text by text, each distinct text once.
+join. Other filtered aggregates share a scan with those that differ in literals only
+(`templates`). The rest is run text by text, each distinct text once.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import batched
+from itertools import batched, chain
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from claimcheck.functions.evidence import is_sql, row_count_query
 from claimcheck.functions.guard import standard_literals, quote_ident, validate_query
 from claimcheck.functions.numbers import value_text
 from claimcheck.functions.text import let, strip_text
 from claimcheck.operators.checked import RefusedQuery, checked_sql
+from claimcheck.operators.templates import blocks, run_block, with_template
 from claimcheck.session import DATA_VIEW, ClaimSession, materialize, shared_dir
 
 # Aggregates computed together in one pass over the dataset.
 BATCH_AGGREGATES = 64
-# Up to this many claimed values become an IN filter that reaches the scan.
-PUSHED_VALUES = 1_000
-# Distinct texts run per round; results of a round are written before the next one.
+# Distinct texts run per round, and results held before they are written.
 TEXT_ROUND = 256
+RESULT_ROUND = 10_000
 TEXT_THREADS = 8
 FAMILY_THREADS = 8
 SEPARATOR = "\x1f"
@@ -152,7 +154,6 @@ class Family:
 
     column: str
     aggregates: list[str]
-    n_keys: int
     n_values: int
     types: dict[str, T.DataType] = field(default_factory=dict)
     # Aggregates Spark cannot analyse, and those whose shared pass fails at run time.
@@ -204,11 +205,8 @@ def recompute(session: ClaimSession, routed: DataFrame, evidence: str = "evidenc
     """Recompute every evidence of a routed table that is allowed to run."""
     running = routed.where("_runs")
     families = _families(session, running)
-    pushed = _pushed_values(running, families)
     with ThreadPoolExecutor(FAMILY_THREADS) as pool:
-        results = list(
-            pool.map(lambda f: _family_rows(session, running, f, pushed.get(f.column)), families)
-        )
+        results = list(pool.map(lambda f: _family_rows(session, running, f), families))
     errors = [(f.column, a, message) for f in families for a, message in f.errors.items()]
     failed = [(f.column, a) for f in families for a in f.failed]
     error_rows = session.spark.createDataFrame(errors, ERROR_SCHEMA) if errors else None
@@ -318,15 +316,11 @@ def _families(session: ClaimSession, running: DataFrame) -> list[Family]:
     members = (
         running.where("_route.route = 'family'")
         .groupBy("_route.column", "_route.aggregate")
-        .agg(
-            F.approx_count_distinct("_route.key").alias("n_keys"),
-            F.max(F.size("_route.values")).alias("n_values"),
-        )
+        .agg(F.max(F.size("_route.values")).alias("n_values"))
     )
     for row in members.toLocalIterator():
-        family = found.setdefault(row["column"], Family(row["column"], [], 0, 0))
+        family = found.setdefault(row["column"], Family(row["column"], [], 0))
         family.aggregates.append(row["aggregate"])
-        family.n_keys += row["n_keys"]
         family.n_values = max(family.n_values, row["n_values"])
     for family in found.values():
         for aggregate in sorted(family.aggregates):
@@ -338,33 +332,10 @@ def _families(session: ClaimSession, running: DataFrame) -> list[Family]:
     return list(found.values())
 
 
-def _pushed_values(running: DataFrame, families: list[Family]) -> dict[str, list[str]]:
-    """The claimed values of each filter column that has provably few of them."""
-    few = [f.column for f in families if f.column and f.n_keys <= PUSHED_VALUES]
-    if not few:
-        return {}
-    limit = (PUSHED_VALUES + 1) * len(few)
-    rows = (
-        running.where(F.col("_route.column").isin(few))
-        .select("_route.column", F.explode("_route.values").alias("v"))
-        .distinct()
-        .limit(limit)
-        .collect()
-    )
-    if len(rows) == limit:
-        return {}
-    values: dict[str, list[str]] = {}
-    for row in rows:
-        values.setdefault(row["column"], []).append(row["v"])
-    return {column: wanted for column, wanted in values.items() if len(wanted) <= PUSHED_VALUES}
-
-
-def _family_rows(
-    session: ClaimSession, running: DataFrame, family: Family, pushed: list[str] | None
-) -> list[DataFrame]:
+def _family_rows(session: ClaimSession, running: DataFrame, family: Family) -> list[DataFrame]:
     claimed = running.where(F.col("_route.column") == family.column)
     view = f"family_{uuid.uuid4().hex}"
-    _filtered(session, family, pushed).createOrReplaceTempView(view)
+    _filtered(session, family, claimed).createOrReplaceTempView(view)
     chunks = [list(c) for c in batched(family.types, BATCH_AGGREGATES)] or [[]]
     names = {aggregate: f"a{i}" for i, aggregate in enumerate(family.types)}
     parts = [p for chunk in chunks for p in _computed(session, family, view, chunk, names)]
@@ -387,16 +358,20 @@ def _family_rows(
     return rows
 
 
-def _filtered(session: ClaimSession, family: Family, pushed: list[str] | None) -> DataFrame:
-    """The dataset a family reads; few claimed values become an IN filter in the scan."""
+def _filtered(session: ClaimSession, family: Family, claimed: DataFrame) -> DataFrame:
+    """The rows of the dataset that some claim of the family filters for."""
     if not family.column:
         return session.data
-    column = F.col(quote_ident(family.column))
-    if pushed is None:
-        return session.data.where(column.isNotNull())
-    dtype = _dtype(session, family.column)
-    read = str if isinstance(dtype, T.StringType) else int if isinstance(dtype, _INTEGRAL) else float
-    return session.data.where(column.isin([read(value) for value in pushed]))
+    values = claimed.select(F.explode("_route.values").alias("_value")).distinct()
+    wide = _wide(_dtype(session, family.column))
+    wanted = materialize(values.select(F.col("_value").cast(wide).alias("_value")), "values")
+    # Spark knows the size of the written values: it broadcasts few and shuffles many.
+    column = F.col(quote_ident(family.column)).cast(wide)
+    return session.data.join(wanted, column == wanted["_value"], "left_semi")
+
+
+def _wide(dtype: T.DataType) -> str:
+    return "string" if isinstance(dtype, T.StringType) else "bigint" if isinstance(dtype, _INTEGRAL) else "double"
 
 
 def _dtype(session: ClaimSession, column: str) -> T.DataType:
@@ -411,9 +386,7 @@ def _computed(
     for aggregate in aggregates:
         items += _partials(aggregate, names[aggregate], family.types[aggregate])
     if family.column:
-        dtype = _dtype(session, family.column)
-        wide = "string" if isinstance(dtype, T.StringType) else "bigint" if isinstance(dtype, _INTEGRAL) else "double"
-        key = f"cast({quote_ident(family.column)} AS {wide})"
+        key = f"cast({quote_ident(family.column)} AS {_wide(_dtype(session, family.column))})"
         sql = f"SELECT cast({key} AS string) AS fkey, {', '.join(items)} FROM {view} GROUP BY {key}"
     else:
         sql = f"SELECT '' AS fkey, {', '.join(items)} FROM {view}"
@@ -506,24 +479,37 @@ def _run_text(session: ClaimSession, text: str, count_text: str | None) -> tuple
 def _text_rows(
     session: ClaimSession, running: DataFrame, evidence: str, failed: list[tuple[str, str]]
 ) -> DataFrame | None:
-    """Run each remaining distinct text once, a round at a time, so the driver holds one round only."""
-    texts = (
-        running.where(_runs_as_text(F.col("_route"), failed))
-        .select(F.col(evidence).alias("_run_text"))
-        .distinct()
-        .withColumn("count_text", row_count_query(F.col("_run_text")))
-    )
-    path, done = shared_dir(session.spark, "texts"), []
+    """Results of the remaining distinct texts: those of one template together, others one by one.
+
+    Texts pass through the driver a round at a time, and so do their results.
+    """
+    distinct = running.where(_runs_as_text(F.col("_route"), failed)).select(F.col(evidence).alias("_run_text")).distinct()
+    counted = distinct.withColumn("count_text", row_count_query(F.col("_run_text")))
+    texts = materialize(with_template(counted, "_run_text"), "distinct-texts")
+    path, done, spilled = shared_dir(session.spark, "texts"), [], False
+
+    def alone(rows: Iterable[Row]) -> list[tuple]:
+        return list(pool.map(lambda r: _run_text(session, r["_run_text"], r["count_text"]), rows))
+
     with ThreadPoolExecutor(TEXT_THREADS) as pool:
-        for number, texts_round in enumerate(batched(texts.toLocalIterator(), TEXT_ROUND)):
-            if number:
+        shared = blocks(texts.where("template IS NOT NULL").orderBy("template").toLocalIterator())
+        together = pool_rounds(shared, lambda block: run_block(session, block, run_query, RUN_ERRORS), pool)
+        rounds = (results + alone(rest) for results, rest in together)
+        singles = map(alone, batched(texts.where("template IS NULL").toLocalIterator(), TEXT_ROUND))
+        for results in chain(rounds, singles):
+            done += results
+            if len(done) >= RESULT_ROUND:
                 session.spark.createDataFrame(done, TEXT_SCHEMA).write.mode("append").parquet(path)
-            done = list(pool.map(lambda r: _run_text(session, r["_run_text"], r["count_text"]), texts_round))
-            rounds = number + 1
-    if not done:
-        return None
-    last = session.spark.createDataFrame(done, TEXT_SCHEMA)
-    if rounds == 1:
-        return _small(last, done)
-    last.write.mode("append").parquet(path)
-    return session.spark.read.parquet(path)
+                done, spilled = [], True
+    last = session.spark.createDataFrame(done, TEXT_SCHEMA) if done else None
+    if not spilled:
+        return last if last is None else _small(last, done)
+    if last is not None:
+        last.write.mode("append").parquet(path)
+    return session.spark.read.schema(TEXT_SCHEMA).parquet(path)
+
+
+def pool_rounds(items: Iterator, work: Callable, pool: ThreadPoolExecutor) -> Iterator:
+    """Results of `work`, as many at a time as there are threads."""
+    for some in batched(items, TEXT_THREADS):
+        yield from pool.map(work, some)

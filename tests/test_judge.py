@@ -185,7 +185,38 @@ def test_claims_of_a_hot_key_are_cut_up(spark, orders, monkeypatch):
     assert sorted(key for _, key in seen[0].hot) == ["0", "1\x1f7"] and seen[0].pieces == 7
 
 
-def test_many_claimed_values_skip_the_pushed_filter(spark):
+def test_texts_of_one_template_agree_with_running_them_alone(spark, monkeypatch):
+    data = spark.range(60).selectExpr("id AS k", "id % 7 - 3 AS v", "concat('it''s ', id % 4) AS s", "date_add(date'2020-01-01', int(id)) AS d")
+    session = ClaimSession(spark)
+    session.register(data)
+    texts = [f"SELECT avg(v) FROM data WHERE k > {i} AND s <> 'it''s {i % 4}'" for i in range(0, 80, 9)]
+    texts += [f"select sum(1 / v) from data where k between {i} and {i + 2};" for i in range(0, 60, 3)]
+    texts += [f"SELECT count(*) * 1.0 / count(v) FROM data WHERE k = -{i} OR k >= 59.5" for i in range(3)]
+    texts += [f"SELECT max(s) FROM data WHERE d < DATE '2020-02-{i:02}' AND s LIKE '%{i % 4}'" for i in range(1, 9)]
+    texts += [f"SELECT min(k), max(k) FROM data WHERE k > {i}" for i in range(3)]
+    texts += [f"SELECT k FROM data WHERE k > {i}" for i in (57, 58, 59)]
+    texts += [f"SELECT count(*) FROM data WHERE k > {i} GROUP BY v" for i in range(3)]
+    texts += [f"SELECT count(*) FROM data WHERE k > {i}) OR (k < 3" for i in range(3)]
+    texts += [f"SELECT count(*) FROM data WHERE k > (SELECT min(k) + {i} FROM data)" for i in range(3)]
+    texts += [f"SELECT concat('max(', k) FROM data WHERE k = {i}" for i in range(3)]
+    texts += [f"SELECT max('x from data where k') FROM data WHERE k = {i} AND s = 'from \\ {i}'" for i in range(3)]
+    frame = session.spark.createDataFrame([(t,) for t in texts], "evidence string")
+
+    def outcome():
+        return {r["evidence"]: (r["raw"], r["error"] is None, r["evidence_row_count"]) for r in recomputed_values(session, frame).collect()}
+
+    alone = []
+    run_text = recompute._run_text
+    monkeypatch.setattr(recompute, "_run_text", lambda s, text, count: alone.append(text) or run_text(s, text, count))
+    shared = outcome()
+    left = len(alone)
+    assert not [t for t in alone if "avg(v)" in t or "max(s)" in t]
+    assert sum("sum(1 / v)" in t for t in alone) < 20
+    monkeypatch.setattr(recompute, "run_block", lambda session, block, *_: ([], block))
+    assert outcome() == shared and len(alone) - left == len(texts)
+
+
+def test_many_claimed_values(spark):
     data = spark.range(5000).selectExpr("id AS k", "id % 3 AS v")
     findings = spark.createDataFrame(
         [finding(str(i), "x", f"SELECT sum(v) FROM data WHERE k = {i}", i % 3) for i in range(3000)], SCHEMA
