@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimcheck.catalog import derived, query
+from claimcheck.catalog import derived, query, table
+from claimcheck.operators.baseline import Recipe
+from claimcheck.plans.reports import verify_reports
 from claimcheck.session import materialize, shared_dir
 from claimcheck.sources import reports
 
@@ -185,3 +187,42 @@ def report_parts(spark, sf_dir):
         "report_id", "finding_pos", claim.alias("claim"), "value_text", "parts",
         (F.coalesce("notes", F.lit(0)) == 3).alias("has_notes"), "rows", "metric_value",
     )
+
+
+# One report per nation; the counts of every second one are doubled, a few have no findings list.
+_NATION_COUNT = "n * (1 + k % 2)"
+NATION_REPORTS = f"""
+SELECT CAST(k AS STRING) AS report_id, k, n, seg, concat('{{"dataset":{{"name":"nation ', k, '","rows":', n, ',"cols":5}},', CASE WHEN k % 10 = 9 THEN '' ELSE
+  concat('"findings":[{{"claim":"There are ', {_NATION_COUNT}, ' customers","evidence_sql_or_code":"SELECT count(*) FROM data WHERE c_nationkey = ', k,
+    '","value":', {_NATION_COUNT}, '}},{{"claim":"The last segment is ', seg, '","evidence_sql_or_code":"SELECT max(c_mktsegment) FROM data WHERE c_nationkey >= ', k,
+    ' AND c_nationkey <= ', k, '","value":"', seg, '"}},{{"claim":"It is all","evidence_sql_or_code":"SELECT ', n, '","value":', n, '}}],') END,
+  '"data_quality_issues":[],"baseline":{{"model":"DecisionTree(random_state=', k, ')","features":["c_acctbal"],"metric_name":"roc_auc","metric_value":0.5}}}}') AS json
+FROM (SELECT c_nationkey AS k, count(*) AS n, max(c_mktsegment) AS seg FROM customer GROUP BY c_nationkey) t
+"""
+
+
+@query(
+    "verified_reports",
+    f"""
+SELECT report_id, 0::BIGINT AS part, concat('{{"dataset":{{"name":"nation ', k, '","rows":', n, ',"cols":5}},"findings":[{{"claim":"There are ', {_NATION_COUNT},
+    ' customers","evidence_sql_or_code":"SELECT count(*) FROM data WHERE c_nationkey = ', k, '","claimed_value":', {_NATION_COUNT},
+    ',"verdict":"', CASE k % 2 WHEN 0 THEN 'verified' ELSE 'contradicted' END, '","recomputed_value":', n, ',"detail":"',
+    'recomputed ', n, CASE k % 2 WHEN 0 THEN ' matches' ELSE ' does NOT match' END,
+    ' claimed ', {_NATION_COUNT}, ' (rel_tol=0.01, abs_tol=0.01)","evidence_row_count":', n, ',"provenance_note":', note,
+  '}},{{"claim":"The last segment is ', seg, '","evidence_sql_or_code":"SELECT max(c_mktsegment) FROM data WHERE c_nationkey >= ', k, ' AND c_nationkey <= ', k,
+    '","claimed_value":"', seg, '","verdict":"verified","recomputed_value":"', seg, '","detail":"recomputed ''', seg, ''' matches claimed ''', seg,
+    ''' (string compare)","evidence_row_count":', n, ',"provenance_note":', note,
+  '}},{{"claim":"It is all","evidence_sql_or_code":"SELECT ', n, '","claimed_value":', n, ',"verdict":"unverified","recomputed_value":null,"detail":"',
+    'evidence_does_not_touch_data: SQL evidence never references the `data` view in a FROM/JOIN clause -- it cannot have queried the real dataset',
+    '","evidence_row_count":null,"provenance_note":null}}],"baseline":{{"model":"DecisionTree(random_state=', k,
+    ')","features":["c_acctbal"],"metric_name":"roc_auc","claimed_value":0.5,"verdict":"unverified","recomputed_value":null,"detail":"',
+    'cannot reproduce baseline: judge only knows how to retrain LogisticRegression from the report fields, got model spec ''DecisionTree(random_state=', k,
+    ')''"}},"summary":{{"verified":', 2 - k % 2, ',"unverified":2,"contradicted":', k % 2, '}}}}') AS json
+FROM (SELECT *, CASE WHEN n < 0.1 * (SELECT count(*) FROM customer) THEN '"narrow_subset"' ELSE 'null' END AS note FROM ({NATION_REPORTS}) WHERE k % 10 <> 9) r
+""",
+)
+def verified_reports(spark, sf_dir):
+    """Documents in, findings and baseline judged, whole documents out."""
+    parsed = reports.parse_reports(derived(spark, sf_dir, NATION_REPORTS, "customer")).select("report_id", "doc")
+    recipe = Recipe(key="c_custkey", target="c_mktsegment", positive="BUILDING")
+    return verify_reports(spark, parsed, table(spark, sf_dir, "customer"), recipe)
