@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from claimcheck.catalog import derived, query, table
 from claimcheck.functions.numbers import coerce_number
 from claimcheck.operators import profile
-from claimcheck.session import shared_dir
+from claimcheck.session import materialize, shared_dir
 from claimcheck.sources.datasets import read_csv
 
 # orders with missing, blank and non-numeric values put in by key.
@@ -114,6 +114,23 @@ def summarize_approx(spark, sf_dir):
     return profile.summarize(table(spark, sf_dir, "lineitem"))
 
 
+_NUMERIC = "column_type NOT IN ('VARCHAR', 'DATE') AND column_type NOT LIKE 'TIMESTAMP%'"
+
+
+@query(
+    "profile_sketch_bounds",
+    f"""
+SELECT column_name, true AS unique_kept, CASE WHEN {_NUMERIC} THEN true END AS q25_kept,
+  CASE WHEN {_NUMERIC} THEN true END AS q50_kept, CASE WHEN {_NUMERIC} THEN true END AS q75_kept
+FROM (DESCRIBE SELECT * FROM lineitem)
+""",
+)
+def sketch_bounds(spark, sf_dir):
+    """The sketches of the summary against exact ranks and exact distinct counts."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    return profile.sketch_bounds(lineitem, materialize(profile.summarize(lineitem), "summary"))
+
+
 CUSTOMER_CSV = {
     "c_custkey": "int", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string",
 }

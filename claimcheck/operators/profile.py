@@ -164,28 +164,60 @@ def _extreme(agg: Callable[[Column], Column]) -> Stat:
 def summarize(df: DataFrame, accuracy: int = 10_000, rsd: float = 0.05) -> DataFrame:
     """Per column: min, max, approx_unique, avg, std, q25, q50, q75, count, null_percentage.
 
-    Distinct counts and quantiles are sketches of fixed size, so one scan is enough.
+    Distinct counts and quantiles are sketches of fixed size, each read in a scan of its own:
+    beside sketches and text extremes the moments would leave compiled code.
     """
     def quantiles(column: Column) -> Column:
         return F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy)
 
-    long = _long(
-        df,
-        df.schema.fields,
+    scans = [
         {
-            "min": _extreme(F.min),
-            "max": _extreme(F.max),
-            "approx_unique": lambda c, f: F.approx_count_distinct(_hashable(c, f), rsd),
             "avg": _number_or_null(F.avg),
             "std": _number_or_null(F.stddev_samp),
-            "quantiles": _number_or_null(quantiles, "array<double>"),
             "n_valid": lambda c, f: F.count(c),
         },
-    )
+        {"min": _extreme(F.min), "max": _extreme(F.max)},
+        {"approx_unique": lambda c, f: F.approx_count_distinct(_hashable(c, f), rsd)},
+        {"quantiles": _number_or_null(quantiles, "array<double>")},
+    ]
+    first, *others = [_long(df, df.schema.fields, stats) for stats in scans]
+    long = first
+    for other, stats in zip(others, scans[1:]):
+        long = long.join(other.select("column_name", *stats), "column_name")
     spread = {name: F.try_element_at("quantiles", F.lit(i + 1)) for i, name in enumerate(("q25", "q50", "q75"))}
     return _with_null_share(long.withColumns(spread).drop("quantiles"))
 
 
+def sketch_bounds(df: DataFrame, summary: DataFrame, accuracy: int = 10_000, rsd: float = 0.05) -> DataFrame:
+    """Whether each sketched figure of `summary` keeps its bound, NULL where there is none.
+
+    A quantile may be off by a rank of rows / accuracy, a distinct count by three times `rsd`.
+    """
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    quantiles = {r["column_name"]: r for r in summary.where(F.col("column_name").isin(list(numeric))).collect()}
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    ranks = []
+    for name, row in quantiles.items():
+        for q in shares:
+            cell = _col(name).cast("double")
+            ranks += [F.count_if(cell < row[q]).alias(f"{name}<{q}"), F.count_if(cell <= row[q]).alias(f"{name}={q}")]
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(_col(n)).alias(f"{n}|n") for n in numeric], *ranks).first()
+
+    def kept(name: str, q: str) -> bool:
+        wanted, off = shares[q] * seen[f"{name}|n"], seen[f"{name}|n"] / accuracy + 1
+        return seen[f"{name}<{q}"] - off <= wanted <= seen[f"{name}={q}"] + off
+
+    rows = [(name, *[kept(name, q) for q in shares]) for name in quantiles]
+    schema = "column_name string, q25_kept boolean, q50_kept boolean, q75_kept boolean"
+    near = F.abs(F.col("approx_unique") - F.col("n_unique")) <= 3 * rsd * F.col("n_unique") + 1
+    return (
+        summary.select("column_name", "approx_unique")
+        .join(distinct_counts(df), "column_name", "left")
+        .select("column_name", near.alias("unique_kept"))
+        .join(df.sparkSession.createDataFrame(rows, schema), "column_name", "left")
+    )
+
+
 def summarize_exact(df: DataFrame) -> DataFrame:
     """`summarize` without sketches: exact distinct counts, no quantiles.
 
