@@ -13,8 +13,8 @@ from claimcheck import catalog
 HEADLINE = [
     "profile_report", "profile_summarize_approx", "profile_null_counts", "dq_numeric_text", "base_facts",
     "sql_guard", "guarded_sql", "passthrough_agg", "passthrough_window", "customer_claims", "judged_findings",
-    "recompute_families", "recompute_sql", "verdict_summary", "plant_cases", "bench_overall", "bench_by_cell",
-    "ml_split", "ml_roc_auc", "ml_fit_predict", "report_problems", "report_roundtrip", "tool_call_pairs",
+    "recompute_families", "recompute_filters", "recompute_sql", "verdict_summary", "plant_cases", "bench_overall", "bench_by_cell",
+    "ml_split", "ml_roc_auc", "ml_fit_predict", "report_problems", "report_roundtrip", "verified_reports", "tool_call_pairs",
     "chat_reshape", "tokens",
 ]
 
