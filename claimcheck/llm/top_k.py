@@ -73,8 +73,9 @@ def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nd
                 upper, lower = lists.bounds(up[part], down[part], depth, (floor[part] == lowest).any() and depth < n)
                 enough = floor[part]
                 if lower is not None and n > k:
-                    # One more than k: the query's own row may be among them.
-                    enough = np.maximum(enough, np.partition(lower, n - k - 1, axis=1)[:, n - k - 1])
+                    # The query's own rows, which may repeat, are none of its k best.
+                    lower[own == query_ids[part][:, None]] = lowest
+                    enough = np.maximum(enough, np.partition(lower, n - k, axis=1)[:, n - k])
                 alive = upper >= enough[:, None]
                 if depth == n or alive.mean() <= RESOLVE_SHARE:
                     break

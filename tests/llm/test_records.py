@@ -160,6 +160,18 @@ def test_top_k_equals_brute_force(spread):
         assert [(int(ids[i]), int(scores[i])) for i in order] == [(b, c) for a, b, c in found if a == qid]
 
 
+def test_top_k_with_many_rows_of_the_query():
+    """Rows that repeat the query's id and outscore all others neither count nor hide others."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-60, 61, (5_000, 4))
+    ids = np.arange(5_000)
+    ids[:400], x[:400] = 7, 60
+    found = top_k.search_block(np.array([7]), np.full((1, 4), 60), ids, x, 20)
+    scores = x @ np.full(4, 60)
+    order = [i for i in np.lexsort((ids, -scores)) if ids[i] != 7][:20]
+    assert [(b, c) for _, b, c in found] == [(int(ids[i]), int(scores[i])) for i in order]
+
+
 def test_top_k_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(1, [0.5, -0.25]), (2, [0.5, -0.25]), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, None), (6, [1.0, None]), (7, [-1.0, 0.1]), (7, [-1.0, 0.1]), (None, [1.0, 1.0]), (8, [1.0]), (20, [2.0, 0.0])]
