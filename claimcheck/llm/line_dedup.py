@@ -137,21 +137,27 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """`docs` with `text` cut down to the kept lines, and columns n_lines and n_dropped."""
-    docs = docs.drop("n_lines", "n_dropped", "keep_bits")
+    """`docs` with `text` cut down to the kept lines, and columns n_lines and n_dropped.
+
+    Columns that already have these two names are replaced; all others pass through.
+    """
+    docs = docs.drop("n_lines", "n_dropped")
+    bits_name = "keep_bits"
+    while bits_name in docs.columns:
+        bits_name += "_"
     marks = bitmaps.select(
-        F.col("doc_id").alias("bitmap_doc"), F.col("copy").alias("bitmap_copy"), F.col("keep").alias("keep_bits"), "n_dropped"
+        F.col("doc_id").alias("bitmap_doc"), F.col("copy").alias("bitmap_copy"), F.col("keep").alias(bits_name), "n_dropped"
     )
     joined = docs.join(
         marks, (docs["doc_id"] == marks["bitmap_doc"]) & (text_copy(docs["text"]) == marks["bitmap_copy"]), "left"
-    ).drop("bitmap_doc", "bitmap_copy")
+    ).select(*[docs[c] for c in docs.columns], bits_name, marks["n_dropped"])
     names = docs.columns
     schema = StructType([*docs.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, n_lines, n_dropped = [], [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "keep_bits", "n_dropped")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("text", bits_name, "n_dropped")))
             for text, keep, dropped in rows:
                 lines = (text or "").split("\n")
                 if keep is not None:
@@ -165,4 +171,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"]
             )
 
-    return joined.select(*names, "keep_bits", "n_dropped").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

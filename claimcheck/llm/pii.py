@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from claimcheck.llm.byte_bpe import slices
@@ -236,23 +236,23 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def redacted(text: str) -> str:
+    """`text` with every found span replaced by its kind in angle brackets; overlapping spans become one."""
+    base = detect(text)
+    parts, at = [], 0
+    for start, end, kind in sorted({*base, *hidden(text, base)}):
+        if start >= at:
+            parts += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with every found span replaced by its kind in angle brackets; overlapping spans become one."""
-    found = find_pii(docs)
-    both = F.array_sort(F.concat("base_spans", "hidden_spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-
-    def step(acc, span):
-        gap = F.substring("text", acc["at"] + 1, span["start"] - acc["at"])
-        mark = F.concat(acc["text"], gap, F.lit("<"), F.upper(span["kind"]), F.lit(">"))
-        return F.when(span["start"] < acc["at"], F.struct(F.greatest(acc["at"], span["end"]).alias("at"), acc["text"].alias("text"))).otherwise(
-            F.struct(span["end"].alias("at"), mark.alias("text"))
-        )
-
-    done = F.aggregate(both, start, step)
-    return found.withColumn("done", done).withColumn(
-        "text",
-        F.when(F.size(both) > 0, F.concat(F.col("done.text"), F.substring("text", F.col("done.at") + 1, F.length("text")))).otherwise(
-            F.col("text")
-        ),
-    ).select(*docs.columns)
+    """`docs` with redacted texts. Null text stays null; all other columns, whatever their names, pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = pa.array([t and redacted(t) for t in batch.column("text").to_pylist()], pa.string())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+
+    return docs.mapInArrow(run, docs.schema)
