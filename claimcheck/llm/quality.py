@@ -50,23 +50,29 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(marks) > 0).sum())
 
 
+def text_digest(text: Column) -> Column:
+    """Tells rows with the same doc_id, or with none, but different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def with_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source) and the features of every row; null text has no word and no line."""
+    """(doc_id, lang, source, digest) and the features of every row; null text has no word and no line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = [features(t or "") for t in batch.column("text").to_pylist()]
             columns = zip(*rows) if rows else [[]] * 5
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            keys = ["doc_id", "lang", "source"]
+            keys = ["doc_id", "lang", "source", "digest"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in columns)], [*keys, *names]
             )
 
     keyed = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text"
+        F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+        text_digest(F.col("text")).alias("digest"), "text",
     )
-    return keyed.mapInArrow(run, f"doc_id long, lang string, source string, {FEATURES}")
+    return keyed.mapInArrow(run, f"doc_id long, lang string, source string, digest long, {FEATURES}")
 
 
 #: Rates that are judged against the data: what they count per what, and the slack in their own
@@ -150,7 +156,7 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(doc_id, lang, source, features, base_failed, the three rates, their thresholds, kept) per row of `docs`.
+    """(doc_id, lang, source, digest, features, base_failed, the three rates, their thresholds, kept) per row of `docs`.
 
     Null text has no words and fails the base rules; null language or source is the group ''.
     A group of which no document passes the base rules has null thresholds and keeps nothing.
@@ -165,3 +171,19 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return judged.withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     )
+
+
+def keep(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of `docs` whose verdict is kept, with all their columns.
+
+    A verdict names its row by doc_id, null or not, language, source and the digest of the
+    text, which are all that it depends on. Rows that agree in these share their verdict.
+    """
+    rejected = judge(docs, min_group).where("NOT kept").select("doc_id", "lang", "source", "digest").distinct()
+    same = (
+        docs["doc_id"].cast("long").eqNullSafe(rejected["doc_id"])
+        & (text_digest(docs["text"]) == rejected["digest"])
+        & (F.coalesce(docs["lang"], F.lit("")) == rejected["lang"])
+        & (F.coalesce(docs["source"], F.lit("")) == rejected["source"])
+    )
+    return docs.join(rejected, same, "left_anti")
