@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import groupby
 
-from pyspark.errors import PySparkException
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from claimcheck.functions.guard import quote_ident
 from claimcheck.functions.numbers import coerce_number, fixed_text, is_close
 from claimcheck.functions.text import quoted
-from claimcheck.operators.recompute import first_line
+from claimcheck.operators.recompute import first_line, pool_rounds
 from claimcheck.session import materialize
 
 # Fixed values.
@@ -27,6 +27,8 @@ MODEL_CLASS = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("
 RANDOM_STATE = r"random_state\s*=\s*([0-9]+)"
 MAX_ITER = r"max_iter\s*=\s*([0-9]+)"
 TEST_PERCENT = 20
+# Specs of one seed trained at a time.
+SPEC_THREADS = 4
 
 # Distinct scores ranked by one task, and the most ranges they are cut into.
 RANGE_ROWS = 1_000_000
@@ -190,15 +192,24 @@ def training_table(data: DataFrame, recipe: Recipe, seed: int) -> DataFrame:
     return stratified_split(table, recipe.key, "_target", seed)
 
 
+def split_table(data: DataFrame, recipe: Recipe, features: list[str], seed: int) -> DataFrame:
+    """(_target, is_test, f0, f1, ...), written once for all training runs of a seed over these features."""
+    table = training_table(data, recipe, seed).select("_target", "is_test", *map(quote_ident, features))
+    return materialize(table.toDF("_target", "is_test", *[f"f{i}" for i in range(len(features))]), "split")
+
+
+def split_metrics(split: DataFrame, names: list[str], max_iter: int) -> dict[str, float]:
+    """accuracy and roc_auc of one training run on some columns of a written split."""
+    chosen = split.select("_target", "is_test", *names)
+    scored = materialize(fit_predict(standardize(chosen, names), names, "_target", max_iter), "scored")
+    return {"accuracy": accuracy(scored).first()[0], "roc_auc": roc_auc(scored).first()[0]}
+
+
 def train_metrics(
     data: DataFrame, recipe: Recipe, features: list[str], seed: int, max_iter: int
 ) -> dict[str, float]:
     """accuracy and roc_auc of one training run."""
-    table = training_table(data, recipe, seed).select("_target", "is_test", *map(quote_ident, features))
-    names = [f"f{i}" for i in range(len(features))]
-    split = materialize(table.toDF("_target", "is_test", *names), "split")
-    scored = materialize(fit_predict(standardize(split, names), names, "_target", max_iter), "scored")
-    return {"accuracy": accuracy(scored).first()[0], "roc_auc": roc_auc(scored).first()[0]}
+    return split_metrics(split_table(data, recipe, features, seed), [f"f{i}" for i in range(len(features))], max_iter)
 
 
 def parse_spec(baselines: DataFrame) -> DataFrame:
@@ -270,8 +281,9 @@ def verify_baselines(
     """Retrain each distinct (features, random_state, max_iter) once and compare the reported metrics."""
     gated = baseline_gate(parse_spec(baselines), _coerced_schema(data, recipe))
     spec = ["features", "random_state", "max_iter"]
-    specs = gated.where("refusal IS NULL").select(*spec).distinct()
-    rows = list(_retrained(specs.toLocalIterator(), data, recipe))
+    specs = gated.where("refusal IS NULL").select(*spec).distinct().orderBy("random_state")
+    by_seed = groupby(specs.toLocalIterator(), lambda row: row["random_state"])
+    rows = [result for seed, some in by_seed for result in _retrained(list(some), data, recipe, seed)]
     trained = baselines.sparkSession.createDataFrame(
         rows,
         "features array<string>, random_state bigint, max_iter bigint, "
@@ -303,11 +315,27 @@ def verify_baselines(
     )
 
 
-def _retrained(specs: Iterator, data: DataFrame, recipe: Recipe) -> Iterator[tuple]:
-    for row in specs:
-        seed, max_iter = row["random_state"], row["max_iter"]
+def _retrained(specs: list[Row], data: DataFrame, recipe: Recipe, seed: int) -> Iterator[tuple]:
+    """Results of the specs of one seed: they share a split and train side by side."""
+    columns = sorted({name for row in specs for name in row["features"]})
+
+    def result(row: Row, accuracy: float | None, auc: float | None, failure: str | None) -> tuple:
+        return row["features"], seed, row["max_iter"], accuracy, auc, failure
+
+    def failed(row: Row, error: Exception) -> tuple:
+        return result(row, None, None, f"retraining failed: {first_line(error)}")
+
+    def trained(row: Row) -> tuple:
         try:
-            metrics = train_metrics(data, recipe, row["features"], seed, max_iter)
-            yield row["features"], seed, max_iter, metrics["accuracy"], metrics["roc_auc"], None
+            metrics = split_metrics(split, [f"f{columns.index(name)}" for name in row["features"]], row["max_iter"])
+            return result(row, metrics["accuracy"], metrics["roc_auc"], None)
         except Exception as error:  # noqa: BLE001  whatever stops the training, the metric stays unchecked
-            yield row["features"], seed, max_iter, None, None, f"retraining failed: {first_line(error)}"
+            return failed(row, error)
+
+    try:
+        split = split_table(data, recipe, columns, seed)
+    except Exception as error:  # noqa: BLE001
+        yield from (failed(row, error) for row in specs)
+        return
+    with ThreadPoolExecutor(SPEC_THREADS) as pool:
+        yield from pool_rounds(specs, trained, pool)
