@@ -177,11 +177,14 @@ def _detail(shown: Column, rel_tol: float, abs_tol: float) -> Column:
 def with_run_logs(findings: DataFrame, run_logs: DataFrame) -> DataFrame:
     """Take Python evidence's value and row count from captured runs (evidence, ok, stdout, error).
 
-    Evidence is never executed here; a text without a captured run stays unchecked.
+    Evidence is never executed here; a text without a captured run stays unchecked. Of several
+    runs of one text the last counts, by the column `run_at` where the logs have it; without
+    it, or among equals, a successful one.
     """
+    order = ["run_at"] if "run_at" in run_logs.columns else []
     logs = (
         run_logs.groupBy("evidence")
-        .agg(F.max(F.struct("ok", "stdout", "error")).alias("run"))
+        .agg(F.max(F.struct(*order, "ok", "stdout", "error")).alias("run"))
         .select(
             "evidence",
             run_error(F.col("run.ok"), F.col("run.stdout"), F.col("run.error")).alias("run_error"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from claimcheck.functions.evidence import implausible_reason
 from claimcheck.operators import planting, quality, recompute
 from claimcheck.operators.recompute import recomputed_values
-from claimcheck.plans.verify import judge_datasets, judge_findings, verdict_summary, with_verdict
+from claimcheck.plans.verify import judge_datasets, judge_findings, verdict_summary, with_run_logs, with_verdict
 from claimcheck.plans import verify
 from claimcheck.session import ClaimSession
 
@@ -117,6 +117,18 @@ def test_python_evidence_uses_captured_runs(spark, churn):
     }
 
 
+def test_the_last_of_several_runs_counts(spark):
+    """By run_at where the logs have it; without it a successful run goes before a failed one."""
+    runs = [("py", 1, True, "RESULT: 9", None), ("py", 3, True, "RESULT: 5", None), ("py", 2, False, "", "exit 1"), ("x", 2, False, "", "exit 1"), ("x", 1, True, "RESULT: 7", None)]
+    logs = spark.createDataFrame(runs, "evidence string, run_at int, ok boolean, stdout string, error string")
+    schema = "evidence string, raw string, error string, evidence_row_count bigint"
+    findings = spark.createDataFrame([("py", None, None, None), ("x", None, None, None)], schema)
+    found = {r["evidence"]: (r["raw"], r["error"] is None) for r in with_run_logs(findings, logs).collect()}
+    assert found["py"] == ("5", True) and not found["x"][1]
+    found = {r["evidence"]: (r["raw"], r["error"] is None) for r in with_run_logs(findings, logs.drop("run_at")).collect()}
+    assert found == {"py": ("9", True), "x": ("7", True)}
+
+
 def test_families_agree_with_running_each_text(spark, orders):
     """The shared pass and the query-by-query path give the same cell and row count."""
     queries = [
