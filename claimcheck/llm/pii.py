@@ -51,8 +51,6 @@ DISGUISE = re.compile(
     rf"|(?P<digits>\b(?:plus[ -]{{1,3}})?{_WORD}(?:[ -]{{1,3}}{_WORD})*\b)",
     re.I,
 )
-PLAIN_AT = re.compile(r" at [a-z0-9-]+\.[a-z]")
-HINTS = ["dot", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "(@", "[@", "{@", "<@", "( @", "[ @"]
 
 
 def luhn(digits: str) -> bool:
@@ -170,16 +168,14 @@ def _disguises(text: str) -> Iterator[tuple[int, int, str]]:
             plus = m[0][:4].lower() == "plus"
             at = m.start()
             for word in re.finditer(_WORD, m[0], re.I):
-                new = str(DIGIT_WORDS.index(word[0].lower()))
+                # A capital I with its dot counts as an i, and leaves the dot behind in lower case.
+                new = str(DIGIT_WORDS.index(word[0].lower().replace("\u0307", "")))
                 yield at, m.start() + word.end(), "+" + new if plus and at == m.start() else new
                 at = m.start() + word.end()
 
 
 def spelled_out(text: str) -> Rewritten | None:
     """Second transducer: at, dot and digits in words. A digit takes the gap to the digit word before it."""
-    low = text.lower()
-    if not any(h in low for h in HINTS) and not PLAIN_AT.search(low) and sum(low.count(w) for w in DIGIT_WORDS) < 3:
-        return None
     return _rewrite(text, _disguises(text))
 
 

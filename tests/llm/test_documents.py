@@ -222,6 +222,29 @@ def test_disguises(text, kind, span):
     assert (kind, span) in [(k, text[s:e]) for s, e, k in found]
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("mail jo@example[.]com now", "email", "jo@example[.]com"),
+        ("mail jo@example(.)com now", "email", "jo@example(.)com"),
+        ("ip 10[.]0[.]0[.]1 end", "ip", "10[.]0[.]0[.]1"),
+        ("mail jo  at  example.com now", "email", "jo  at  example.com"),
+        ("mail jo\tat\texample.com now", "email", "jo\tat\texample.com"),
+        ("mail jo (  at  ) example.com now", "email", "jo (  at  ) example.com"),
+        ("mail jo [\tat\t] example.com now", "email", "jo [\tat\t] example.com"),
+        ("mail jo {  @  } example.com now", "email", "jo {  @  } example.com"),
+        ("card 4111 1111 1111 111 one.", "card", "4111 1111 1111 111 one"),
+        ("ip 192.168.zero.one end", "ip", "192.168.zero.one"),
+        ("call +1 555 123 456 seven.", "phone", "+1 555 123 456 seven"),
+        ("call +1 555 123 4 FİVE six seven.", "phone", "+1 555 123 4 FİVE six seven"),
+    ],
+)
+def test_disguises_need_no_hints_elsewhere(text, kind, span):
+    """One disguise is found whatever else the text holds, in every spelling that the rewriting knows."""
+    for whole in (text, text + " More: one, two, three dots (at) four."):
+        assert (kind, span) in [(k, whole[s:e]) for s, e, k in pii.hidden(whole, pii.detect(whole))]
+
+
 @pytest.mark.parametrize("text", ["meet at noon. Then one or two at three", "polka dot dress at home", "Straße für 12 Äpfel, à 3·5 €", "look at it.\nAnd at e.g. this"])
 def test_clean_text_is_left_alone(text):
     assert pii.hidden(text, pii.detect(text)) == []
