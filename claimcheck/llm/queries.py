@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimcheck.llm import byte_bpe, chat, line_dedup, packing, pii, quality, simhash, token_counts, top_k, warc
+from claimcheck.llm import byte_bpe, chat, line_dedup, packing, pii, prefix_trie, quality, simhash, token_counts, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,3 +236,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op13_prefix_trie", sql="""
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, t, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM own
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.t[1:h], []), c.t[h + 1:]) AS t
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, t[1:d] AS p, CASE WHEN d > 0 THEN len(regexp_extract_all(t[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS w, len(t) = d AS ends
+  FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d AS depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids
+  FROM prefixes GROUP BY d, p
+), children AS (
+  SELECT depth - 1 AS depth, p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.p = n.p
+), below AS (
+  SELECT k AS depth, p[1:k] AS p, sum((n_convs - 1) * w)::BIGINT AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, c.depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, sha256(c.ids) AS ends_sha256
+FROM counted c JOIN below b ON b.depth = c.depth AND b.p = c.p LEFT JOIN nodes u ON u.depth = c.depth - 1 AND u.p = c.p[1:c.depth - 1]
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = prefix_trie.read_chats(table(spark, sf_dir, "conversations"))
+    keep = F.crc32(F.col("conv_id").cast("string")) % 4
+    rebuilt = prefix_trie.graft(chats, F.col("conv_id") - F.col("conv_id") % 20, keep.cast("int"))
+    return prefix_trie.prefix_trie(rebuilt).drop("node")
