@@ -209,7 +209,7 @@ def prefix_trie(chats: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     mine = convs.join(owners, F.col("conv_id") == F.col("owner"), "left").select(
         "conv_id", F.transform("path", lambda t: F.struct(t["node"].alias("node"))).alias("path"),
         # A conversation without a node of its own repeats a smaller one in full.
-        F.coalesce("shared", F.element_at("path", -1)["total"], F.lit(0)).alias("shared"),
+        F.coalesce("shared", F.try_element_at("path", F.lit(-1))["total"], F.lit(0)).alias("shared"),
         F.coalesce("leaves", F.lit(0)).alias("leaves"),
     )
     mine = written(mine, "trie-shares")

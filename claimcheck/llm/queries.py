@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimcheck.llm import byte_bpe, chat, line_dedup, packing, pii, prefix_trie, quality, simhash, token_counts, top_k, warc
+from claimcheck.llm import (
+    byte_bpe, chat, html_text, line_dedup, packing, pii, prefix_trie, quality, simhash, token_counts, top_k, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,3 +275,20 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = F.crc32(F.col("conv_id").cast("string")) % 4
     rebuilt = prefix_trie.graft(chats, F.col("conv_id") - F.col("conv_id") % 20, keep.cast("int"))
     return prefix_trie.prefix_trie(rebuilt).drop("node")
+
+
+# On the given pages the article is what the article element holds.
+@query("op12_html_text", sql="""
+WITH articles AS (
+  SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '') AS a FROM pages
+), blocks AS (
+  SELECT page_id, url, list_transform(string_split(regexp_replace(a, '<[^>]*>', chr(1), 'g'), chr(1)), lambda b: trim(regexp_replace(
+    replace(replace(replace(replace(replace(b, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS b
+  FROM articles
+)
+SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text,
+  length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10))) AS n_chars
+FROM blocks
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
