@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimcheck.llm import (
-    byte_bpe, chat, html_text, line_dedup, packing, pii, prefix_trie, quality, simhash, token_counts, top_k, warc,
+    byte_bpe, chat, collocations, html_text, line_dedup, packing, pii, prefix_trie, quality, simhash, token_counts, top_k, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,3 +292,36 @@ FROM blocks
 """)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op11_collocations", sql="""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT doc_id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT doc_id, lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM words, range(1, 6) AS s(size) WHERE len(w) >= size
+), f AS (
+  SELECT lang, size, phrase, count(*) AS a, min(doc_id) AS doc_id FROM grams GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT f.*, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.size, c.w, c.a, c.doc_id, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ') JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT s.* FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM f WHERE f.lang = s.lang AND f.size > s.size AND 100 * f.a >= 100 * s.a AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, k AS cut, doc_id
+FROM kept QUALIFY rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
