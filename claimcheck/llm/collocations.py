@@ -33,13 +33,13 @@ TOP = 2000
 # A longer phrase that holds this many of 100 occurrences of a shorter one replaces it.
 COVERED = 100
 UNKNOWN = "und"
-UNIT_BYTES = 12 << 20
+UNIT_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 18
-HELD_KEYS = 3_000_000
+HELD_KEYS = 1_000_000
 COMPARED = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 # Size of the bitmaps: 2 to this many bits, whatever the input.
-FILTER_BITS = 25
+FILTER_BITS = 24
 
 # What parts pieces, what parts words, what is lower-cased.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
