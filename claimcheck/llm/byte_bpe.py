@@ -3,7 +3,7 @@
 A text reaches the encoder in chunks. Tokens leave it as soon as nothing that may still
 follow can change them:
 
-* the pre-tokenizer puts a boundary before every space that a non-space follows, so all
+* the pre-tokenizer puts a boundary before every space that no white space follows, so all
   complete *units* (a word with the space before it) are final, whatever comes next;
 * inside one pre-token longer than a window, a token is final once the window reaches
   `lookahead` bytes beyond it. `sufficient_lookahead` derives that number from the merges.
@@ -41,6 +41,8 @@ NO_RANK = np.int32(2**31 - 1)
 
 # The white space of the pre-tokenizer's \s.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+CUT = re.compile(f" (?=[^{SPACES}])")
+SPACED = re.compile(f" (?:[{SPACES}]|\\Z)")
 
 
 def _char_class(kind: str) -> str:
@@ -219,12 +221,12 @@ class Encoder:
         at, end = 0, len(text)
         while end - at > CHUNK_CHARS:
             cut = text.rfind(" ", at + 1, at + CHUNK_CHARS)
-            while cut > at and text[cut + 1] == " ":
+            while cut > at and text[cut + 1] in SPACES:
                 cut = text.rfind(" ", at + 1, cut)
             if cut <= at:
                 cut = text.find(" ", at + CHUNK_CHARS)
-                while 0 <= cut < end - 1 and text[cut + 1] == " ":
-                    cut += 1
+                while 0 <= cut < end - 1 and text[cut + 1] in SPACES:
+                    cut = text.find(" ", cut + 1)
                 if cut < 0 or cut >= end - 1:
                     break
             yield self.units(text[at:cut])
@@ -233,11 +235,11 @@ class Encoder:
 
     @staticmethod
     def units(chunk: str) -> list[str]:
-        """The chunk cut before every space that a non-space follows."""
-        if "  " in chunk or chunk.endswith(" "):
-            parts = re.split(r" (?=[^ ])", chunk)
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        return chunk.replace(" ", "\0 ").split("\0") if "\0" not in chunk else re.split(r"(?= [^ ])", chunk)
+        """The chunk cut before every space that something else than white space follows."""
+        if "\0" not in chunk and not SPACED.search(chunk):
+            return chunk.replace(" ", "\0 ").split("\0")
+        parts = CUT.split(chunk)
+        return [parts[0], *[" " + p for p in parts[1:]]]
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of `text` as little-endian 32-bit blocks; special strings become their ids."""
@@ -246,35 +248,52 @@ class Encoder:
                 yield np.int32(self.special_ids[part]).tobytes()
             else:
                 for units in self.chunks(part):
-                    self.learn([units])
-                    yield from self._emit(units)
+                    yield from self._flush([self._known(units)])
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as one block; the new units of neighbouring texts are learnt together."""
-        group: list[list[str] | str] = []
+        group: list[tuple[list[str], list[bytes | None], list[int]]] = []
         chars = 0
         for text in texts:
-            plain = len(text) <= CHUNK_CHARS and not (self.special and self.special.search(text))
-            group.append(self.units(text) if plain else text)
-            chars += len(text) if plain else 0
-            if chars >= GROUP_CHARS or not plain:
+            if len(text) <= CHUNK_CHARS and not (self.special and self.special.search(text)):
+                group.append(self._known(self.units(text)))
+                chars += len(text)
+                if chars < GROUP_CHARS:
+                    continue
+                yield from self._flush(group)
+            else:
                 yield from self._flush(group)
-                group, chars = [], 0
+                yield b"".join(self.encode(text))
+            group, chars = [], 0
         yield from self._flush(group)
 
-    def _flush(self, group: list[list[str] | str]) -> Iterator[bytes]:
-        self.learn([g for g in group if not isinstance(g, str)])
-        for g in group:
-            yield b"".join(self.encode(g)) if isinstance(g, str) else b"".join(self._emit(g))
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Put every unit of the lists into the dictionary; one too long to keep maps to None."""
+    def _known(self, units: list[str]) -> tuple[list[str], list[bytes | None], list[int]]:
+        """(units, their ids as far as the dictionary has them, the places of those that it lacks)."""
+        ids, missing, at = list(map(self.cache.get, units)), [], -1
+        try:
+            while True:
+                at = ids.index(None, at + 1)
+                missing.append(at)
+        except ValueError:
+            return units, ids, missing
+
+    def _flush(self, group: list[tuple[list[str], list[bytes | None], list[int]]]) -> Iterator[bytes]:
+        """Ids of each list of units, after those that the dictionary lacks are learnt."""
+        self.learn({units[k] for units, _, missing in group for k in missing})
+        for units, ids, missing in group:
+            long = False
+            for k in missing:
+                ids[k] = self.cache[units[k]]
+                long = long or ids[k] is None
+            yield b"".join(self._streamed(units, ids)) if long else b"".join(ids)
+
+    def learn(self, unseen: set[str]) -> None:
+        """Put every unit into the dictionary; one too long to keep maps to None."""
         if len(self.cache) > self.cache_units or self.long_chars > CHUNK_CHARS:
             self.older, self.cache, self.long_chars = self.cache, {"": b""}, 0
-        unseen = set().union(*lists).difference(self.cache)
         kept = [(u, self.older[u]) for u in unseen if u in self.older]
         self.cache.update(kept)
-        missing = list(unseen.difference([u for u, _ in kept]))
+        missing = list(unseen.difference(self.cache))
         if not missing:
             return
         for unit in missing:
@@ -288,11 +307,7 @@ class Encoder:
         for unit, parts in zip(units, split):
             self.cache[unit] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
 
-    def _emit(self, units: list[str]) -> Iterator[bytes]:
-        ids = [self.cache[u] for u in units]
-        if None not in ids:
-            yield b"".join(ids)
-            return
+    def _streamed(self, units: list[str], ids: list[bytes | None]) -> Iterator[bytes]:
         for unit, known in zip(units, ids):
             if known is None:
                 for match in self.pattern.finditer(unit):

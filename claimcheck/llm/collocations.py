@@ -36,6 +36,7 @@ UNKNOWN = "und"
 UNIT_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 18
 HELD_KEYS = 1_000_000
+HELD_PHRASES = 200_000
 COMPARED = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 # Size of the bitmaps: 2 to this many bits, whatever the input.
@@ -262,29 +263,45 @@ PHRASES = "lang string, words int, phrase string, n long, doc_id long"
 
 
 def phrase_texts(docs: DataFrame, chosen: list[np.ndarray], mask: int, filter_bits: int) -> DataFrame:
-    """(lang, words, phrase, n, doc_id) per text of a chosen run and unit; words = 0 counts the words of a language."""
+    """(lang, words, phrase, n, doc_id) per text of a chosen run and task; words = 0 counts the words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], dict[bytes, list[int]]] = {}
+        size = 0
         for u, langs, docs_ in units(batches):
-            names, ids = pa.array(langs, pa.string()), np.array([NO_ID if d is None else d for d in docs_], np.int64)
+            ids = np.array([NO_ID if d is None else d for d in docs_], np.int64)
             per_text = np.diff(np.append(u.first_words, len(u.starts)))
-            yield _phrase_batch(names, 0, [""] * len(langs), per_text, pa.nulls(len(langs), pa.int64()))
+            for lang, words in zip(langs, per_text.tolist()):
+                held.setdefault((lang, 0), {}).setdefault(b"", [0, NO_ID])[0] += words
             raw = u.text.tobytes()
             for n, bits in enumerate(chosen, 1):
+                of_lang = {lang: held.setdefault((lang, n), {}) for lang in set(langs)}
                 for pointers, counts, least in verified_runs(u, n, ids, bits, mask, filter_bits):
                     ends = u.starts[pointers + n - 1] + u.lengths[pointers + n - 1]
-                    texts = [raw[i:j].decode() for i, j in zip(u.starts[pointers].tolist(), ends.tolist())]
-                    owners = pa.array(least, mask=least == NO_ID)
-                    yield _phrase_batch(names.take(pa.array(u.documents(pointers))), n, texts, counts, owners)
+                    found = zip(*(x.tolist() for x in (u.documents(pointers), u.starts[pointers], ends, counts, least)))
+                    for doc, start, end, count, owner in found:
+                        phrases, text = of_lang[langs[doc]], raw[start:end]
+                        if (entry := phrases.get(text)) is None:
+                            phrases[text] = [count, owner]
+                            size += 1
+                        else:
+                            entry[0] += count
+                            entry[1] = min(entry[1], owner)
+            if size >= HELD_PHRASES:
+                yield from _phrase_batches(held)
+                held, size = {}, 0
+        yield from _phrase_batches(held)
 
     return docs.mapInArrow(run, PHRASES)
 
 
-def _phrase_batch(langs: pa.Array, words: int, texts: list[str], counts: np.ndarray, docs: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [langs, pa.array(np.full(len(texts), words, np.int32)), pa.array(texts, pa.string()), pa.array(counts.astype(np.int64)), docs],
-        ["lang", "words", "phrase", "n", "doc_id"],
-    )
+def _phrase_batches(held: dict[tuple[str, int], dict[bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
+    for (lang, words), phrases in held.items():
+        texts = [t.decode() for t in phrases]
+        counts, owners = (np.array([e[k] for e in phrases.values()], np.int64) for k in (0, 1))
+        columns = [pa.array([lang] * len(texts), pa.string()), pa.array(np.full(len(texts), words, np.int32)), pa.array(texts, pa.string())]
+        columns += [pa.array(counts), pa.array(owners, mask=owners == NO_ID)]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n", "doc_id"])
 
 
 def frequent_phrases(
@@ -331,7 +348,8 @@ def collocations(
     """
     found = written(frequent_phrases(docs, max_words, min_count, key_bits, filter_bits), "phrases")
     phrases = found.where("words > 0").select("lang", "words", "phrase", F.col("n").alias("a"), "doc_id")
-    totals = found.where("words = 0").select("lang", "n")
+    # Written, so that the join knows its size.
+    totals = written(found.where("words = 0").select("lang", "n"), "phrase-totals")
     candidates = phrases.where("words > 1").withColumn("w", F.split("phrase", " "))
 
     part = lambda start, size: F.array_join(F.slice("w", start, size), " ")
