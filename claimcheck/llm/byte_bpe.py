@@ -33,7 +33,7 @@ CHUNK_CHARS = 1 << 18
 GROUP_CHARS = 1 << 20
 UNIT_CHARS = 200
 WINDOW_BYTES = 4096
-CACHE_UNITS = 300_000
+CACHE_UNITS = 450_000
 SLICE_BYTES = 4 << 20
 DECODE_ROWS = 256
 DECODE_IDS = 1 << 16
@@ -41,6 +41,8 @@ NO_RANK = np.int32(2**31 - 1)
 
 # The white space of the pre-tokenizer's \s.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+# Marks that end a word: a run of them is one pre-token.
+MARKS = ".,;:!?"
 CUT = re.compile(f" (?=[^{SPACES}])")
 SPACED = re.compile(f" (?:[{SPACES}]|\\Z)")
 
@@ -269,43 +271,43 @@ class Encoder:
 
     def _known(self, units: list[str]) -> tuple[list[str], list[bytes | None], list[int]]:
         """(units, their ids as far as the dictionary has them, the places of those that it lacks)."""
-        ids, missing, at = list(map(self.cache.get, units)), [], -1
-        try:
-            while True:
-                at = ids.index(None, at + 1)
-                missing.append(at)
-        except ValueError:
-            return units, ids, missing
+        ids = list(map(self.cache.get, units))
+        return units, ids, [k for k, known in enumerate(ids) if known is None]
 
     def _flush(self, group: list[tuple[list[str], list[bytes | None], list[int]]]) -> Iterator[bytes]:
         """Ids of each list of units, after those that the dictionary lacks are learnt."""
         self.learn({units[k] for units, _, missing in group for k in missing})
         for units, ids, missing in group:
-            long = False
             for k in missing:
                 ids[k] = self.cache[units[k]]
-                long = long or ids[k] is None
+            long = self.long_chars and any(len(units[k]) > UNIT_CHARS for k in missing)
             yield b"".join(self._streamed(units, ids)) if long else b"".join(ids)
 
     def learn(self, unseen: set[str]) -> None:
         """Put every unit into the dictionary; one too long to keep maps to None."""
         if len(self.cache) > self.cache_units or self.long_chars > CHUNK_CHARS:
             self.older, self.cache, self.long_chars = self.cache, {"": b""}, 0
-        kept = [(u, self.older[u]) for u in unseen if u in self.older]
-        self.cache.update(kept)
-        missing = list(unseen.difference(self.cache))
-        if not missing:
-            return
-        for unit in missing:
-            if len(unit) > UNIT_CHARS:
-                self.cache[unit] = None
+        cache, older, split, words = self.cache, self.older, {}, set()
+        for unit in unseen:
+            if (known := older.get(unit)) is not None:
+                cache[unit] = known
+            elif len(unit) > UNIT_CHARS:
+                cache[unit] = None
                 self.long_chars += len(unit)
-        units = [u for u in missing if len(u) <= UNIT_CHARS]
-        split = [[u] if u[0] == " " and u[1:].isalpha() else self.pattern.findall(u) for u in units]
-        words = list({w for parts in split for w in parts})
-        ids = dict(zip(words, self.table.merge_words([w.encode() for w in words]))) if words else {}
-        for unit, parts in zip(units, split):
-            self.cache[unit] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+            else:
+                stem = unit[1:].rstrip(MARKS) if unit[0] == " " else ""
+                if not stem.isalpha():
+                    split[unit] = self.pattern.findall(unit)
+                elif len(stem) + 1 < len(unit):
+                    # Letters after a space, then marks: two pre-tokens.
+                    split[unit] = [unit[: len(stem) + 1], unit[len(stem) + 1 :]]
+                else:
+                    words.add(unit)
+        new = [w for w in words.union(*split.values()) if w not in cache]
+        if new:
+            cache.update(zip(new, self.table.merge_words([w.encode() for w in new])))
+        for unit, parts in split.items():
+            cache[unit] = b"".join([cache[w] for w in parts])
 
     def _streamed(self, units: list[str], ids: list[bytes | None]) -> Iterator[bytes]:
         for unit, known in zip(units, ids):

@@ -1,5 +1,8 @@
 """Tokens: the streaming encoder, packing and the digest cache against the tokenizer libraries."""
 
+import hashlib
+import itertools
+import random
 import zlib
 
 import numpy as np
@@ -11,12 +14,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from claimcheck.llm import byte_bpe, packing, token_counts
-from claimcheck.llm.queries import BYTE_BPE, PIECE_BPE, digest_pieces
+from claimcheck.llm.queries import BYTE_BPE, PIECE_BPE, QUERIES, digest_pieces
 from claimcheck.llm.shared import shared_dir
+from tests.conftest import TESTDATA
 
 library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-PARTS = ["a", "the", " ", "  ", "\n", "'s", "'", "é", "ß", "١", "½", "中", "🙂", "\t", " ", "\x1c", "\0", "<|endoftext|>", "12", "-", "***", " the", "‍"]
+PARTS = ["a", "the", " ", "  ", "\n", "'s", "'", "é", "ß", "١", "½", "中", "🙂", "\t", " ", "\x1c", "\0", "<|endoftext|>", "12", "-", "***", " the", "‍", "\xa0", " \xa0", "\u3000", "\x85", "word.", " word,", " no!?"]
 
 
 def expected(text):
@@ -34,6 +38,22 @@ def test_encoder_equals_the_library(text):
     assert ids(byte_bpe.encoder(BYTE_BPE).encode(text)) == expected(text)
 
 
+def test_every_short_run_of_white_space():
+    """All strings of up to four of the pre-tokenizer's white-space characters and a letter."""
+    texts = ["".join(t) for n in range(1, 5) for t in itertools.product(byte_bpe.SPACES + "a", repeat=n)]
+    library_ids = (e.ids for e in library.encode_batch(texts, add_special_tokens=False))
+    blocks = byte_bpe.Encoder(BYTE_BPE).encode_all(texts)
+    assert [t for t, block, want in zip(texts, blocks, library_ids) if ids([block]) != want] == []
+
+
+def test_white_space_at_the_ends_of_chunks(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 5)
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(" \xa0\n \u3000ab") for _ in range(rng.randrange(40)))
+        assert ids(byte_bpe.encoder(BYTE_BPE).encode(text)) == expected(text)
+
+
 @pytest.mark.parametrize("text", ["a" * 50_000, "ab" * 20_000, "abcdefgh" * 5_000, "=-" * 20_000, " " * 20_000 + "x", "x  " * 100_000, "\n" * 9_000])
 def test_long_pre_tokens_and_chunks(text):
     assert ids(byte_bpe.encoder(BYTE_BPE).encode(text)) == expected(text)
@@ -128,3 +148,42 @@ def test_stored_counts_are_used(spark):
         "content", f"'{token_counts.tokenizer_version(PIECE_BPE)}' AS version", "12345L AS n_tokens"
     ).write.parquet(cache)
     assert token_counts.count_tokens(docs, PIECE_BPE, cache).first()["n_tokens"] == 12345
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    folder = f"{TESTDATA}/sf0.001"
+    return folder, {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+
+
+def test_codec_query_equals_the_library_on_the_whole_table(spark, texts):
+    folder, by_id = texts
+    rows = QUERIES["op4_bpe_codec"](spark, folder).collect()
+    assert {r["doc_id"] for r in rows} == set(by_id) and len(rows) == len(by_id)
+    for r in rows:
+        want = expected(by_id[r["doc_id"]])
+        assert r["n_tokens"] == len(want)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_packing_query_equals_the_library_on_the_whole_table(spark, texts):
+    folder, by_id = texts
+    rows = QUERIES["op1_packing"](spark, folder).collect()
+    seen = dict.fromkeys(by_id, 0)
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        want = [*expected(by_id[r["doc_id"]]), 0]
+        piece = np.array(want[r["start"] : r["start"] + r["length"]], "<u4")
+        assert r["start"] == seen[r["doc_id"]] and r["doc_tokens"] == len(want) and r["ids_crc32"] == zlib.crc32(piece.tobytes())
+        seen[r["doc_id"]] += r["length"]
+    assert seen == {i: len(expected(t)) + 1 for i, t in by_id.items()}
+    at = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert [s * 1024 + o for s, o, _ in at] == [0, *np.cumsum([n for *_, n in at])[:-1]] and all(o + n <= 1024 for _, o, n in at)
+
+
+def test_count_query_equals_the_library_on_the_whole_table(spark, texts):
+    folder, by_id = texts
+    rows = QUERIES["op6_token_counts"](spark, folder).collect()
+    found = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows}
+    counts = {i: len(pieces.encode(t)) for i, t in by_id.items()}
+    assert found == {i: (len(t.encode()), counts[i], counts[i] > 4096) for i, t in by_id.items()}
