@@ -10,7 +10,8 @@ too little.
 Counts by fingerprint only choose. The last scan gathers the chosen runs by fingerprint, holds every
 occurrence against the text of the first one in its unit (a pointer into the unit), parts those that
 differ, and hands on text, count and the document of each; text against text, these are added up.
-Texts of runs that are not chosen are never made.
+Texts of runs that are not chosen are never made. A phrase leaves each task that holds it once, so few
+tasks, one per core while none has to take more than MERGED_PARTITIONS partitions, do this scan.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ UNKNOWN = "und"
 UNIT_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 18
 HELD_KEYS = 1_000_000
-HELD_PHRASES = 200_000
+HELD_PHRASES = 400_000
+# Partitions that one task of the last scan takes at most, to add up phrases before they are shuffled.
+MERGED_PARTITIONS = 16
 COMPARED = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 # Size of the bitmaps: 2 to this many bits, whatever the input.
@@ -292,7 +295,8 @@ def phrase_texts(docs: DataFrame, chosen: list[np.ndarray], mask: int, filter_bi
                 held, size = {}, 0
         yield from _phrase_batches(held)
 
-    return docs.mapInArrow(run, PHRASES)
+    parallel, partitions = docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()
+    return docs.coalesce(max(parallel, -(-partitions // MERGED_PARTITIONS))).mapInArrow(run, PHRASES)
 
 
 def _phrase_batches(held: dict[tuple[str, int], dict[bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
