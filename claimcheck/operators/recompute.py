@@ -25,6 +25,7 @@ from claimcheck.functions.guard import standard_literals, quote_ident, validate_
 from claimcheck.functions.numbers import value_text
 from claimcheck.functions.text import let, strip_text
 from claimcheck.operators.checked import RefusedQuery, checked_sql
+from claimcheck.operators.ladder import ladder_rows
 from claimcheck.operators.templates import blocks, run_block, with_template
 from claimcheck.session import DATA_VIEW, ClaimSession, materialize, shared_dir
 
@@ -481,11 +482,15 @@ def _text_rows(
 ) -> DataFrame | None:
     """Results of the remaining distinct texts: those of one template together, others one by one.
 
-    Texts pass through the driver a round at a time, and so do their results.
+    Ranges over templates with many texts are answered by `ladder`. Other texts pass through the driver a round at a time, and so do their results.
     """
     distinct = running.where(_runs_as_text(F.col("_route"), failed)).select(F.col(evidence).alias("_run_text")).distinct()
     counted = distinct.withColumn("count_text", row_count_query(F.col("_run_text")))
     texts = materialize(with_template(counted, "_run_text"), "distinct-texts")
+    climbed = ladder_rows(session, texts, run_query, RUN_ERRORS)
+    if climbed:
+        climbed = [reduce(DataFrame.unionByName, climbed)]
+        texts = materialize(texts.join(climbed[0].select("_run_text"), "_run_text", "left_anti"), "other-texts")
     path, done, spilled = shared_dir(session.spark, "texts"), [], False
 
     def alone(rows: Iterable[Row]) -> list[tuple]:
@@ -503,10 +508,12 @@ def _text_rows(
                 done, spilled = [], True
     last = session.spark.createDataFrame(done, TEXT_SCHEMA) if done else None
     if not spilled:
-        return last if last is None else _small(last, done)
-    if last is not None:
-        last.write.mode("append").parquet(path)
-    return session.spark.read.schema(TEXT_SCHEMA).parquet(path)
+        found = [] if last is None else [last if climbed else _small(last, done)]
+    else:
+        if last is not None:
+            last.write.mode("append").parquet(path)
+        found = [session.spark.read.schema(TEXT_SCHEMA).parquet(path)]
+    return reduce(DataFrame.unionByName, climbed + found) if climbed or found else None
 
 
 def pool_rounds(items: Iterator, work: Callable, pool: ThreadPoolExecutor) -> Iterator:

@@ -24,7 +24,7 @@ from claimcheck.session import ClaimSession
 BLOCK_TEXTS = 1_000
 BLOCK_BYTES = 8 << 20
 
-_HOLE, _SEPARATOR = "\x1e", "\x1f"
+HOLE, SEPARATOR = "\x1e", "\x1f"
 _SHAPE = r"""(?is)\A\s*SELECT\s+(.+?)\s+FROM\s+"?data"?\s+WHERE\s+(.+?)\s*;?\s*\z"""
 _TEXT = r"'(?:[^']|'')*+'"
 _LITERAL = rf"(?i)\b(?:DATE|TIMESTAMP)\s*{_TEXT}|{_TEXT}|(?<![A-Za-z0-9_.])[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_.])"
@@ -41,7 +41,7 @@ _PLAIN_NAME = r'"[A-Za-z_][A-Za-z0-9_]*"'
 
 def with_template(texts: DataFrame, text: str) -> DataFrame:
     """Add `template` (NULL when the text has another shape) and `literals`."""
-    parts = F.split(F.regexp_replace(text, _SHAPE, f"$1{_SEPARATOR}$2"), _SEPARATOR)
+    parts = F.split(F.regexp_replace(text, _SHAPE, f"$1{SEPARATOR}$2"), SEPARATOR)
 
     def kind(literal: Column) -> Column:
         return (
@@ -60,7 +60,7 @@ def with_template(texts: DataFrame, text: str) -> DataFrame:
     def template(select: Column, predicate: Column) -> Column:
         found = F.regexp_extract_all(predicate, F.lit(_LITERAL), F.lit(0))
         kinds = F.transform(found, kind)
-        holed = F.regexp_replace(predicate, _LITERAL, _HOLE)
+        holed = F.regexp_replace(predicate, _LITERAL, HOLE)
         bare = F.regexp_replace(select, _TEXT, " ")
         outside = F.regexp_replace(F.concat(bare, F.lit(" "), holed), _PLAIN_NAME, " ")
         shared = (
@@ -73,12 +73,12 @@ def with_template(texts: DataFrame, text: str) -> DataFrame:
         return F.when(
             shared,
             F.struct(
-                F.concat_ws(_SEPARATOR, select, holed, F.array_join(kinds, ",")).alias("template"),
+                F.concat_ws(SEPARATOR, select, holed, F.array_join(kinds, ",")).alias("template"),
                 F.transform(found, value).alias("literals"),
             ),
         )
 
-    clean = ~F.col(text).rlike(f"[{_HOLE}{_SEPARATOR}]")
+    clean = ~F.col(text).rlike(f"[{HOLE}{SEPARATOR}]")
     shape = F.when(clean, let(parts, lambda p: F.when(F.size(p) == 2, template(p[0], p[1]))))
     return texts.withColumn("_shape", shape).select(
         *texts.columns, F.col("_shape.template").alias("template"), F.col("_shape.literals").alias("literals")
@@ -111,16 +111,16 @@ def run_block(session: ClaimSession, block: list[Row], run_query, errors: tuple)
 
 
 def _statement(template: str, view: str) -> str:
-    select, predicate, kinds = template.split(_SEPARATOR)
+    select, predicate, kinds = template.split(SEPARATOR)
     holes = iter(range(kinds.count(",") + 1))
-    filled = "".join(p if i == 0 else f"_p{next(holes)}{p}" for i, p in enumerate(predicate.split(_HOLE)))
+    filled = "".join(p if i == 0 else f"_p{next(holes)}{p}" for i, p in enumerate(predicate.split(HOLE)))
     return standard_literals(
         f"SELECT /*+ BROADCAST(_literals) */ _id, {select}, count(*) FROM data JOIN {view} AS _literals ON ({filled}) GROUP BY _id"
     )
 
 
 def _literal_rows(session: ClaimSession, block: list[Row]) -> DataFrame:
-    kinds = block[0]["template"].split(_SEPARATOR)[2].split(",")
+    kinds = block[0]["template"].split(SEPARATOR)[2].split(",")
     rows = session.spark.createDataFrame(
         [(i, r["literals"]) for i, r in enumerate(block)], "_id int, _values array<string>"
     )
@@ -162,7 +162,7 @@ def _scan(session: ClaimSession, block: list[Row], run_query) -> tuple[list[tupl
             done.append((text, found[i]["v"] or "", None, found[i]["n"] if counted else None))
             continue
         if nothing is None:
-            select = row["template"].split(_SEPARATOR)[0]
+            select = row["template"].split(SEPARATOR)[0]
             nothing = run_query(session, f"SELECT {select} FROM data WHERE false")
         if nothing[1] is None:
             done.append((text, nothing[0], None, 0 if counted else None))
