@@ -18,10 +18,11 @@ SELECT o_orderkey,
        CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 103 = 0 THEN ''
             ELSE o_orderpriority END AS o_orderpriority,
        o_orderstatus,
-       o_totalprice
+       o_totalprice,
+       CASE WHEN o_orderkey % 107 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate
 FROM orders
 """
-DIRTY_COLUMNS = ["o_orderkey", "o_custkey", "custkey_text", "o_orderpriority", "o_orderstatus", "o_totalprice"]
+DIRTY_COLUMNS = ["o_orderkey", "o_custkey", "custkey_text", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate"]
 DIRTY_TEXT_COLUMNS = ["custkey_text", "o_orderpriority", "o_orderstatus"]
 LINEITEM = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
@@ -67,10 +68,10 @@ def null_counts(spark, sf_dir):
 
 @query(
     "profile_preview",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 5",
+    "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
 )
 def preview(spark, sf_dir):
-    return profile.preview(table(spark, sf_dir, "orders").drop("o_orderdate"), 5, ["o_orderkey"])
+    return profile.preview(table(spark, sf_dir, "orders"), 5, ["o_orderkey"])
 
 
 @query(
@@ -91,9 +92,12 @@ def _summary_sql() -> str:
         number = t in ("bigint", "int", "double")
         avg = f"round(avg({c}), 4)" if number else "NULL::DOUBLE"
         std = f"round(stddev_samp({c}), 4)" if number else "NULL::DOUBLE"
+        spread = ", ".join(
+            f"{f'quantile_disc({c}, 0.{q})::DOUBLE' if number else 'NULL::DOUBLE'} AS q{q}" for q in (25, 50, 75)
+        )
         parts.append(
             f"SELECT '{c}' AS column_name, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, "
-            f"{avg} AS avg, {std} AS std, count(DISTINCT {c})::BIGINT AS n_unique, count(*)::BIGINT AS count, "
+            f"{avg} AS avg, {std} AS std, {spread}, count(DISTINCT {c})::BIGINT AS n_unique, count(*)::BIGINT AS count, "
             f"(100.0 * (count(*) - count({c})) / count(*))::DOUBLE AS null_percentage FROM lineitem"
         )
     return _union(parts)

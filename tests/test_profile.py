@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from claimcheck.functions.guard import quote_ident
@@ -127,3 +129,22 @@ def test_quoted_identifiers_and_double_averages(session):
 def test_sessions_do_not_leak(spark, session):
     assert spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers") == "false"
     assert "data" not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_exact_quantiles(spark):
+    """Whatever the sketches say: repeated values, nulls, empty columns, few and many values in a range."""
+    rng = random.Random(1)
+    rows = [(rng.randrange(40) if rng.random() < 0.8 else None, rng.gauss(0, 1e6), float(k % 3 == 0), None, "x", k) for k in range(3001)]
+    frame = spark.createDataFrame(rows, "a int, b double, c double, d double, e string, f bigint").repartition(5)
+
+    def least(values, percent):
+        values = sorted(v for v in values if v is not None)
+        return float(values[max(1, -(-len(values) * percent // 100)) - 1]) if values else None
+
+    columns = dict(zip("abcdef", zip(*rows)))
+    wanted = {c: tuple(least(columns[c], p) for p in (25, 50, 75, 100, 0)) for c in "abcdf"}
+    percents = {"q25": 25, "q50": 50, "q75": 75, "top": 100, "least": 0}
+    for accuracy, most in ((10_000, 1_000_000), (10_000, 10), (50, 100), (4, 1)):
+        found = profile.exact_quantiles(frame, percents, accuracy, most).collect()
+        assert {r["column_name"]: tuple(r)[1:] for r in found} == wanted
+    assert profile.exact_quantiles(frame.limit(0)).where("q25 IS NULL").count() == 5
