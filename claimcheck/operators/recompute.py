@@ -1,7 +1,7 @@
 """Recompute the value behind each evidence text.
 
-Evidence of the common shape `SELECT agg(x) FROM data [WHERE col = v | col IN (...)]`
-is never run query by query. All claims filtering on one column share a single
+Evidence of the common shape `SELECT agg(x) FROM data [WHERE col = v | col IN (...)]`,
+`count(DISTINCT x)` included, is never run query by query. All claims filtering on one column share a single
 `GROUP BY col` over the dataset, whatever their number, and meet their group in one
 join. Other filtered aggregates share a scan with those that differ in literals only
 (`templates`). The rest is run text by text, each distinct text once.
@@ -59,6 +59,9 @@ FAMILY = (
     rf"(?is)\A\s*SELECT\s+{_AGGREGATE}(?:\s+AS\s+[A-Za-z_][A-Za-z0-9_]*)?"
     rf'\s+FROM\s+"?data"?(?:\s+{_FILTER})?\s*;?\s*\z'
 )
+# Distinct values of an argument are grouped by key, so that counts over lists of keys add up.
+DISTINCT = "DISTINCT "
+_DISTINCT = r"(?i)\Adistinct\s+"
 _NOT_SHARED = r"(?i)--|/\*|\b(?:select|distinct|all|from|over|filter|within|rand|randn|uuid)\b"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -132,16 +135,19 @@ def _canonical_values(column: Column, written: Column, schema: T.StructType) ->
 
 
 def _route(parts: Column, values: Column) -> Column:
+    bare = F.regexp_replace(parts.argument, _DISTINCT, "")
+    distinct = bare != parts.argument
     shared = (
-        ~parts.argument.rlike(_NOT_SHARED)
-        & ((parts.argument != "*") | (parts.aggregate == "count"))
+        ~bare.rlike(_NOT_SHARED)
+        & ((bare != "*") | (parts.aggregate == "count") & ~distinct)
+        & (~distinct | (parts.aggregate == "count"))
         & ~F.exists(values, lambda v: v.isNull())
     )
     return F.when(
         shared,
         F.struct(
             F.lit("family").alias("route"),
-            F.concat(parts.aggregate, F.lit("("), parts.argument, F.lit(")")).alias("aggregate"),
+            F.concat(parts.aggregate, F.lit("("), F.when(distinct, DISTINCT).otherwise(""), bare, F.lit(")")).alias("aggregate"),
             parts.column.alias("column"),
             values.alias("values"),
             F.concat_ws(SEPARATOR, F.size(values).cast("string"), values).alias("key"),
@@ -337,28 +343,49 @@ def _family_rows(session: ClaimSession, running: DataFrame, family: Family) -> l
     claimed = running.where(F.col("_route.column") == family.column)
     view = f"family_{uuid.uuid4().hex}"
     _filtered(session, family, claimed).createOrReplaceTempView(view)
-    chunks = [list(c) for c in batched(family.types, BATCH_AGGREGATES)] or [[]]
+    plain = [a for a in family.types if not _is_distinct(a)]
+    chunks = [list(c) for c in batched(plain, BATCH_AGGREGATES)] or [[]]
     names = {aggregate: f"a{i}" for i, aggregate in enumerate(family.types)}
     parts = [p for chunk in chunks for p in _computed(session, family, view, chunk, names)]
+    values = {a: _distinct_values(session, family, view, a) for a in family.types if _is_distinct(a)}
     session.spark.catalog.dropTempView(view)
     partials = reduce(lambda left, right: left.join(right.drop("n_rows"), "fkey"), parts)
     kept = [a for a in family.types if a not in family.failed]
+    values = {a: found for a, found in values.items() if found is not None}
+    for a, found in values.items():
+        partials = partials.join(found.groupBy("fkey").agg(F.count("value").alias(names[a])), "fkey", "left")
     prefix = f"1{SEPARATOR}" if family.column else "0"
     rows = [_as_rows(family, partials, kept, names, F.concat(F.lit(prefix), "fkey"))]
     if family.n_values > 1:
         lists = claimed.where(F.size("_route.values") > 1).select("_route.key", "_route.values").distinct()
         merged = [F.sum("n_rows").alias("n_rows")]
-        merged += [c for a in kept for c in _merged(a, names[a])]
-        combined = (
-            lists.select("key", F.explode("values").alias("fkey"))
-            .join(partials, "fkey")
-            .groupBy("key")
-            .agg(*merged)
-        )
+        merged += [c for a in kept if a not in values for c in _merged(a, names[a])]
+        keyed = lists.select("key", F.explode("values").alias("fkey"))
+        combined = keyed.join(partials, "fkey").groupBy("key").agg(*merged)
+        for a, found in values.items():
+            # The union of the keys' values: one that several keys hold counts once.
+            union = keyed.join(found, "fkey").select("key", "value").distinct()
+            combined = combined.join(union.groupBy("key").agg(F.count("value").alias(names[a])), "key", "left")
         rows.append(_as_rows(family, combined, kept, names, F.col("key")))
     return rows
 
 
+def _is_distinct(aggregate: str) -> bool:
+    return aggregate.startswith(f"count({DISTINCT}")
+
+
+def _distinct_values(session: ClaimSession, family: Family, view: str, aggregate: str) -> DataFrame | None:
+    """(fkey, value): the distinct values of an aggregate's argument per key; nothing if the pass fails."""
+    argument = standard_literals(aggregate[len(f"count({DISTINCT}") : -1])
+    key = f"cast({quote_ident(family.column)} AS {_wide(_dtype(session, family.column))})" if family.column else "''"
+    by = f"{key}, {argument}" if family.column else argument
+    try:
+        return materialize(session.spark.sql(f"SELECT cast({key} AS string) AS fkey, {argument} AS value FROM {view} GROUP BY {by}"), "distinct-values")
+    except RUN_ERRORS:
+        family.failed.append(aggregate)
+        return None
+
+
 def _filtered(session: ClaimSession, family: Family, claimed: DataFrame) -> DataFrame:
     """The rows of the dataset that some claim of the family filters for."""
     if not family.column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from claimcheck.functions.evidence import implausible_reason
 from claimcheck.operators import planting, quality, recompute
-from claimcheck.operators.recompute import recomputed_values
+from claimcheck.operators.recompute import recomputed_values, run_query
 from claimcheck.plans.verify import judge_datasets, judge_findings, verdict_summary, with_run_logs, with_verdict
 from claimcheck.plans import verify
 from claimcheck.session import ClaimSession
@@ -356,3 +356,25 @@ def test_published_benchmark_on_data(spark, churn):
     gate = quality.base_gate(judge_findings(spark, planting.honest_findings(bases), churn))
     assert gate.count() == 0
     assert_published(judge_findings(spark, planting.generate_cases(bases), churn).cache())
+
+
+def test_distinct_counts_share_a_pass(spark, monkeypatch):
+    """count(DISTINCT x) per key, over lists of keys and over the whole table: as run alone, without a text of its own."""
+    data = spark.range(300).selectExpr("id % 7 AS k", "CASE WHEN id % 5 = 0 THEN NULL ELSE id % 11 END AS v", "concat('s', id % 3) AS s", "double(id % 4) AS x")
+    session = ClaimSession(spark)
+    session.register(data)
+    texts = [f"SELECT count(DISTINCT v) FROM data WHERE k = {i}" for i in range(9)]
+    texts += [f"select count( distinct  s ) from data where k in ({i}, {i + 2}, 99, {i})" for i in range(7)]
+    texts += [f"SELECT count(DISTINCT x + v) AS n FROM data WHERE s = 's{i}'" for i in range(4)]
+    texts += ["SELECT count(DISTINCT v) FROM data", "SELECT count(v) FROM data WHERE k = 3", "SELECT count(DISTINCT k) FROM data WHERE x IN (1, 2.0)"]
+    alone = ["SELECT sum(DISTINCT v) FROM data WHERE k = 3", "SELECT count(DISTINCT v, s) FROM data WHERE k = 3", "SELECT count(DISTINCT *) FROM data WHERE k = 3"]
+    alone += ["SELECT count(DISTINCT 1 / (v - v)) FROM data WHERE k = 3"]
+    ran = []
+    run_text = recompute._run_text
+    monkeypatch.setattr(recompute, "_run_text", lambda s, text, count: ran.append(text) or run_text(s, text, count))
+    frame = session.spark.createDataFrame([(t,) for t in texts + alone], "evidence string")
+    got = {r["evidence"]: (r["raw"], r["evidence_row_count"]) for r in recomputed_values(session, frame).collect()}
+    assert sorted(ran) == sorted(alone)
+    for text in texts:
+        where = text.lower().split(" from data")[1]
+        assert got[text] == (run_query(session, text)[0], int(run_query(session, "SELECT count(*) FROM data" + where)[0])), text
