@@ -322,3 +322,75 @@ def recompute_filters(spark, sf_dir):
     return recomputed_values(session, texts).select(
         "k", "kind", parse_number(F.col("raw")).alias("value"), "evidence_row_count"
     )
+
+
+# Distinct values of one customer's rows, of three customers' and of everything.
+DISTINCT_EVIDENCE = """
+SELECT k, kind, CASE kind
+    WHEN 0 THEN concat('SELECT count(DISTINCT o_orderpriority) FROM data WHERE o_custkey = ', k)
+    WHEN 1 THEN concat('SELECT count(DISTINCT o_orderpriority) FROM data WHERE o_custkey IN (', k, ', ', k + 1, ', ', k + 2, ')')
+    ELSE 'SELECT count(DISTINCT o_custkey) FROM data' END AS evidence
+FROM (SELECT DISTINCT o_custkey AS k FROM orders) c CROSS JOIN (VALUES (0), (1), (2)) u(kind)
+"""
+
+
+@query(
+    "recompute_distinct",
+    """
+WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders), near AS (
+  SELECT c.k, count(DISTINCT o_orderpriority) AS v, count(*) AS n FROM c JOIN orders o ON o.o_custkey BETWEEN c.k AND c.k + 2 GROUP BY c.k
+), own AS (
+  SELECT o_custkey AS k, count(DISTINCT o_orderpriority) AS v, count(*) AS n FROM orders GROUP BY 1
+), whole AS (SELECT count(DISTINCT o_custkey) AS v, count(*) AS n FROM orders)
+SELECT own.k, kind, CASE kind WHEN 0 THEN own.v WHEN 1 THEN near.v ELSE whole.v END::VARCHAR AS raw,
+  CASE kind WHEN 0 THEN own.n WHEN 1 THEN near.n ELSE whole.n END::BIGINT AS evidence_row_count
+FROM own JOIN near USING (k) CROSS JOIN whole CROSS JOIN (VALUES (0), (1), (2)) u(kind)
+""",
+)
+def recompute_distinct(spark, sf_dir):
+    """Distinct counts per key and over lists of keys, in the grouped pass of their filter column."""
+    session = ClaimSession(spark)
+    session.register(table(spark, sf_dir, "orders"))
+    texts = session.adopt(derived(spark, sf_dir, DISTINCT_EVIDENCE, "orders"))
+    return recomputed_values(session, texts).select("k", "kind", "raw", "evidence_row_count")
+
+
+# The first group by count or by an extreme, of one customer's rows and of two customers'; an aggregate of it; no rows.
+TOP_EVIDENCE = """
+SELECT k, kind, CASE kind
+    WHEN 0 THEN concat('SELECT o_orderpriority FROM data WHERE o_custkey = ', k, ' GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1')
+    WHEN 1 THEN concat('SELECT "o_orderstatus" AS s FROM data WHERE o_custkey IN (', k, ', ', k + 1, ') GROUP BY "o_orderstatus" ORDER BY max(o_orderkey) LIMIT 1;')
+    WHEN 2 THEN concat('SELECT min(o_orderkey) FROM data WHERE o_custkey = ', k, ' GROUP BY o_orderpriority ORDER BY count(*), o_orderpriority DESC LIMIT 1')
+    ELSE concat('SELECT o_orderpriority FROM data WHERE o_custkey = -', k, ' GROUP BY o_orderpriority ORDER BY count(*) DESC LIMIT 1') END AS evidence
+FROM (SELECT DISTINCT o_custkey AS k FROM orders) c CROSS JOIN (VALUES (0), (1), (2), (3)) u(kind)
+"""
+
+
+@query(
+    "recompute_tops",
+    """
+WITH p AS (
+  SELECT o_custkey AS k, o_orderpriority AS g, count(*) AS n, min(o_orderkey) AS low FROM orders GROUP BY 1, 2
+), most AS (
+  SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, g) = 1
+), least AS (
+  SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY n, g DESC) = 1
+), pairs AS (
+  SELECT c.k, o_orderstatus AS g, count(*) AS n, max(o_orderkey) AS high
+  FROM (SELECT DISTINCT o_custkey AS k FROM orders) c JOIN orders o ON o.o_custkey IN (c.k, c.k + 1) GROUP BY 1, 2
+), two AS (
+  SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY k ORDER BY high) = 1
+)
+SELECT m.k, kind, CASE kind WHEN 0 THEN m.g WHEN 1 THEN t.g WHEN 2 THEN l.low::VARCHAR END AS raw, kind = 3 AS failed,
+  CASE kind WHEN 0 THEN m.n WHEN 1 THEN t.n WHEN 2 THEN l.n END::BIGINT AS evidence_row_count
+FROM most m JOIN least l USING (k) JOIN two t USING (k) CROSS JOIN (VALUES (0), (1), (2), (3)) u(kind)
+""",
+)
+def recompute_tops(spark, sf_dir):
+    """Evidence with GROUP BY, ORDER BY and LIMIT 1: one grouped pass a shape, a register of the best group per text."""
+    session = ClaimSession(spark)
+    session.register(table(spark, sf_dir, "orders"))
+    texts = session.adopt(derived(spark, sf_dir, TOP_EVIDENCE, "orders"))
+    return recomputed_values(session, texts).select(
+        "k", "kind", "raw", F.col("error").isNotNull().alias("failed"), "evidence_row_count"
+    )

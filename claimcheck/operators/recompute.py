@@ -46,23 +46,23 @@ HOT_SHARE = 1_000
 # Results made on the driver are broadcast up to this counted size.
 BROADCAST_BYTES = 8 << 20
 
-_ARGUMENT = r"""(?:[^()'",;`]++|'[^'()\\]*'|"[^"()]*"|\((?:[^()'";`]++|'[^'()\\]*')*+\))+"""
-_AGGREGATE = rf"(count|sum|avg|min|max)\s*\(\s*(\*|{_ARGUMENT})\s*\)"
+ARGUMENT = r"""(?:[^()'",;`]++|'[^'()\\]*'|"[^"()]*"|\((?:[^()'";`]++|'[^'()\\]*')*+\))+"""
+_AGGREGATE = rf"(count|sum|avg|min|max)\s*\(\s*(\*|{ARGUMENT})\s*\)"
 _TEXT = r"'(?:[^'\\]++|'')*+'"
 _NUMBER = r"-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
-_VALUE = rf"(?:{_TEXT}|{_NUMBER})"
-_FILTER = (
+VALUE = rf"(?:{_TEXT}|{_NUMBER})"
+FILTER = (
     r'WHERE\s+(?:"([^"]+)"|([A-Za-z_][A-Za-z0-9_]*))\s*'
-    rf"(?:=\s*({_VALUE})|IN\s*\(\s*({_VALUE}(?:\s*,\s*{_VALUE})*)\s*\))"
+    rf"(?:=\s*({VALUE})|IN\s*\(\s*({VALUE}(?:\s*,\s*{VALUE})*)\s*\))"
 )
 FAMILY = (
     rf"(?is)\A\s*SELECT\s+{_AGGREGATE}(?:\s+AS\s+[A-Za-z_][A-Za-z0-9_]*)?"
-    rf'\s+FROM\s+"?data"?(?:\s+{_FILTER})?\s*;?\s*\z'
+    rf'\s+FROM\s+"?data"?(?:\s+{FILTER})?\s*;?\s*\z'
 )
 # Distinct values of an argument are grouped by key, so that counts over lists of keys add up.
 DISTINCT = "DISTINCT "
 _DISTINCT = r"(?i)\Adistinct\s+"
-_NOT_SHARED = r"(?i)--|/\*|\b(?:select|distinct|all|from|over|filter|within|rand|randn|uuid)\b"
+NOT_SHARED = r"(?i)--|/\*|\b(?:select|distinct|all|from|over|filter|within|rand|randn|uuid)\b"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -86,10 +86,10 @@ def evidence_route(evidence: Column, schema: T.StructType) -> Column:
             F.lower(parts[0]).alias("aggregate"),
             strip_text(parts[1]).alias("argument"),
             F.lower(F.concat(parts[2], parts[3])).alias("column"),
-            F.regexp_extract_all(F.concat(parts[4], parts[5]), F.lit(_VALUE), F.lit(0)).alias("written"),
+            F.regexp_extract_all(F.concat(parts[4], parts[5]), F.lit(VALUE), F.lit(0)).alias("written"),
         )
         family = let(
-            named, lambda p: let(_canonical_values(p.column, p.written, schema), lambda v: _route(p, v))
+            named, lambda p: let(canonical_values(p.column, p.written, schema), lambda v: _route(p, v))
         )
         return F.when(F.size(parts) == 6, family).otherwise(_text_route())
 
@@ -107,7 +107,7 @@ def _text_route() -> Column:
     )
 
 
-def _canonical_values(column: Column, written: Column, schema: T.StructType) -> Column:
+def canonical_values(column: Column, written: Column, schema: T.StructType) -> Column:
     """Filter values as the text of the column's type; an unsuitable one becomes NULL."""
 
     def text(v: Column) -> Column:
@@ -138,7 +138,7 @@ def _route(parts: Column, values: Column) -> Column:
     bare = F.regexp_replace(parts.argument, _DISTINCT, "")
     distinct = bare != parts.argument
     shared = (
-        ~bare.rlike(_NOT_SHARED)
+        ~bare.rlike(NOT_SHARED)
         & ((bare != "*") | (parts.aggregate == "count") & ~distinct)
         & (~distinct | (parts.aggregate == "count"))
         & ~F.exists(values, lambda v: v.isNull())
@@ -358,10 +358,10 @@ def _family_rows(session: ClaimSession, running: DataFrame, family: Family) -> l
     rows = [_as_rows(family, partials, kept, names, F.concat(F.lit(prefix), "fkey"))]
     if family.n_values > 1:
         lists = claimed.where(F.size("_route.values") > 1).select("_route.key", "_route.values").distinct()
-        merged = [F.sum("n_rows").alias("n_rows")]
-        merged += [c for a in kept if a not in values for c in _merged(a, names[a])]
+        totals = [F.sum("n_rows").alias("n_rows")]
+        totals += [c for a in kept if a not in values for c in merged(a, names[a])]
         keyed = lists.select("key", F.explode("values").alias("fkey"))
-        combined = keyed.join(partials, "fkey").groupBy("key").agg(*merged)
+        combined = keyed.join(partials, "fkey").groupBy("key").agg(*totals)
         for a, found in values.items():
             # The union of the keys' values: one that several keys hold counts once.
             union = keyed.join(found, "fkey").select("key", "value").distinct()
@@ -377,7 +377,7 @@ def _is_distinct(aggregate: str) -> bool:
 def _distinct_values(session: ClaimSession, family: Family, view: str, aggregate: str) -> DataFrame | None:
     """(fkey, value): the distinct values of an aggregate's argument per key; nothing if the pass fails."""
     argument = standard_literals(aggregate[len(f"count({DISTINCT}") : -1])
-    key = f"cast({quote_ident(family.column)} AS {_wide(_dtype(session, family.column))})" if family.column else "''"
+    key = f"cast({quote_ident(family.column)} AS {wide(dtype_of(session, family.column))})" if family.column else "''"
     by = f"{key}, {argument}" if family.column else argument
     try:
         return materialize(session.spark.sql(f"SELECT cast({key} AS string) AS fkey, {argument} AS value FROM {view} GROUP BY {by}"), "distinct-values")
@@ -391,18 +391,18 @@ def _filtered(session: ClaimSession, family: Family, claimed: DataFrame) -> Data
     if not family.column:
         return session.data
     values = claimed.select(F.explode("_route.values").alias("_value")).distinct()
-    wide = _wide(_dtype(session, family.column))
-    wanted = materialize(values.select(F.col("_value").cast(wide).alias("_value")), "values")
+    kind = wide(dtype_of(session, family.column))
+    wanted = materialize(values.select(F.col("_value").cast(kind).alias("_value")), "values")
     # Spark knows the size of the written values: it broadcasts few and shuffles many.
-    column = F.col(quote_ident(family.column)).cast(wide)
+    column = F.col(quote_ident(family.column)).cast(kind)
     return session.data.join(wanted, column == wanted["_value"], "left_semi")
 
 
-def _wide(dtype: T.DataType) -> str:
+def wide(dtype: T.DataType) -> str:
     return "string" if isinstance(dtype, T.StringType) else "bigint" if isinstance(dtype, _INTEGRAL) else "double"
 
 
-def _dtype(session: ClaimSession, column: str) -> T.DataType:
+def dtype_of(session: ClaimSession, column: str) -> T.DataType:
     return next(f.dataType for f in session.data.schema.fields if f.name.lower() == column)
 
 
@@ -412,9 +412,9 @@ def _computed(
     """Run one shared pass; when it fails, run its aggregates one by one to find the culprit."""
     items = ["count(*) AS n_rows"]
     for aggregate in aggregates:
-        items += _partials(aggregate, names[aggregate], family.types[aggregate])
+        items += partials(aggregate, names[aggregate], family.types[aggregate])
     if family.column:
-        key = f"cast({quote_ident(family.column)} AS {_wide(_dtype(session, family.column))})"
+        key = f"cast({quote_ident(family.column)} AS {wide(dtype_of(session, family.column))})"
         sql = f"SELECT cast({key} AS string) AS fkey, {', '.join(items)} FROM {view} GROUP BY {key}"
     else:
         sql = f"SELECT '' AS fkey, {', '.join(items)} FROM {view}"
@@ -433,7 +433,7 @@ def _kind(aggregate: str) -> str:
     return aggregate.split("(", 1)[0]
 
 
-def _partials(aggregate: str, name: str, dtype: T.DataType) -> list[str]:
+def partials(aggregate: str, name: str, dtype: T.DataType) -> list[str]:
     """Mergeable parts of one aggregate as SQL select items."""
     argument = standard_literals(aggregate.split("(", 1)[1][:-1])
     if _kind(aggregate) == "avg" and isinstance(dtype, T.DoubleType):
@@ -444,7 +444,7 @@ def _partials(aggregate: str, name: str, dtype: T.DataType) -> list[str]:
     return [f"{_kind(aggregate)}({argument}) AS {name}"]
 
 
-def _merged(aggregate: str, name: str) -> list[Column]:
+def merged(aggregate: str, name: str) -> list[Column]:
     if _kind(aggregate) == "avg":
         return [F.try_sum(f"{name}_sum").alias(f"{name}_sum"), F.sum(f"{name}_n").alias(f"{name}_n")]
     merge = {"count": F.sum, "sum": F.try_sum, "min": F.min, "max": F.max}[_kind(aggregate)]
@@ -509,12 +509,15 @@ def _text_rows(
 ) -> DataFrame | None:
     """Results of the remaining distinct texts: those of one template together, others one by one.
 
-    Ranges over templates with many texts are answered by `ladder`. Other texts pass through the driver a round at a time, and so do their results.
+    Ranges over templates with many texts are answered by `ladder`, first groups by `tops`. Other texts pass through the driver a round at a time, and so do their results.
     """
     distinct = running.where(_runs_as_text(F.col("_route"), failed)).select(F.col(evidence).alias("_run_text")).distinct()
     counted = distinct.withColumn("count_text", row_count_query(F.col("_run_text")))
     texts = materialize(with_template(counted, "_run_text"), "distinct-texts")
-    climbed = ladder_rows(session, texts, run_query, RUN_ERRORS)
+    # That module builds on this one.
+    from claimcheck.operators.tops import top_rows
+
+    climbed = ladder_rows(session, texts, run_query, RUN_ERRORS) + top_rows(session, texts, RUN_ERRORS)
     if climbed:
         climbed = [reduce(DataFrame.unionByName, climbed)]
         texts = materialize(texts.join(climbed[0].select("_run_text"), "_run_text", "left_anti"), "other-texts")
