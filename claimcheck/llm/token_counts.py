@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -20,6 +21,8 @@ from claimcheck.llm.shared import shared_dir, written
 
 CACHE = "content binary, version string, n_tokens long"
 TOKEN_LIMIT = 4096
+# Missing digests are broadcast while their counted size is below this.
+DIGEST_BYTES, BROADCAST_BYTES = 64, 8 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -66,31 +69,61 @@ def encode_misses(texts: DataFrame, path: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
-    """The stored counts; a folder that does not exist yet is an empty cache."""
+    """The stored counts, of all runs; a folder that does not exist yet is an empty cache.
+
+    Two runs that append at once may both store a count.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], CACHE)
-    # Two runs that append at once may store a count twice.
-    return spark.read.schema(CACHE).parquet(cache).dropDuplicates(["content", "version"])
+    return spark.read.schema(CACHE).option("recursiveFileLookup", "true").parquet(cache)
+
+
+def _digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, content) per row of `docs`, written."""
+    text = normalised(F.col("text"))
+    return written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content")), "digests")
+
+
+def fill_cache(docs: DataFrame, path: str, cache: str, digests: DataFrame | None = None) -> None:
+    """Append the counts of the texts that `cache` lacks, each encoded once.
+
+    Digests are compared first: where all are known, no text is read again, and few missing ones are looked for
+    before texts are shuffled. A run writes to a folder of its own.
+    """
+    spark, version = docs.sparkSession, tokenizer_version(path)
+    digests = digests or _digests(docs)
+    known = read_cache(spark, cache).where(F.col("version") == version).select("content")
+    missing = written(digests.select("content").distinct().join(known, "content", "left_anti"), "missing-digests")
+    n_missing = missing.count()
+    if not n_missing:
+        return
+    texts = docs.select(normalised(F.col("text")).alias("text"), content_digest(F.col("text")).alias("content"))
+    few = n_missing * DIGEST_BYTES <= BROADCAST_BYTES
+    if few:
+        texts = texts.join(F.broadcast(missing), "content", "left_semi")
+    # Copies meet before the shuffle: a task sends one text per digest.
+    single = texts.groupBy("content").agg(F.first("text").alias("text"))
+    encode_misses(single if few else single.join(missing, "content", "left_semi"), path).write.option("compression", "zstd").parquet(
+        f"{cache.rstrip('/')}/run-{uuid.uuid4().hex}"
+    )
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) per row of `docs`; new counts are appended to `cache`.
 
     Null text is empty; repeated rows stay repeated; columns besides doc_id and text are not read.
-    Without `cache` the counts are kept in the shared folder for this call alone.
+    Without `cache` the counts are kept in the shared folder for this call alone. A count that the cache does not
+    hold after all (its files were removed meanwhile) is an error.
     """
     spark = docs.sparkSession
     cache = cache or shared_dir(spark, "token-counts")
-    version = tokenizer_version(path)
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("content", content_digest(F.col("text")))
-    known = read_cache(spark, cache).where(F.col("version") == version)
-    # Copies meet before the shuffle: a task sends one text per digest.
-    distinct = texts.groupBy("content").agg(F.first("text").alias("text"))
-    misses = distinct.join(known, "content", "left_anti")
-    encode_misses(misses, path).write.mode("append").option("compression", "zstd").parquet(cache)
-    keys = written(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "digests")
-    counts = read_cache(spark, cache).where(F.col("version") == version).select("content", "n_tokens")
-    return keys.join(counts, "content").select(
+    keys = _digests(docs)
+    fill_cache(docs, path, cache, keys)
+    stored = read_cache(spark, cache).where(F.col("version") == tokenizer_version(path)).select("content", "n_tokens")
+    # Of the cache only what these documents ask for is put together.
+    counts = stored.join(keys.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    lost = F.raise_error(F.lit(f"{cache} lacks the count of a document")).cast("long")
+    return keys.join(counts, "content", "left").withColumn("n_tokens", F.coalesce("n_tokens", lost)).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

@@ -130,17 +130,35 @@ def test_counts_equal_the_library(odd_docs):
 def test_cache_is_read_and_appended(spark, odd_docs, no_docs):
     cache = shared_dir(spark, "cache")
     first = token_counts.count_tokens(odd_docs, PIECE_BPE, cache).count()
-    stored = spark.read.parquet(cache)
+    stored = token_counts.read_cache(spark, cache)
     distinct = odd_docs.select(F.coalesce("text", F.lit(""))).distinct().count()
     assert first == odd_docs.count() and stored.count() == distinct
     more = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(99, "not seen before")], "doc_id long, text string"))
     token_counts.count_tokens(more, PIECE_BPE, cache).collect()
-    assert spark.read.parquet(cache).count() == distinct + 1
+    assert token_counts.read_cache(spark, cache).count() == distinct + 1
     token_counts.count_tokens(more, BYTE_BPE, cache).collect()
-    assert spark.read.parquet(cache).groupBy("version").count().count() == 2
+    assert token_counts.read_cache(spark, cache).groupBy("version").count().count() == 2
     assert token_counts.count_tokens(no_docs, PIECE_BPE, cache).count() == 0
 
 
+def test_a_count_that_is_missing_is_an_error(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(token_counts, "fill_cache", lambda *a: None)
+    cache = shared_dir(spark, "cache")
+    with pytest.raises(Exception, match="lacks the count"):
+        token_counts.count_tokens(odd_docs, PIECE_BPE, cache).collect()
+
+
+def test_known_texts_are_not_encoded_again(spark, odd_docs, monkeypatch):
+    """Nothing is encoded where all digests are known; few and many misses give the same; a count stored twice counts once."""
+    cache, other = shared_dir(spark, "cache"), shared_dir(spark, "cache")
+    wanted = sorted(map(tuple, token_counts.count_tokens(odd_docs, PIECE_BPE, cache).collect()), key=repr)
+    monkeypatch.setattr(token_counts, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, token_counts.count_tokens(odd_docs, PIECE_BPE, other).collect()), key=repr) == wanted
+    token_counts.read_cache(spark, other).write.parquet(f"{cache}/run-again")
+    monkeypatch.setattr(token_counts, "encode_misses", lambda *a: pytest.fail("encoded again"))
+    assert sorted(map(tuple, token_counts.count_tokens(odd_docs, PIECE_BPE, cache).collect()), key=repr) == wanted
+
+
 def test_stored_counts_are_used(spark):
     cache = shared_dir(spark, "cache")
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
