@@ -361,7 +361,7 @@ SELECT k, kind, CASE kind
     WHEN 0 THEN concat('SELECT o_orderpriority FROM data WHERE o_custkey = ', k, ' GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1')
     WHEN 1 THEN concat('SELECT "o_orderstatus" AS s FROM data WHERE o_custkey IN (', k, ', ', k + 1, ') GROUP BY "o_orderstatus" ORDER BY max(o_orderkey) LIMIT 1;')
     WHEN 2 THEN concat('SELECT min(o_orderkey) FROM data WHERE o_custkey = ', k, ' GROUP BY o_orderpriority ORDER BY count(*), o_orderpriority DESC LIMIT 1')
-    ELSE concat('SELECT o_orderpriority FROM data WHERE o_custkey = -', k, ' GROUP BY o_orderpriority ORDER BY count(*) DESC LIMIT 1') END AS evidence
+    ELSE concat('SELECT o_orderpriority FROM data WHERE o_custkey = -', k + 1, ' GROUP BY o_orderpriority ORDER BY count(*) DESC LIMIT 1') END AS evidence
 FROM (SELECT DISTINCT o_custkey AS k FROM orders) c CROSS JOIN (VALUES (0), (1), (2), (3)) u(kind)
 """
 
