@@ -273,13 +273,16 @@ def claim_numbers(spark, sf_dir):
     "document_numbers",
     r"""
 SELECT doc_id, len(ns)::BIGINT AS n_numbers, list_max(ns) AS largest, list_min(ns) AS smallest FROM (
-  SELECT doc_id, list_transform(regexp_extract_all(text, '([0-9][0-9,]*(?:\.[0-9]+)?)', 1),
-                                lambda d: replace(d, ',', '')::DOUBLE) AS ns FROM documents)
+  SELECT doc_id, flatten(list_transform(list_zip(
+      regexp_extract_all(text, '(?i)([0-9][0-9,]*(?:\.[0-9]+)?)\s*(%|per\s*cent\b)?', 1),
+      regexp_extract_all(text, '(?i)([0-9][0-9,]*(?:\.[0-9]+)?)\s*(%|per\s*cent\b)?', 2)),
+    lambda z: CASE WHEN z[2] <> '' THEN [replace(z[1], ',', '')::DOUBLE, replace(z[1], ',', '')::DOUBLE / 100.0::DOUBLE]
+      ELSE [replace(z[1], ',', '')::DOUBLE] END)) AS ns FROM documents)
 """,
 )
 def document_numbers(spark, sf_dir):
     """Numerals of whole documents; a percentage adds its hundredth to the list."""
-    ns = claims.claim_numbers(F.regexp_replace("text", r"(?iU)%|per\s*cent\b", " "))
+    ns = claims.claim_numbers(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", ns.alias("ns")).select(
         "doc_id",
         F.size("ns").cast("bigint").alias("n_numbers"),

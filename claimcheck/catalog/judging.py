@@ -145,13 +145,13 @@ def summary(spark, sf_dir):
 
 @query(
     "evidence_row_count",
-    f"SELECT finding_id, evidence_row_count FROM ({MIXED_VERDICTS}) WHERE kind NOT IN (3, 14)",
+    f"SELECT finding_id, evidence_row_count FROM ({MIXED_VERDICTS})",
 )
 def evidence_row_count(spark, sf_dir):
-    """Rows behind each SQL evidence that reads `data`, one that fails or is refused included."""
+    """Rows behind each evidence; one that is refused, reads no table or is Python has none."""
     session = ClaimSession(spark)
     session.register(table(spark, sf_dir, "orders"))
-    claims = session.adopt(mixed_claims(spark, sf_dir)).where(~F.col("kind").isin(3, 14))
+    claims = session.adopt(mixed_claims(spark, sf_dir))
     return recomputed_values(session, claims).select("finding_id", "evidence_row_count")
 
 

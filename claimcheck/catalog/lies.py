@@ -112,11 +112,12 @@ def honest_findings(spark, sf_dir):
 @query(
     "plant_cases",
     f"SELECT case_idx, base_label, attack_class, magnitude, direction, attack_class <> 'clean' AS tampered, "
-    f"replace(claim_template, '{{n}}', shown) AS claim, evidence, value_num FROM ({CASES_SQL})",
+    f"replace(claim_template, '{{n}}', shown) AS claim, evidence, 'number' AS value_kind, value_num, "
+    f"CASE WHEN as_int AND attack_class IN ('clean', 'claim_mismatch', 'population_switch') THEN round_even(value_num, 0)::BIGINT::VARCHAR "
+    f"ELSE value_num::VARCHAR END AS value_text FROM ({CASES_SQL})",
 )
 def plant_cases(spark, sf_dir):
-    cases = planting.generate_cases(bases(spark, sf_dir), zero_bases="skip")
-    return cases.drop("value_kind", "value_text")
+    return planting.generate_cases(bases(spark, sf_dir), zero_bases="skip")
 
 
 @query(
@@ -214,12 +215,13 @@ FROM (SELECT count(*) FILTER (WHERE tampered AND verdict <> 'verified')::BIGINT
 """
 
 
-@query("bench_overall", _overall_sql(CASE_VERDICTS))
+@query("bench_overall", f"SELECT *, (SELECT count(*) FROM ({BASES}) WHERE value = 0) AS n_rejected_bases FROM ({_overall_sql(CASE_VERDICTS)})")
 def bench_overall(spark, sf_dir):
     """Bases from the data, every lie planted, every case judged, outcomes counted."""
     cases = materialize(planting.generate_cases(bases(spark, sf_dir), zero_bases="skip"), "cases")
     judged = judge_findings(spark, cases, table(spark, sf_dir, "orders"))
-    return quality.overall(quality.outcome_counts(judged))
+    rejected = planting.plant_rejects(bases(spark, sf_dir)).count()
+    return quality.overall(quality.outcome_counts(judged)).withColumn("n_rejected_bases", F.lit(rejected).cast("long"))
 
 
 @query(

@@ -34,6 +34,7 @@ def _parsed(spark, sf_dir):
     return reports.parse_reports(derived(spark, sf_dir, REPORTS, "customer"))
 
 
+# The texts of problems.
 _PROBLEMS = {
     1: ["'dataset.name' must be a non-empty string", "'dataset.rows' must be an integer", "'dataset.cols' must be an integer"],
     2: ["'dataset' must be an object with name, rows, cols"],

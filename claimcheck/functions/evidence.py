@@ -13,6 +13,7 @@ READS_DATA = r'(?iU)\b(?:FROM|JOIN)\s+"?data"?\b'
 CLAUSE_END = r"(?iU)\b(?:GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT|OFFSET|WINDOW|QUALIFY)\b"
 SET_OPERATOR = r"(?iU)\b(?:UNION|INTERSECT|EXCEPT)\b"
 
+# A name and a text literal of a filter; the two predicates are put together from them.
 NAME = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_]*)'
 LITERAL = r"'(?:[^']++|'')*+'"
 EQUALS_PREDICATE = rf"(?U)\A\s*({NAME})\s*=\s*({LITERAL})\s*\z"

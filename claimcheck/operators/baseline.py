@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as
 from claimcheck.functions.guard import quote_ident
 from claimcheck.functions.numbers import coerce_number, fixed_text, is_close
 from claimcheck.functions.text import quoted
+from claimcheck.operators.deadline import limited
 from claimcheck.operators.recompute import first_line, pool_rounds
 from claimcheck.session import materialize
 
@@ -276,14 +277,17 @@ def _coerced_schema(data: DataFrame, recipe: Recipe) -> T.StructType:
 
 
 def verify_baselines(
-    baselines: DataFrame, data: DataFrame, recipe: Recipe, rel_tol: float = BASELINE_REL_TOL
+    baselines: DataFrame, data: DataFrame, recipe: Recipe, rel_tol: float = BASELINE_REL_TOL, seconds: float | None = None
 ) -> DataFrame:
-    """Retrain each distinct (features, random_state, max_iter) once and compare the reported metrics."""
+    """Retrain each distinct (features, random_state, max_iter) once and compare the reported metrics.
+
+    A training that takes longer than `seconds` is stopped and its metric unverified; None sets no limit.
+    """
     gated = baseline_gate(parse_spec(baselines), _coerced_schema(data, recipe))
     spec = ["features", "random_state", "max_iter"]
     specs = gated.where("refusal IS NULL").select(*spec).distinct().orderBy("random_state")
     by_seed = groupby(specs.toLocalIterator(), lambda row: row["random_state"])
-    rows = [result for seed, some in by_seed for result in _retrained(list(some), data, recipe, seed)]
+    rows = [result for seed, some in by_seed for result in _retrained(list(some), data, recipe, seed, seconds)]
     trained = baselines.sparkSession.createDataFrame(
         rows,
         "features array<string>, random_state bigint, max_iter bigint, "
@@ -315,7 +319,7 @@ def verify_baselines(
     )
 
 
-def _retrained(specs: list[Row], data: DataFrame, recipe: Recipe, seed: int) -> Iterator[tuple]:
+def _retrained(specs: list[Row], data: DataFrame, recipe: Recipe, seed: int, seconds: float | None) -> Iterator[tuple]:
     """Results of the specs of one seed: they share a split and train side by side."""
     columns = sorted({name for row in specs for name in row["features"]})
 
@@ -327,7 +331,8 @@ def _retrained(specs: list[Row], data: DataFrame, recipe: Recipe, seed: int) ->
 
     def trained(row: Row) -> tuple:
         try:
-            metrics = split_metrics(split, [f"f{columns.index(name)}" for name in row["features"]], row["max_iter"])
+            with limited(data.sparkSession, seconds):
+                metrics = split_metrics(split, [f"f{columns.index(name)}" for name in row["features"]], row["max_iter"])
             return result(row, metrics["accuracy"], metrics["roc_auc"], None)
         except Exception as error:  # noqa: BLE001  whatever stops the training, the metric stays unchecked
             return failed(row, error)

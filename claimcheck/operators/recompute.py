@@ -25,6 +25,7 @@ from claimcheck.functions.guard import standard_literals, quote_ident, validate_
 from claimcheck.functions.numbers import value_text
 from claimcheck.functions.text import let, strip_text
 from claimcheck.operators.checked import RefusedQuery, checked_sql
+from claimcheck.operators.deadline import TimedOut, limited
 from claimcheck.operators.ladder import ladder_rows
 from claimcheck.operators.templates import blocks, run_block, with_template
 from claimcheck.session import DATA_VIEW, ClaimSession, materialize, shared_dir
@@ -187,7 +188,9 @@ def _small(df: DataFrame, rows: list[tuple]) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-RUN_ERRORS = (PySparkException, Py4JJavaError, RefusedQuery)
+RUN_ERRORS = (PySparkException, Py4JJavaError, RefusedQuery, TimedOut)
+# Texts that share a scan may take this many times what one text may.
+BLOCK_PATIENCE = 4
 # Underscored names stay clear of whatever columns a table of claims brings along.
 ERROR_SCHEMA = "_column string, _aggregate string, _family_error string"
 FAMILY_SCHEMA = "_column string, _key string, _n_rows bigint, _raws map<string,string>"
@@ -484,7 +487,8 @@ def run_query(session: ClaimSession, query: str) -> tuple[str | None, str | None
             return None, f"{NOT_SINGLE}{width} columns"
         cell = result.toDF("v")
         text = value_text(F.col("v"), cell.schema["v"].dataType)
-        rows = cell.select(text.alias("v")).limit(2).collect()
+        with limited(session.spark, session.seconds):
+            rows = cell.select(text.alias("v")).limit(2).collect()
     except RUN_ERRORS as error:
         return None, f"query_sql failed to execute evidence: {first_line(error)}"
     if len(rows) != 1:
@@ -526,9 +530,20 @@ def _text_rows(
     def alone(rows: Iterable[Row]) -> list[tuple]:
         return list(pool.map(lambda r: _run_text(session, r["_run_text"], r["count_text"]), rows))
 
+    def in_time(block: list[Row]) -> tuple[list[tuple], list[Row]]:
+        """A block out of time is halved, like one that fails, until the slow texts run alone."""
+        patience = None if session.seconds is None else BLOCK_PATIENCE * session.seconds
+        with limited(session.spark, patience) as late:
+            done, rest = run_block(session, block, run_query, RUN_ERRORS)
+        if len(block) < 2 or not (late.is_set() and rest):
+            return done, rest
+        half = len(block) // 2
+        (a, b), (c, d) = in_time(block[:half]), in_time(block[half:])
+        return a + c, b + d
+
     with ThreadPoolExecutor(TEXT_THREADS) as pool:
         shared = blocks(texts.where("template IS NOT NULL").orderBy("template").toLocalIterator())
-        together = pool_rounds(shared, lambda block: run_block(session, block, run_query, RUN_ERRORS), pool)
+        together = pool_rounds(shared, in_time, pool)
         rounds = (results + alone(rest) for results, rest in together)
         singles = map(alone, batched(texts.where("template IS NULL").toLocalIterator(), TEXT_ROUND))
         for results in chain(rounds, singles):

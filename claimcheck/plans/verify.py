@@ -63,7 +63,7 @@ def recomputed_text(raw: Column) -> Column:
     ).otherwise(float_text(parse_number(raw)))
 
 
-# The rules in order of precedence; the last one holds when no other does.
+# The rules; `_rule` has their order of precedence.
 RULES = [
     ("unverified", "evidence_does_not_touch_data"),
     ("unverified", "not_recomputed"),
@@ -73,6 +73,7 @@ RULES = [
     ("unverified", "population_mismatch_suspected"),
     ("verified", "value_matches"),
     ("unverified", "claim_incomplete"),
+    ("unverified", "timed_out"),
 ]
 
 
@@ -114,6 +115,7 @@ def _rule(rel_tol: float, abs_tol: float) -> Column:
     return (
         F.when(F.col("implausible").isNotNull(), 1)
         .when(_incomplete(), 8)
+        .when(F.col("error").rlike(r"timed out after [0-9.e+-]+ s\z"), 9)
         .when(F.col("error").isNotNull(), 2)
         .when(is_numeric & number.isNull(), 3)
         .when(~F.coalesce(matches, F.lit(False)), 4)
@@ -153,7 +155,7 @@ def _detail(shown: Column, rel_tol: float, abs_tol: float) -> Column:
     )
     return (
         F.when(rule == 1, explained("implausible"))
-        .when(rule == 2, F.col("error"))
+        .when(rule.isin(2, 9), F.col("error"))
         .when(
             rule == 3,
             F.concat(
@@ -214,12 +216,15 @@ def judge_findings(
     run_logs: DataFrame | None = None,
     rel_tol: float = REL_TOL,
     abs_tol: float = ABS_TOL,
+    seconds: float | None = None,
 ) -> DataFrame:
     """One verdict per finding, recomputed from `dataset`.
 
+    A text that runs by itself longer than `seconds` is unverified, reason `timed_out`.
+
     The result belongs to a session of its own; `claimcheck.session.adopt` binds it to another.
     """
-    session = ClaimSession(spark)
+    session = ClaimSession(spark, seconds)
     session.register(dataset)
     findings = session.adopt(findings)
     plausible = findings.withColumn("implausible", implausible_reason(F.col("evidence"), dataset_path))

@@ -63,10 +63,12 @@ class ClaimSession:
 
     Views and settings stay inside the child, so several datasets can be checked
     side by side even though each of them is called `data`.
+    seconds: how long one evidence text may run by itself; None sets no limit.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, seconds: float | None = None):
         self.spark = spark.newSession()
+        self.seconds = seconds
         for key, value in SESSION_CONFS.items():
             self.spark.conf.set(key, value)
 
