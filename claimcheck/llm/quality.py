@@ -22,7 +22,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW_WORDS = 5
-MIN_GROUP = 200
+# How many documents of its parent a group's quantiles are blended with.
+PARENT_WEIGHT = 10
 SUB_BUCKETS = 16
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -130,9 +131,11 @@ def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
     return seen.groupBy(*keys, "name").agg(F.max("total").alias("n"), at(25).alias("q25"), at(50).alias("q50"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(sketch: DataFrame, weight: int = PARENT_WEIGHT) -> DataFrame:
     """(lang, source, and for each rate its highest accepted value).
 
+    A source's quantiles are blended with its language's, and these with the whole table's, as if PARENT_WEIGHT documents
+    of the parent belonged to the group: a small group leans on its parent, and no size changes the rule.
     q50 + 3 * (q50 - q25) + slack: junk moves the lower half of a group only when most of the group is junk.
     """
     sketch = written(sketch, "sketches")
@@ -146,16 +149,15 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         .join(named(quantiles(sketch), "a_"), ["name"])
     )
     slack = F.create_map(*[F.lit(x) for k, (_, _, _, s) in RATES.items() for x in (k, s)])
-    pick = lambda q: (
-        F.when(F.col("s_n") >= min_group, F.col("s_" + q)).when(F.col("l_n") >= min_group, F.col("l_" + q)).otherwise(F.col("a_" + q))
-    )
+    blend = lambda level, q, parent: f"(({level}_n * {level}_{q} + {weight} * {parent}) div ({level}_n + {weight}))"
+    pick = lambda q: F.expr(blend("s", q, blend("l", q, "a_" + q)))
     most = pick("q50") + SPREAD * (pick("q50") - pick("q25")) + F.element_at(slack, F.col("name"))
     return levels.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("name") == k, most)).alias("most_" + k) for k in RATES]
     )
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame, weight: int = PARENT_WEIGHT) -> DataFrame:
     """(doc_id, lang, source, digest, features, base_failed, the three rates, their thresholds, kept) per row of `docs`.
 
     Null text has no words and fails the base rules; null language or source is the group ''.
@@ -163,7 +165,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """
     rows = written(with_features(docs), "quality-features")
     # Written, so that the join knows its size: Spark broadcasts it only if it is small.
-    limits = written(thresholds(sketches(rows), min_group), "quality-limits")
+    limits = written(thresholds(sketches(rows), weight), "quality-limits")
     judged = rows.join(limits, ["lang", "source"], "left").withColumns({k: rate(k) for k in RATES})
     inside = F.lit(True)
     for k in RATES:
@@ -173,13 +175,13 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def keep(docs: DataFrame, weight: int = PARENT_WEIGHT) -> DataFrame:
     """The rows of `docs` whose verdict is kept, with all their columns.
 
     A verdict names its row by doc_id, null or not, language, source and the digest of the
     text, which are all that it depends on. Rows that agree in these share their verdict.
     """
-    rejected = judge(docs, min_group).where("NOT kept").select("doc_id", "lang", "source", "digest").distinct()
+    rejected = judge(docs, weight).where("NOT kept").select("doc_id", "lang", "source", "digest").distinct()
     same = (
         docs["doc_id"].cast("long").eqNullSafe(rejected["doc_id"])
         & (text_digest(docs["text"]) == rejected["digest"])

@@ -86,8 +86,8 @@ WITH base AS (
   SELECT name, count(*) AS n, quantile_disc(low, 0.25) AS q25, quantile_disc(low, 0.5) AS q50 FROM buckets GROUP BY ALL
 ), picked AS (
   SELECT s.lang, s.source, s.name,
-    CASE WHEN s.n >= 200 THEN s.q25 WHEN l.n >= 200 THEN l.q25 ELSE o.q25 END AS q25,
-    CASE WHEN s.n >= 200 THEN s.q50 WHEN l.n >= 200 THEN l.q50 ELSE o.q50 END AS q50
+    (s.n * s.q25 + 10 * ((l.n * l.q25 + 10 * o.q25) // (l.n + 10))) // (s.n + 10) AS q25,
+    (s.n * s.q50 + 10 * ((l.n * l.q50 + 10 * o.q50) // (l.n + 10))) // (s.n + 10) AS q50
   FROM by_source s JOIN by_lang l USING (lang, name) JOIN overall o USING (name)
 ), limits AS (
   SELECT lang, source, name, q50 + 3 * (q50 - q25) + CASE name WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 30 ELSE 60 END AS most FROM picked
