@@ -10,7 +10,7 @@ REPORT = {
     "dataset": {"name": "subscribers", "rows": 7043, "cols": 21},
     "findings": [
         {"claim": "26.5% of them left", "evidence_sql_or_code": "SELECT avg(CASE WHEN Churn = 'Yes' THEN 1.0 ELSE 0 END) FROM data", "value": 0.2654},
-        {"claim": "1,869 of them left", "evidence_sql_or_code": "SELECT count(*) FROM data WHERE Churn = 'Yes'", "value": 1869},
+        {"claim": "1,869 of them churned", "evidence_sql_or_code": "SELECT count(*) FROM data WHERE Churn = 'Yes'", "value": 1869},
         {"claim": "The longest contract", "evidence_sql_or_code": "SELECT max(Contract) FROM data", "value": "Two year"},
     ],
     "data_quality_issues": ["blank \"charges\""],
@@ -150,7 +150,7 @@ def test_files_in_judged_documents_out(spark, churn, tmp_path):
     doc = json.loads(documents[0]["json"])
     assert doc["summary"] == {"verified": 3, "unverified": 0, "contradicted": 0}
     assert doc["findings"][1] == {
-        "claim": "1,869 of them left", "evidence_sql_or_code": "SELECT count(*) FROM data WHERE Churn = 'Yes'",
+        "claim": "1,869 of them churned", "evidence_sql_or_code": "SELECT count(*) FROM data WHERE Churn = 'Yes'",
         "claimed_value": 1869, "verdict": "verified", "recomputed_value": 1869,
         "detail": "recomputed 1869 matches claimed 1869 (rel_tol=0.01, abs_tol=0.01)",
         "evidence_row_count": 1869, "provenance_note": None,
