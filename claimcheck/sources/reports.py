@@ -28,9 +28,9 @@ def read_reports(spark: SparkSession, path: str, one_per_line: bool = False) ->
         number = F.when(F.col("copy") > 1, F.concat(F.lit("#"), F.col("copy").cast("string"))).otherwise("")
     else:
         own_id, number = F.col("_metadata.file_path"), F.lit("")
-    doc = F.try_parse_json("value")
-    carried = F.try_variant_get(doc, "$.part.report_id", "string")
-    return text.select(F.concat(F.coalesce(carried, own_id), number).alias("report_id"), doc.alias("doc"))
+    text = _with_doc(text.select("value", own_id.alias("own_id"), number.alias("number")), "value")
+    carried = F.try_variant_get("doc", "$.part.report_id", "string")
+    return text.select(F.concat(F.coalesce(carried, "own_id"), "number").alias("report_id"), "doc")
 
 
 def _part_number(doc: Column) -> Column:
@@ -52,8 +52,20 @@ def incomplete_reports(reports: DataFrame) -> DataFrame:
 
 
 def parse_reports(reports: DataFrame, column: str = "json") -> DataFrame:
-    """Documents held in a text column, as doc VARIANT."""
-    return reports.withColumn("doc", F.try_parse_json(column)).drop(column)
+    """Documents held in a text column, as doc VARIANT.
+
+    Documents are small in bytes and heavy to check: those of one file are dealt out to all tasks, by
+    report_id and text.
+    """
+    conf = reports.sparkSession.conf
+    keys = [c for c in ("report_id", column) if c in reports.columns]
+    dealt = reports.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys)
+    return _with_doc(dealt, column).drop(column)
+
+
+def _with_doc(texts: DataFrame, column: str) -> DataFrame:
+    """Every text parsed once. A filter on a plain column would move below and parse at each mention of it."""
+    return texts.select("*", F.explode(F.array(F.try_parse_json(column))).alias("doc"))
 
 
 def _at(value: Column, path: str) -> Column:
@@ -107,6 +119,11 @@ def _finding_problems(finding: Column, i: Column) -> Column:
 
 def report_problems(doc: Column) -> Column:
     """Everything wrong with a report document, in a fixed order; an empty array when it is valid."""
+    # Unrolled into the code of its stage, the check is a method too long to be compiled to machine code.
+    return let(doc, _problems)
+
+
+def _problems(doc: Column) -> Column:
     dataset = F.array(
         _unless(_is_text(doc, "$.dataset.name"), "'dataset.name' must be a non-empty string"),
         _unless(_kind(_at(doc, "$.dataset.rows")) == "BIGINT", "'dataset.rows' must be an integer"),

@@ -182,3 +182,15 @@ def test_judged_document_with_dataset_and_baseline(spark):
 def test_unreadable_document(spark, broken):
     frame = reports.parse_reports(spark.createDataFrame([("x", broken)], "report_id string, json string"))
     assert frame.select(reports.report_problems(F.col("doc"))).first()[0] == ["report must be a JSON object"]
+
+
+def test_documents_are_dealt_out_and_parsed_once(spark):
+    """Documents of one file are checked by all tasks, each parsed once however often the check mentions it."""
+    texts = ['{"broken": ', "[]", json.dumps(REPORT)]
+    frame = spark.createDataFrame([(str(i), texts[i % 3]) for i in range(300)], "report_id string, json string").coalesce(1)
+    valid = reports.valid_reports(reports.parse_reports(frame))
+    plan = valid._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().lower().count("parsejson(") == 1
+    rows = valid.select("report_id", F.spark_partition_id().alias("task")).collect()
+    assert {r["report_id"] for r in rows} == {str(i) for i in range(2, 300, 3)}
+    assert len({r["task"] for r in rows}) > 1
