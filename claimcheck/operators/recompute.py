@@ -247,17 +247,17 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
     """Add raw, error and evidence_row_count to the routed evidences.
 
     Every joined side holds one row per key. The claims of a hot key are cut into pieces,
-    each meeting its own copy of that key's row.
+    each meeting its own copy of that key's row. Evidences that do not run are not joined.
     """
     by_text = _runs_as_text(F.col("_route"), results.failed)
     by_family = F.col("_runs") & ~by_text
     plain = [c for c in routed.columns if c not in ("_route", "_runs", "_guard_error")]
-    # Claims without a key match nothing; spread, they do not pile up in one join partition.
+    # Claims of the other kind match nothing; spread, they do not pile up in one join partition.
     spread_by = [
         f.name for f in routed.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType))
     ]
     nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64(*map(quote_ident, spread_by)), F.lit(SPREAD)).cast("string"))
-    joined = routed.select(
+    joined = routed.where("_runs").select(
         *map(quote_ident, plain),
         "_guard_error",
         by_family.alias("_is_family"),
@@ -293,7 +293,7 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
         .when(is_family, _execution_error(F.col("_family_error")))
         .otherwise(F.col("_text_error"))
     )
-    return joined.select(
+    ran = joined.select(
         *map(quote_ident, plain),
         F.when(error.isNull() & is_family, family_raw).otherwise(F.col("_text_raw")).alias("raw"),
         error.alias("error"),
@@ -301,6 +301,13 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
         .otherwise(F.col("_text_rows"))
         .alias("evidence_row_count"),
     )
+    idle = routed.where("NOT _runs").select(
+        *map(quote_ident, plain),
+        F.lit(None).cast("string").alias("raw"),
+        _execution_error(F.col("_guard_error")).alias("error"),
+        F.lit(None).cast("bigint").alias("evidence_row_count"),
+    )
+    return ran.union(idle)
 
 
 def recomputed_values(session: ClaimSession, evidences: DataFrame, evidence: str = "evidence") -> DataFrame:
