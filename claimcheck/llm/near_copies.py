@@ -1,9 +1,11 @@
 """Near copies by shared word shingles: a Jaccard similarity of 0.8 or more over sets of five words.
 
-Copies share the digest of their set and count as one text. MinHash tells which texts may have a near
-copy: a text has 40 buckets, each of five minima over its shingles, and a pair at 0.8 shares none
-once in eight million times. First every text is held against one text of each of its buckets, which
-brings most of a group together without a square. Texts of buckets that are still divided then go
+Copies share the digest of their set and count as one text. First come the pairs that `simhash` joins on
+segment popcounts, by the SimHash of the set: fingerprints of at most two differing bits, of each
+fingerprint the first text. That reaches only the closest copies, so MinHash tells which other texts may
+have a near copy: a text has 40 buckets, each of five minima over its shingles, and a pair at 0.8 shares
+none once in eight million times. Every text is held against one text of each of its buckets, which
+brings most of a group together without a square. Links of both kinds are compared by their sets. Texts of buckets that are still divided then go
 through an exact prefix join: shingles are ordered by how few of these texts hold them, and two sets
 that are alike share one of their first n - ceil(0.8 n) + 1. A pair is proposed only if its sizes,
 the places of the shared shingle and its parity sketches allow a similarity of 0.8, and is compared
@@ -24,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from claimcheck.llm import simhash
 from claimcheck.llm.byte_bpe import slices
 from claimcheck.llm.components import connected_components
 from claimcheck.llm.shared import written
@@ -55,23 +58,25 @@ def shingle_hashes(text: str) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text)], np.uint64))
 
 
-def sketch(text: str) -> tuple[bytes, int, list[int]]:
-    """(digest of the set of shingles, its size, a signed hash per band)."""
+def sketch(text: str) -> tuple[bytes, int, list[int], int]:
+    """(digest of the set of shingles, its size, a signed hash per band, its SimHash)."""
     hashes = shingle_hashes(text)
     if not len(hashes):
-        return bytes(16), 0, []
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+        return bytes(16), 0, [], 0
+    least, ones = np.full(BANDS * ROWS, ~np.uint64(0)), np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK_SHINGLES):
         part = (hashes[at : at + CHUNK_SHINGLES, None] ^ MASKS) * FACTORS
         np.minimum(least, part.min(0), out=least)
+        ones += simhash.bit_counts(hashes[at : at + CHUNK_SHINGLES])
     buckets = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-    return xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), np.array(buckets, np.uint64).view(np.int64).tolist()
+    buckets = np.array(buckets, np.uint64).view(np.int64).tolist()
+    return xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), buckets, simhash.majority(ones, len(hashes))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """`docs` with columns digest, n and buckets; null text has no words."""
-    kinds = {"digest": pa.binary(), "n": pa.int64(), "buckets": pa.list_(pa.int64())}
-    types = [BinaryType(), LongType(), ArrayType(LongType())]
+    """`docs` with columns digest, n, buckets and fp; null text has no words."""
+    kinds = {"digest": pa.binary(), "n": pa.int64(), "buckets": pa.list_(pa.int64()), "fp": pa.int64()}
+    types = [BinaryType(), LongType(), ArrayType(LongType()), LongType()]
     schema = StructType([*docs.schema, *[StructField(c, t) for c, t in zip(kinds, types)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,20 +204,40 @@ def _proposed(found: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose SimHashes are joined on segment popcounts, or equal; sizes allow them to be alike.
+
+    Of each fingerprint the first node stands for all; others meet that one.
+    """
+    sized = nodes.where("n > 0").select("node", "n", "fp")
+    heads = written(sized.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")), "distinct-fingerprints")
+    same = sized.join(heads.where("size > 1"), "fp").where(F.col("head.node") < F.col("node"))
+    same = same.select(F.col("head.node").alias("a"), "node", "n", F.col("head.n").alias("n_a"))
+    near = simhash.linked(heads.select("fp"))
+    ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b")
+    near = near.select(F.col("head_a.node").alias("a"), F.col("head_b.node").alias("node"), F.col("head_b.n").alias("n"), F.col("head_a.n").alias("n_a"))
+    pairs = same.union(near).where(_sizes_allow(F.col("n_a"), F.col("n")))
+    return written(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")), "fingerprint-pairs")
+
+
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): docs with row_id and digest, written; and (digest, label), the label of a component for each digest."""
     rows = written(sketches(docs).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
-    nodes = rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    nodes = rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "buckets", "fp")])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
+    close = _fingerprint_pairs(nodes)
     members = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     shared = written(members.join(heads.drop("size"), "bucket"), "shared-buckets")
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node")
+    ends = shared.select("node").union(close.select("a")).union(close.select("b"))
+    wanted = nodes.join(ends.distinct(), "node", "left_semi").select("digest", "node")
     texts = rows.select("digest", "text").join(wanted, "digest").groupBy("node").agg(F.first("text").alias("text"))
     found = written(sets(texts), "candidate-sets")
 
     to_head = shared.where((F.col("head.node") < F.col("node")) & _sizes_allow(F.col("head.n"), F.col("n")))
-    links = written(_linked(to_head.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), found), "head-links")
+    to_head = to_head.select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    links = written(_linked(close.union(to_head).distinct(), found), "first-links")
     roots = connected_components(links)
     labelled = written(shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label")), "bucket-labels")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")

@@ -43,10 +43,18 @@ def fingerprint(text: str, words_each: int = SHINGLE_WORDS) -> int:
             shingles = [b" ".join(part)]
         else:
             shingles = map(b" ".join, zip(*(part[i:] for i in range(words_each))))
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+        counts += bit_counts(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8"))
+    return majority(counts, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of `n` hashes have, as a signed number."""
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:

@@ -30,7 +30,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more): that with the smallest doc_id, nulls last."""
+    """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more): that with the smallest doc_id, nulls last.
+
+    Pairs come from SimHashes joined on segment popcounts, those too far apart for that from MinHash and a prefix join.
+    """
     return near_copies.keep(docs)
 
 

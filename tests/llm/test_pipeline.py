@@ -240,3 +240,21 @@ def test_a_clean_small_source_of_another_style_is_kept(spark, n, share):
     frame = spark.createDataFrame([(i, t, lang, source, len(t)) for i, t, lang, source in prose + code], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, frame, FOLDER).collect()}
     assert len(kept & {i for i, *_ in code}) > share * n and len(kept & {i for i, *_ in prose}) > 0.95 * 1200
+
+
+def test_near_duplicates_come_from_fingerprints_joined_on_popcounts(spark, monkeypatch):
+    """The closest copies are found by their SimHashes alone, those further apart by the steps behind."""
+    rng = random.Random(8)
+    docs, far = [], []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, edited(rng, words, 1))]
+    for k in range(40, 60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        far += [(2 * k, " ".join(words)), (2 * k + 1, edited(rng, words, 3))]
+    pairs = []
+    found = near_copies._fingerprint_pairs
+    monkeypatch.setattr(near_copies, "_fingerprint_pairs", lambda nodes: pairs.append(found(nodes)) or pairs[-1])
+    frame = spark.createDataFrame(docs + far, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, FOLDER).collect()} == set(range(0, 120, 2))
+    assert 20 <= pairs[0].count() < 60
