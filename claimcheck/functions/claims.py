@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from claimcheck.functions.numbers import ABS_TOL, REL_TOL, is_close
+from claimcheck.functions.text import let
 
 # Fixed values.
-NUMERAL = r"(?iU)([0-9][0-9,]*(?:\.[0-9]+)?)\s*(%|per\s*cent\b)?"
+DIGITS = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+NUMERAL = rf"(?iU)({DIGITS})\s*(%|per\s*cent\b)?"
 WORD = "[a-z0-9]+"
 PREFIX_LENGTH = 4
 
@@ -17,21 +19,29 @@ def claim_numbers(claim: Column) -> Column:
     numerals = F.regexp_extract_all(claim, F.lit(NUMERAL), F.lit(1))
     percents = F.regexp_extract_all(claim, F.lit(NUMERAL), F.lit(2))
 
+    def number(digits: Column) -> Column:
+        return F.replace(digits, F.lit(","), F.lit("")).cast("double")
+
     def readings(digits: Column, percent: Column) -> Column:
-        n = F.replace(digits, F.lit(","), F.lit("")).cast("double")
+        n = number(digits)
         return F.when(percent != "", F.array(n, n / 100.0)).otherwise(F.array(n))
 
-    return F.flatten(F.zip_with(numerals, percents, readings))
+    # Most claims hold no percentage; then the numerals alone do, read once.
+    may_be_percent = claim.contains("%") | F.lower(claim).contains("cent")
+    return F.when(may_be_percent, F.flatten(F.zip_with(numerals, percents, readings))).otherwise(
+        F.transform(F.regexp_extract_all(claim, F.lit(DIGITS), F.lit(0)), number)
+    )
 
 
 def claim_agrees(
     claim: Column, value: Column, rel_tol: float = REL_TOL, abs_tol: float = ABS_TOL
 ) -> Column:
     """A claim agrees with a value when it quotes no number or at least one close to it."""
-    candidates = claim_numbers(claim)
-    return (F.size(candidates) == 0) | F.exists(
-        candidates, lambda n: is_close(n, value, rel_tol, abs_tol)
-    )
+
+    def agree(candidates: Column) -> Column:
+        return (F.size(candidates) == 0) | F.exists(candidates, lambda n: is_close(n, value, rel_tol, abs_tol))
+
+    return let(claim_numbers(claim), agree)
 
 
 def tokens(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from claimcheck.functions.claims import any_disclosed, tokens
@@ -18,17 +20,30 @@ NAME = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_]*)'
 LITERAL = r"'(?:[^']++|'')*+'"
 EQUALS_PREDICATE = rf"(?U)\A\s*({NAME})\s*=\s*({LITERAL})\s*\z"
 IN_PREDICATE = rf"(?iU)\A\s*({NAME})\s+IN\s*\(\s*({LITERAL}(?:\s*,\s*{LITERAL})*)\s*\)\s*\z"
+# How a clause that is one of the two begins, found without looking at brackets.
+MAY_FILTER = rf"(?iU)\bWHERE\b\s*{NAME}(?:\s*=\s*'|\s+IN\s*\(\s*')"
 
 
 def is_sql(evidence: Column) -> Column:
+    lowered = F.lower(evidence)
+    plainly = reduce(Column.__or__, [lowered.startswith(f"{w.lower()} ") for w in SQL_WORDS])
     word = F.upper(F.regexp_extract(strip_text(evidence), "^([A-Za-z]+)", 1))
-    return word.isin(SQL_WORDS)
+    return plainly | word.isin(SQL_WORDS)
+
+
+def _reads_data(evidence: Column) -> Column:
+    """READS_DATA, searched for only where plain text does not decide."""
+    lowered = F.lower(evidence)
+    plainly = lowered.contains(" from data ") | lowered.endswith(" from data")
+    # Other letters that read as an I in any case can only stand behind JO.
+    possible = lowered.contains("data") & (lowered.contains("from") | lowered.contains("jo"))
+    return plainly | (possible & evidence.rlike(READS_DATA))
 
 
 def touches_data(evidence: Column, dataset_path: str | None = None) -> Column:
     """SQL must read `data` in a FROM or JOIN; anything else must name the dataset's path."""
     names_path = evidence.contains(dataset_path) if dataset_path else F.lit(False)
-    return F.when(is_sql(evidence), evidence.rlike(READS_DATA)).otherwise(names_path)
+    return F.when(is_sql(evidence), _reads_data(evidence)).otherwise(names_path)
 
 
 def implausible_reason(evidence: Column, dataset_path: str | None = None) -> Column:
@@ -163,5 +178,5 @@ def population_mismatch(evidence: Column, claim: Column) -> Column:
         return F.when(parsed.isNotNull() & ~disclosed, reason)
 
     checked = let(where_clause(evidence), lambda c: let(where_tokens(c), lambda p: hidden(c, p)))
-    # Without a quoted text there is no predicate to parse.
-    return F.when(evidence.contains("'") & is_sql(evidence), checked)
+    # Without a name and a quoted text behind WHERE there is no predicate to parse.
+    return F.when(evidence.contains("'") & evidence.rlike(MAY_FILTER) & is_sql(evidence), checked)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from claimcheck.functions.numbers import parse_row_count
-from claimcheck.functions.text import strip_text
+from claimcheck.functions.text import let, strip_text
 
 # Fixed values.
 RESULT_LINE = r"(?iU)^RESULT:\s*(.*)$"
@@ -22,7 +22,7 @@ def _last(lines: Column) -> Column:
 
 def _last_marked(stdout: Column, pattern: str) -> Column:
     marked = F.filter(_lines(stdout), lambda line: line.rlike(pattern))
-    return strip_text(F.regexp_extract(_last(marked), pattern, 1))
+    return let(F.regexp_extract(_last(marked), pattern, 1), strip_text)
 
 
 def stdout_result(stdout: Column) -> Column:
@@ -33,7 +33,7 @@ def stdout_result(stdout: Column) -> Column:
 
 def stdout_rows(stdout: Column) -> Column:
     """The number on the last ROWS line, NULL when missing or malformed."""
-    return parse_row_count(_last_marked(stdout, ROWS_LINE))
+    return let(_last_marked(stdout, ROWS_LINE), parse_row_count)
 
 
 def run_error(ok: Column, stdout: Column, error: Column) -> Column:

@@ -16,7 +16,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip_text(text: Column) -> Column:
     """Drop leading and trailing white space of any script."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
+    # Between visible ASCII characters there is nothing to drop, nor to search for.
+    bare = first.between("!", "~") & last.between("!", "~")
+    return F.when(bare, text).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def fold(text: Column) -> Column:

@@ -75,11 +75,13 @@ def generate_cases(
 ) -> DataFrame:
     """One honest control per base plus its planted lies, as judgeable findings.
 
-    Every base expands on its own against the constant case grid, so nothing is
-    shuffled. `case_idx` keeps the order (base, class, magnitude, direction).
-    `zero_bases` is 'raise' or 'skip' (see `plant_rejects`).
+    Every base expands on its own against the constant case grid; its numbers are written
+    out once, before it expands. Only bases are shuffled: a few bytes of them make many cases,
+    so they are dealt out to all tasks. `case_idx` keeps the order (base, class, magnitude,
+    direction). `zero_bases` is 'raise' or 'skip' (see `plant_rejects`).
     """
     grid = case_grid(magnitudes, classes)
+    sizes = list(dict.fromkeys((magnitude, direction) for _, magnitude, direction in grid))
     cases = F.array(
         *[
             F.struct(
@@ -87,6 +89,7 @@ def generate_cases(
                 F.lit(attack_class).alias("attack_class"),
                 F.lit(float(magnitude)).alias("magnitude"),
                 F.lit(direction).alias("direction"),
+                F.lit(sizes.index((magnitude, direction))).alias("_size"),
             )
             for slot, (attack_class, magnitude, direction) in enumerate(grid)
         ]
@@ -99,45 +102,57 @@ def generate_cases(
     else:
         bases = bases.where(F.col("value") != 0)
     cls = F.col("attack_class")
-    switched = cls == "population_switch"
-    whole = F.col("as_int") & cls.isin("clean", "claim_mismatch", "population_switch")
-    return (
-        bases.select("*", F.inline(cases))
-        .where(~switched | (F.col("subset_evidence_sql").isNotNull() & F.col("subset_value").isNotNull()))
-        .withColumn("lie", distort(F.col("value"), F.col("magnitude"), F.col("direction")))
-        .withColumn("lie_text", number_text(F.col("lie"), F.col("as_int")))
-        .withColumn(
-            "shown",
-            F.when(cls.isin("claim_mismatch", "fabricated_evidence", "alias_dodge"), F.col("lie_text"))
-            .when(switched, number_text(F.col("subset_value"), F.col("as_int")))
-            .otherwise(number_text(F.col("value"), F.col("as_int"))),
-        )
-        .withColumn(
-            "value_num",
-            F.when(cls.isin("value_swap", "fabricated_evidence", "alias_dodge"), F.col("lie"))
-            .when(switched, F.col("subset_value"))
-            .otherwise(F.col("value")),
-        )
+    switched, forged = cls == "population_switch", cls.isin("fabricated_evidence", "alias_dodge")
+    lie = F.get("_lies", F.col("_size"))
+    tasks = int(bases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    written = (
+        bases.repartition(tasks, "base_pos")
         .select(
-            (F.col("base_pos") * len(grid) + F.col("slot")).alias("case_idx"),
-            "base_label",
-            "attack_class",
-            "magnitude",
-            "direction",
-            (cls != "clean").alias("tampered"),
-            render_claim(F.col("claim_template"), F.col("shown")).alias("claim"),
-            F.when(cls == "fabricated_evidence", F.concat(F.lit("SELECT "), "lie_text", F.lit(" AS "), "base_label"))
-            .when(cls == "alias_dodge", F.concat(F.lit("SELECT "), "lie_text", F.lit(" AS data")))
-            .when(switched, F.col("subset_evidence_sql"))
-            .otherwise(F.col("evidence_sql"))
-            .alias("evidence"),
-            F.lit("number").alias("value_kind"),
-            "value_num",
-            F.when(whole, number_text(F.col("value_num"), F.lit(True)))
-            .otherwise(float_text(F.col("value_num")))
-            .alias("value_text"),
+            "*",
+            _written(F.col("value"), F.col("as_int")).alias("_honest"),
+            F.when(F.col("subset_value").isNotNull(), _written(F.col("subset_value"), F.col("as_int"))).alias("_subset"),
+            _lies(sizes).alias("_lies"),
         )
+        .select("*", F.inline(cases))
+        .where(~switched | (F.col("subset_evidence_sql").isNotNull() & F.col("subset_value").isNotNull()))
+        .withColumn("_said", F.when(switched, F.col("_subset")).when(forged | (cls == "value_swap"), lie).otherwise(F.col("_honest")))
+    )
+    lie_text = lie.shown
+    shown = (
+        F.when(forged | (cls == "claim_mismatch"), lie_text)
+        .when(switched, F.col("_subset.shown"))
+        .otherwise(F.col("_honest.shown"))
     )
+    whole = F.col("as_int") & cls.isin("clean", "claim_mismatch", "population_switch")
+    return written.select(
+        (F.col("base_pos") * len(grid) + F.col("slot")).alias("case_idx"),
+        "base_label",
+        "attack_class",
+        "magnitude",
+        "direction",
+        (cls != "clean").alias("tampered"),
+        render_claim(F.col("claim_template"), shown).alias("claim"),
+        F.when(cls == "fabricated_evidence", F.concat(F.lit("SELECT "), lie_text, F.lit(" AS "), "base_label"))
+        .when(cls == "alias_dodge", F.concat(F.lit("SELECT "), lie_text, F.lit(" AS data")))
+        .when(switched, F.col("subset_evidence_sql"))
+        .otherwise(F.col("evidence_sql"))
+        .alias("evidence"),
+        F.lit("number").alias("value_kind"),
+        F.col("_said.value").alias("value_num"),
+        F.when(whole, F.col("_said.shown")).otherwise(F.col("_said.plain")).alias("value_text"),
+    )
+
+
+def _written(value: Column, as_int: Column) -> Column:
+    """A number with its text in a claim and its text as a value."""
+    return F.struct(value.alias("value"), number_text(value, as_int).alias("shown"), float_text(value).alias("plain"))
+
+
+def _lies(sizes: list[tuple[float, int]]) -> Column:
+    """The base's value distorted by each (magnitude, direction), written out."""
+    by = F.array(*[F.struct(F.lit(float(m)).alias("magnitude"), F.lit(d).alias("direction")) for m, d in sizes])
+    lies = F.transform(by, lambda s: distort(F.col("value"), s.magnitude, s.direction))
+    return F.transform(lies, lambda v: _written(v, F.col("as_int")))
 
 
 def _overwrite(findings: DataFrame, evidence: str, changes: dict[str, Column]) -> DataFrame:

@@ -5,6 +5,9 @@ Evidence of the common shape `SELECT agg(x) FROM data [WHERE col = v | col IN (.
 `GROUP BY col` over the dataset, whatever their number, and meet their group in one
 join. Other filtered aggregates share a scan with those that differ in literals only
 (`templates`). The rest is run text by text, each distinct text once.
+
+Texts are routed and joined to their results once each, however many claims rest on them; claims
+meet their text's result by its digest.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from claimcheck.functions.evidence import is_sql, row_count_query
 from claimcheck.functions.guard import standard_literals, quote_ident, validate_query
-from claimcheck.functions.numbers import value_text
+from claimcheck.functions.numbers import parse_number, value_text
 from claimcheck.functions.text import let, strip_text
 from claimcheck.operators.checked import RefusedQuery, checked_sql
 from claimcheck.operators.deadline import TimedOut, limited
@@ -40,8 +43,8 @@ FAMILY_THREADS = 8
 SEPARATOR = "\x1f"
 # Join keys that claims without a result are spread over.
 SPREAD = 4096
-# A key claimed by more rows than this (and by more than one in HOT_SHARE) has its claims
-# cut up for the join; at most HOT_SHARE keys can be that hot.
+# A text that more claims rest on than this (and more than one in HOT_SHARE) has its claims
+# cut up for the join; at most HOT_SHARE texts can be that hot.
 HOT_ROWS = 2_000_000
 HOT_SHARE = 1_000
 # Results made on the driver are broadcast up to this counted size.
@@ -136,7 +139,10 @@ def canonical_values(column: Column, written: Column, schema: T.StructType) -> C
 
 
 def _route(parts: Column, values: Column) -> Column:
-    bare = F.regexp_replace(parts.argument, _DISTINCT, "")
+    return let(F.regexp_replace(parts.argument, _DISTINCT, ""), lambda bare: _family_route(parts, values, bare))
+
+
+def _family_route(parts: Column, values: Column, bare: Column) -> Column:
     distinct = bare != parts.argument
     shared = (
         ~bare.rlike(NOT_SHARED)
@@ -173,13 +179,13 @@ class Family:
 class Recomputed:
     """Results of one recompute run, ready to be attached to the evidences."""
 
-    families: DataFrame | None
-    texts: DataFrame | None
-    errors: DataFrame | None
-    failed: list[tuple[str, str]]
-    # (column, key) of the hottest claims, and into how many pieces their claims are cut.
+    # One row per distinct text: its digest, value, error, row count and the value as a number.
+    values: DataFrame
+    # (text, join key) of the texts with the most claims, and into how many pieces their claims are cut.
     hot: list[tuple[str, str]] = field(default_factory=list)
     pieces: int = 1
+    # What the column with the value as a number is called, if one is wanted.
+    number: str | None = None
 
 
 def _small(df: DataFrame, rows: list[tuple]) -> DataFrame:
@@ -198,85 +204,100 @@ TEXT_SCHEMA = "_run_text string, _text_raw string, _text_error string, _text_row
 
 
 def route_evidences(session: ClaimSession, evidences: DataFrame, evidence: str = "evidence") -> DataFrame:
-    """Add `_route`, `_guard_error` and `_runs` to a table of evidences, worked out once.
+    """Add `_runs` and `_guard_error` to a table of evidences, worked out once.
 
-    Evidences already carrying an `implausible` reason do not run.
+    Only SQL that carries no `implausible` reason may run; the guard is asked per distinct text (`routed_texts`).
+    `_guard_error` is what it says of the other plausible evidences.
     """
     text = F.col(evidence)
     plausible = F.col("implausible").isNull() if "implausible" in evidences.columns else F.lit(True)
-    routed = evidences.withColumns(
-        {"_route": evidence_route(text, session.data.schema), "_guard_error": validate_query(text)}
-    )
-    runs = plausible & F.col("_guard_error").isNull() & F.coalesce(is_sql(text), F.lit(False))
-    return materialize(routed.withColumn("_runs", runs), "routed")
+    chosen = evidences.withColumn("_runs", plausible & F.coalesce(is_sql(text), F.lit(False)))
+    refused = F.when(plausible & ~F.col("_runs"), validate_query(text))
+    return materialize(chosen.withColumn("_guard_error", refused), "routed")
+
+
+def routed_texts(session: ClaimSession, running: DataFrame, evidence: str = "evidence") -> DataFrame:
+    """(_run_text, _n, _guard_error, _route): the distinct texts, how many evidences hold each, and how to recompute it.
+
+    A text that the guard refuses has no route.
+    """
+    texts = running.groupBy(F.col(evidence).alias("_run_text")).agg(F.count(F.lit(1)).alias("_n"))
+    guarded = texts.withColumn("_guard_error", validate_query(F.col("_run_text")))
+    route = F.when(F.col("_guard_error").isNull(), evidence_route(F.col("_run_text"), session.data.schema))
+    return materialize(guarded.withColumn("_route", route), "texts")
+
+
+def text_id(text: Column) -> Column:
+    """Half of a text's SHA-256, by which claims and results meet."""
+    return F.unhex(F.left(F.sha2(text, 256), F.lit(32)))
 
 
 def recompute(session: ClaimSession, routed: DataFrame, evidence: str = "evidence") -> Recomputed:
     """Recompute every evidence of a routed table that is allowed to run."""
-    running = routed.where("_runs")
-    families = _families(session, running)
+    every = routed_texts(session, routed.where("_runs"), evidence)
+    texts = every.where("_guard_error IS NULL")
+    families = _families(session, texts)
     with ThreadPoolExecutor(FAMILY_THREADS) as pool:
-        results = list(pool.map(lambda f: _family_rows(session, running, f), families))
+        results = list(pool.map(lambda f: _family_rows(session, texts, f), families))
     errors = [(f.column, a, message) for f in families for a, message in f.errors.items()]
     failed = [(f.column, a) for f in families for a in f.failed]
     error_rows = session.spark.createDataFrame(errors, ERROR_SCHEMA) if errors else None
-    hot = _hot_keys(running)
-    most = max((r["n"] for r in hot), default=0)
-    return Recomputed(
+    values = _values(
+        texts,
+        failed,
         families=reduce(DataFrame.unionByName, [rows for r in results for rows in r]) if results else None,
-        texts=_text_rows(session, running, evidence, failed),
         errors=_small(error_rows, errors) if errors else None,
-        failed=failed,
-        hot=[(r["column"], r["key"]) for r in hot],
+        alone=_text_rows(session, texts, failed),
+    )
+    hot = _hot_texts(every)
+    most = max((r["_n"] for r in hot), default=0)
+    return Recomputed(
+        values=materialize(values.union(_refused(every)).withColumn("_number", parse_number(F.col("_raw"))), "results"),
+        hot=[(r["_run_text"], r["key"]) for r in hot],
         pieces=-(-most // HOT_ROWS) or 1,
     )
 
 
-def _hot_keys(running: DataFrame) -> list:
-    """The keys too many claims share, at most HOT_SHARE of them; small tables have none."""
-    total = running.count()
+def _hot_texts(texts: DataFrame) -> list:
+    """The texts too many claims share, at most HOT_SHARE of them; small tables have none."""
+    total = texts.agg(F.sum("_n")).first()[0] or 0
     if total <= HOT_ROWS:
         return []
-    counts = running.where("_route.route = 'family'").groupBy("_route.column", "_route.key").agg(
-        F.count(F.lit(1)).alias("n")
+    hot = texts.where(F.col("_n") > max(HOT_ROWS, total // HOT_SHARE))
+    return hot.select("_run_text", "_n", F.coalesce("_route.key", F.lit("")).alias("key")).collect()
+
+
+def _refused(texts: DataFrame) -> DataFrame:
+    return texts.where("_guard_error IS NOT NULL").select(
+        text_id(F.col("_run_text")).alias("_id"),
+        F.lit(None).cast("string").alias("_raw"),
+        _execution_error(F.col("_guard_error")).alias("_error"),
+        F.lit(None).cast("bigint").alias("_rows"),
     )
-    return counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).collect()
 
 
-def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -> DataFrame:
-    """Add raw, error and evidence_row_count to the routed evidences.
+def _values(
+    texts: DataFrame, failed: list[tuple[str, str]], families: DataFrame | None, errors: DataFrame | None, alone: DataFrame | None
+) -> DataFrame:
+    """(_id, _raw, _error, _rows) of every distinct text.
 
-    Every joined side holds one row per key. The claims of a hot key are cut into pieces,
-    each meeting its own copy of that key's row. Evidences that do not run are not joined.
+    Every joined side holds one row per key.
     """
-    by_text = _runs_as_text(F.col("_route"), results.failed)
-    by_family = F.col("_runs") & ~by_text
-    plain = [c for c in routed.columns if c not in ("_route", "_runs", "_guard_error")]
-    # Claims of the other kind match nothing; spread, they do not pile up in one join partition.
-    spread_by = [
-        f.name for f in routed.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType))
-    ]
-    nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64(*map(quote_ident, spread_by)), F.lit(SPREAD)).cast("string"))
-    joined = routed.where("_runs").select(
-        *map(quote_ident, plain),
-        "_guard_error",
-        by_family.alias("_is_family"),
-        F.when(by_family, F.col("_route.column")).otherwise(nowhere).alias("_column"),
-        F.when(by_family, F.col("_route.key")).otherwise(nowhere).alias("_key"),
-        F.when(by_family, F.col("_route.aggregate")).alias("_aggregate"),
-        F.when(F.col("_runs") & by_text, F.col(evidence)).otherwise(nowhere).alias("_run_text"),
+    by_text = _runs_as_text(F.col("_route"), failed)
+    # Texts of the other kind match nothing; spread, they do not pile up in one join partition.
+    nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64("_run_text"), F.lit(SPREAD)).cast("string"))
+    joined = texts.select(
+        text_id(F.col("_run_text")).alias("_id"),
+        (~by_text).alias("_is_family"),
+        F.when(by_text, nowhere).otherwise(F.col("_route.column")).alias("_column"),
+        F.when(by_text, nowhere).otherwise(F.col("_route.key")).alias("_key"),
+        F.when(~by_text, F.col("_route.aggregate")).alias("_aggregate"),
+        F.when(by_text, F.col("_run_text")).otherwise(nowhere).alias("_run_text"),
     )
-    families, family_keys = results.families, ["_column", "_key"]
-    if results.hot and families is not None:
-        is_hot = F.concat_ws(SEPARATOR, "_column", "_key").isin([SEPARATOR.join(pair) for pair in results.hot])
-        piece = F.pmod(F.xxhash64(*map(quote_ident, spread_by)), F.lit(results.pieces)).cast("int")
-        joined = joined.withColumn("_piece", F.when(is_hot, piece).otherwise(0))
-        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(results.pieces - 1))).otherwise(F.array(F.lit(0)))
-        families, family_keys = families.withColumn("_piece", F.explode(copies)), [*family_keys, "_piece"]
     for side, keys, schema in (
-        (families, family_keys, FAMILY_SCHEMA),
-        (results.errors, ["_column", "_aggregate"], ERROR_SCHEMA),
-        (results.texts, ["_run_text"], TEXT_SCHEMA),
+        (families, ["_column", "_key"], FAMILY_SCHEMA),
+        (errors, ["_column", "_aggregate"], ERROR_SCHEMA),
+        (alone, ["_run_text"], TEXT_SCHEMA),
     ):
         if side is not None:
             joined = joined.join(side, keys, "left")
@@ -288,24 +309,44 @@ def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -
     family_raw = F.when(F.col("_n_rows").isNull(), empty).otherwise(
         F.coalesce(F.try_element_at("_raws", "_aggregate"), F.lit(""))
     )
-    error = (
-        F.when(F.col("_guard_error").isNotNull(), _execution_error(F.col("_guard_error")))
-        .when(is_family, _execution_error(F.col("_family_error")))
-        .otherwise(F.col("_text_error"))
+    error = F.when(is_family, _execution_error(F.col("_family_error"))).otherwise(F.col("_text_error"))
+    return joined.select(
+        "_id",
+        F.when(error.isNull() & is_family, family_raw).otherwise(F.col("_text_raw")).alias("_raw"),
+        error.alias("_error"),
+        F.when(is_family, F.coalesce("_n_rows", F.lit(0).cast("bigint"))).otherwise(F.col("_text_rows")).alias("_rows"),
     )
-    ran = joined.select(
+
+
+def attach(routed: DataFrame, results: Recomputed, evidence: str = "evidence") -> DataFrame:
+    """Add raw, error and evidence_row_count to the routed evidences, and raw as a number if results name that column.
+
+    The joined side holds one row per text. The claims of a hot text are cut into pieces,
+    each meeting its own copy of that text's row. Evidences that do not run are not joined.
+    """
+    plain = [c for c in routed.columns if c not in ("_runs", "_guard_error")]
+    joined = routed.where("_runs").select(*map(quote_ident, plain), text_id(F.col(evidence)).alias("_id"))
+    values, keys = results.values, ["_id"]
+    if results.hot:
+        is_hot = F.col("_id").isin([text_id(F.lit(text)) for text, _ in results.hot])
+        spread_by = [c for c in plain if isinstance(routed.schema[c].dataType, (T.StringType, T.NumericType))]
+        piece = F.pmod(F.xxhash64(*map(quote_ident, spread_by)), F.lit(results.pieces)).cast("int")
+        joined = joined.withColumn("_piece", F.when(is_hot, piece).otherwise(0))
+        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(results.pieces - 1))).otherwise(F.array(F.lit(0)))
+        values, keys = values.withColumn("_piece", F.explode(copies)), ["_id", "_piece"]
+    ran = joined.join(values, keys, "left").select(
         *map(quote_ident, plain),
-        F.when(error.isNull() & is_family, family_raw).otherwise(F.col("_text_raw")).alias("raw"),
-        error.alias("error"),
-        F.when(is_family, F.coalesce("_n_rows", F.lit(0).cast("bigint")))
-        .otherwise(F.col("_text_rows"))
-        .alias("evidence_row_count"),
+        F.col("_raw").alias("raw"),
+        F.col("_error").alias("error"),
+        F.col("_rows").alias("evidence_row_count"),
+        *([F.col("_number").alias(results.number)] if results.number else []),
     )
     idle = routed.where("NOT _runs").select(
         *map(quote_ident, plain),
         F.lit(None).cast("string").alias("raw"),
         _execution_error(F.col("_guard_error")).alias("error"),
         F.lit(None).cast("bigint").alias("evidence_row_count"),
+        *([F.lit(None).cast("double").alias(results.number)] if results.number else []),
     )
     return ran.union(idle)
 
@@ -327,11 +368,11 @@ def _execution_error(message: Column) -> Column:
     return F.concat(F.lit("query_sql failed to execute evidence: "), message)
 
 
-def _families(session: ClaimSession, running: DataFrame) -> list[Family]:
+def _families(session: ClaimSession, texts: DataFrame) -> list[Family]:
     """The distinct aggregates per filter column; claims themselves never reach the driver."""
     found: dict[str, Family] = {}
     members = (
-        running.where("_route.route = 'family'")
+        texts.where("_route.route = 'family'")
         .groupBy("_route.column", "_route.aggregate")
         .agg(F.max(F.size("_route.values")).alias("n_values"))
     )
@@ -349,8 +390,8 @@ def _families(session: ClaimSession, running: DataFrame) -> list[Family]:
     return list(found.values())
 
 
-def _family_rows(session: ClaimSession, running: DataFrame, family: Family) -> list[DataFrame]:
-    claimed = running.where(F.col("_route.column") == family.column)
+def _family_rows(session: ClaimSession, texts: DataFrame, family: Family) -> list[DataFrame]:
+    claimed = texts.where(F.col("_route.column") == family.column)
     view = f"family_{uuid.uuid4().hex}"
     _filtered(session, family, claimed).createOrReplaceTempView(view)
     plain = [a for a in family.types if not _is_distinct(a)]
@@ -515,15 +556,12 @@ def _run_text(session: ClaimSession, text: str, count_text: str | None) -> tuple
     return text, raw, error, int(n_rows) if counted else None
 
 
-def _text_rows(
-    session: ClaimSession, running: DataFrame, evidence: str, failed: list[tuple[str, str]]
-) -> DataFrame | None:
+def _text_rows(session: ClaimSession, routed: DataFrame, failed: list[tuple[str, str]]) -> DataFrame | None:
     """Results of the remaining distinct texts: those of one template together, others one by one.
 
     Ranges over templates with many texts are answered by `ladder`, first groups by `tops`. Other texts pass through the driver a round at a time, and so do their results.
     """
-    distinct = running.where(_runs_as_text(F.col("_route"), failed)).select(F.col(evidence).alias("_run_text")).distinct()
-    counted = distinct.withColumn("count_text", row_count_query(F.col("_run_text")))
+    counted = routed.where(_runs_as_text(F.col("_route"), failed)).select("_run_text").withColumn("count_text", row_count_query(F.col("_run_text")))
     texts = materialize(with_template(counted, "_run_text"), "distinct-texts")
     # That module builds on this one.
     from claimcheck.operators.tops import top_rows

@@ -107,3 +107,13 @@ def test_metrics_are_written(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/missed_cases").count() == 1
     meta = spark.read.json(f"{tmp_path}/meta").first()
     assert (meta["n_cases"], meta["n_tampered"], meta["dataset"]) == (1, 1, "d")
+
+
+def test_numbers_are_written_before_a_base_expands(spark):
+    """Behind the expansion nothing is rendered, and bases of one partition keep every task busy."""
+    cases = planting.generate_cases(spark.createDataFrame(BASES, BASE_SCHEMA).coalesce(1))
+    plans = [cases._jdf.queryExecution().optimizedPlan()]
+    while plans[0].nodeName() != "Generate":
+        assert "lambda" not in plans[0].simpleString(100_000)
+        plans = [plans[0].children().apply(0)]
+    assert cases.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -240,3 +240,21 @@ def test_truncate(spark):
     assert apply(spark, lambda t: text.truncate_text(t, 3), ["abc", "abcd"]) == [
         "abc", "abc\n... (truncated at 3 chars)",
     ]
+
+
+def test_quick_answers_are_those_of_the_rules(spark):
+    """Where plain text decides, it decides as the patterns do."""
+    cores = [
+        "SELECT 1 AS data", "With f as (select 1) select x from f", "SELECT x JOıN data", 'SELECT x FROM "data"', "SELECT x FROM dataX", "SELECT éFROM data ",
+        "select a from data", "select Load from data", "select loads from data", "select a from data; x", "select identifier('a') from data", "ſELECT 1 FROM data",
+        "select map x using 'y' from data", "SELECTx FROM data", "SELECT", "", "print(1)", "describe data", "select 'identifier(' from data", "WİTH x from data",
+    ]
+    texts = [a + c + b for c in cores for a in ("", " ", "\xa0", "\x85") for b in ("", " ; ", "　", ";")]
+    plain = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    word = lambda t: F.upper(F.regexp_extract(plain(t), "^([A-Za-z]+)", 1))
+    assert apply(spark, text.strip_text, texts) == apply(spark, plain, texts)
+    assert apply(spark, evidence.is_sql, texts) == apply(spark, lambda t: word(t).isin("SELECT", "WITH"), texts)
+    reads = lambda t: word(t).isin("SELECT", "WITH") & t.rlike(evidence.READS_DATA)
+    assert apply(spark, evidence.touches_data, texts) == apply(spark, reads, texts)
+    refused = lambda t: text.let(F.regexp_replace(plain(t), r";\z", ""), guard._refusal)
+    assert apply(spark, guard.validate_query, texts) == apply(spark, refused, texts)
